@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bahikhata.llm.common import LOWER, UPPER, shared_dir, text_of, written
 
@@ -49,7 +50,7 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
@@ -85,7 +86,7 @@ def links(classes: DataFrame) -> DataFrame:
     start = F.shiftright(F.col("key"), 26).cast("int") + 1
     chains = [F.bit_count(differ.bitwiseAND(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in xs]), start))) <= most
               for xs, most in zip(signed, (2, 3))]
-    return (index.join(probe.hint("shuffle_hash"), "key").where(F.col("a") < F.col("b"))
+    return (probe.join(index.hint("shuffle_hash"), "key").where(F.col("a") < F.col("b"))
             .where(chains[0]).where(chains[1]).where(F.bit_count(differ) <= LIMIT).select("a", "b").distinct())
 
 
