@@ -36,6 +36,11 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> tuple[DataFra
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -53,7 +58,7 @@ def with_offsets(df: DataFrame, group: list[str], order: str, size: str, out: st
     """Adds ``out``: the sum of ``size`` over the rows of ``group`` before this one by the bigint ``order``.
 
     A running sum in two steps, so no group sits in one task: rows are dealt into ``buckets`` ranges of the
-    64-bit ``order`` (a hash, so even), summed inside each range, and each range starts after the totals of
+    64-bit ``order`` (the hash of a unique key, so even and without ties), summed inside each range, and each range starts after the totals of
     those before it. One row per group and range is all that the second window sees.
     """
     width = (1 << 64) // buckets
@@ -63,7 +68,7 @@ def with_offsets(df: DataFrame, group: list[str], order: str, size: str, out: st
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),
                            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*group, "_range").orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     same = F.col("_r") == F.col("_range")
     for i, c in enumerate(group):
