@@ -61,9 +61,8 @@ def with_offsets(df: DataFrame, group: list[str], order: str, size: str, out: st
     64-bit ``order`` (the hash of a unique key, so even and without ties), summed inside each range, and each range starts after the totals of
     those before it. One row per group and range is all that the second window sees.
     """
-    width = (1 << 64) // buckets
-    cut = (F.col(order).cast("decimal(20,0)") + F.lit(1 << 63)) / F.lit(width)
-    df = df.withColumn("_range", F.least(F.floor(cut).cast("int"), F.lit(buckets - 1)))
+    cut = F.floor(F.col(order).cast("double") / F.lit(2.0 ** 64 / buckets) + buckets / 2).cast("int")
+    df = df.withColumn("_range", F.greatest(F.lit(0), F.least(cut, F.lit(buckets - 1))))
     totals = df.groupBy(*group, "_range").agg(F.sum(size).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),

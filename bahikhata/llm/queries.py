@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import simhash, token_files
+from bahikhata.llm import packing, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -19,8 +19,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
 }
 ORACLE: dict[str, str] = {}
