@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import mixing, packing, simhash, token_files
+from bahikhata.llm import mixing, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -27,10 +27,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op10_sharding": op10_sharding,
+}
+ORACLE: dict[str, str] = {
+    # The leaf of a document is its first prefix whose bucket doesn't split (fits, or holds one document).
+    "op10_sharding": f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+b AS (SELECT doc_id, n_bytes, array_to_string(list_transform(range(1, 16), lambda i: right(bin(strpos('0123456789abcdef', h[i]) - 1 + 16), 4)), '') AS bits FROM d),
+p AS (SELECT doc_id, n_bytes, g.depth, left(bits, g.depth) AS shard FROM b, (SELECT CAST(unnest(range(0, 41)) AS INT) AS depth) g),
+s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, shard) AS t, count(*) OVER (PARTITION BY depth, shard) AS n FROM p)
+SELECT doc_id, n_bytes, shard, depth, CAST(t AS BIGINT) AS shard_bytes FROM s WHERE t <= {sharding.LIMIT} OR n = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
 }
-ORACLE: dict[str, str] = {}
