@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import mixing, packing, sharding, simhash, token_files
+from bahikhata.llm import media, mixing, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -15,6 +15,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
 
+def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op5_png_media": op5_png_media,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
