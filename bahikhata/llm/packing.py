@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bahikhata.llm.common import small_batches, text_of, with_offsets, written
-from bahikhata.llm.tokens import KeptSpace
+from bahikhata.llm.tokens import kept_space
 
 WINDOW, END = 1024, 0
 #: Rows that one running sum takes, about.
@@ -36,13 +36,13 @@ _PIECES = "piece long, doc_id long, start long, length int, ids_crc32 long, doc_
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The full windows and the tail of every document, with their ids (little-endian uint32); piece is unique."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = KeptSpace(vocabulary)
-        end = np.array([END], encode.pieces.kind).tobytes()
+        encode = kept_space(vocabulary)
+        end = np.array([END], encode.kind).tobytes()
         step, key = 4 * WINDOW, TaskContext.get().partitionId() << 40
         for rows in batches:
             out: list[tuple] = []
-            for doc, text in zip(rows["doc_id"].astype("Int64"), rows["text"]):
-                ids = np.frombuffer(encode(text) + end, encode.pieces.kind).astype("<u4").tobytes()
+            for doc, found in zip(rows["doc_id"].astype("Int64"), encode(rows["text"].tolist())):
+                ids = np.frombuffer(found + end, encode.kind).astype("<u4").tobytes()
                 for at in range(0, len(ids), step):
                     part = ids[at:at + step]
                     out.append((key, doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part))

@@ -12,6 +12,7 @@ together, ordered by their ids; a text of any length is one document and its blo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bahikhata.llm.common import removed, small_batches, text_of, written
-from bahikhata.llm.tokens import DroppedSpace, crc_of
+from bahikhata.llm.tokens import dropped_space
 
 END = 2
 #: Ids in a block, and bytes of text in a shard.
@@ -55,12 +56,12 @@ def decoded(control: bytes, data: bytes, count: int) -> np.ndarray:
 def encoded(docs: DataFrame, vocabulary: str, cuts: list[int]) -> DataFrame:
     """(shard, doc_id, ids) in two-byte ids, the end id included; shard = how many of ``cuts`` are <= doc_id."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = DroppedSpace(vocabulary)
-        end = np.array([END], encode.pieces.kind).tobytes()
+        encode = dropped_space(vocabulary)
+        end = np.array([END], encode.kind).tobytes()
         for rows in batches:
             null = rows["doc_id"].isna()
             shard = np.where(null, 0, np.searchsorted(np.array(cuts, np.int64), rows["doc_id"].fillna(0).astype("int64"), "right"))
-            yield pd.DataFrame({"shard": shard.astype("int32"), "doc_id": rows["doc_id"].astype("Int64"), "ids": [encode(t) + end for t in rows["text"]]})
+            yield pd.DataFrame({"shard": shard.astype("int32"), "doc_id": rows["doc_id"].astype("Int64"), "ids": [x + end for x in encode(rows["text"].tolist())]})
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "shard int, doc_id long, ids binary")
 
 
@@ -138,9 +139,21 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return files.mapInPandas(run, "shard int, doc_id long, ids binary")
 
 
+def summaries(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
+    """(shard, doc_id, n_tokens, ids_crc32) of the documents as read back; the ids stay in the task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for b in rows.itertuples():
+                ends = 4 * np.cumsum(b.lengths)
+                data = memoryview(by_rank[decoded(b.control, b.data, int(ends[-1]) // 4)].astype("<u4").tobytes())
+                cuts = [0, *ends.tolist()]
+                yield pd.DataFrame({"shard": b.shard, "doc_id": pd.array([None if pd.isna(d) else int(d) for d in b.doc_ids], "Int64"), "n_tokens": np.asarray(b.lengths, np.int64), "ids_crc32": [zlib.crc32(data[x:y]) for x, y in zip(cuts, cuts[1:])]})
+    return files.mapInPandas(run, "shard int, doc_id long, n_tokens long, ids_crc32 long")
+
+
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     files, by_rank = write_files(docs, vocabulary)
-    read = read_files(files, by_rank).select("shard", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    read = summaries(files, by_rank)
     totals = files.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -1,12 +1,15 @@
-"""Tokenizing whole texts inside tasks with a public vocabulary, a cached word at a time.
+"""Tokenizing whole texts inside tasks with a public vocabulary, a cached piece at a time.
 
-A token never crosses white space in these vocabularies, so a text is cut before single blanks, each distinct
-piece is encoded once per worker, and the ids are joined. Texts where white space touches white space (or ends
-the text) and the vocabulary keeps it are encoded whole: same ids, slower.
+A token of these vocabularies never crosses from one run of letters, digits, other signs or white space to the
+next, so a text is cut at such places (before blanks, around line ends, before a comma or full stop after a letter
+or digit), each distinct piece is encoded once per worker, and the ids are joined. Where a cut might not be such a
+place (white space touching white space or the text's ends, a sign before the comma) it isn't made, or the text is
+encoded whole: the same ids, slower.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -14,14 +17,18 @@ import zlib
 import numpy as np
 
 _TOUCHING = re.compile(r"\s\s")
+_SIGN_FIRST = re.compile(r"[\W_][.,](?= )")
+_CUT = "\x00"
+#: Outside these, lower-casing before composing characters might not equal composing first.
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _CACHED = 1_000_000
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as little-endian bytes; forgets all when it holds _CACHED pieces.
+class Encoder:
+    """ids of texts as little-endian bytes of the numpy type ``kind`` (two bytes where the vocabulary allows)."""
 
-    ``kind`` is the ids' numpy type: two bytes where the vocabulary allows, else four.
-    """
+    #: True where white space is part of a token.
+    keeps_space: bool
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,42 +37,88 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.whole(piece)
-        if len(self) >= _CACHED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.cache: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        # Of a piece of letters alone, the token that begins it (with its blank) or ends it.
+        self.edge = np.array([x.startswith("Ġ") if self.keeps_space else x.endswith("</w>") for x in names])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
+    def cut(self, text: str) -> list[str] | None:
+        raise NotImplementedError
+
+    def learn(self, pieces: set[str]) -> None:
+        """Caches the ids of pieces; those of letters alone are encoded in one text and told apart by their edges."""
+        if len(self.cache) + len(pieces) > _CACHED:
+            self.cache.clear()
+        lead = 1 if self.keeps_space else 0
+        plain = [x for x in pieces if x[lead:].isalpha() and x[:lead] == " " * lead]
+        ids = np.array(self.tokenizer.encode_batch_fast([("" if lead else " ").join(plain)], add_special_tokens=False)[0].ids, self.kind) if plain else np.zeros(0, self.kind)
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(plain):
+            plain, ids = [], ids[:0]
+        if plain:
+            starts = edges if lead else np.concatenate([[0], edges[:-1] + 1])
+            size, data = ids.itemsize, ids.tobytes()
+            at = (starts * size).tolist() + [len(data)]
+            self.cache.update(zip(plain, (data[a:b] for a, b in zip(at, at[1:]))))
+        for x in pieces.difference(plain):
+            self.cache[x] = self.whole(x)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 256):
+            cuts = [self.cut(t) for t in texts[at:at + 256]]
+            unknown = set().union(*(c for c in cuts if c is not None)).difference(self.cache)
+            if len(self.cache) + len(unknown) > _CACHED:
+                self.cache.clear()
+                unknown = set().union(*(c for c in cuts if c is not None))
+            self.learn(unknown)
+            get = self.cache.__getitem__
+            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at:at + 256], cuts)]
+        return out
+
+
+class DroppedSpace(Encoder):
+    """For vocabularies that drop white space and case and end words with a mark."""
+
+    keeps_space = False
+
+    def cut(self, text: str) -> list[str] | None:
+        if not _NOT_PLAIN.search(text):
+            text = text.lower()
+        if not _SIGN_FIRST.search(text):
+            text = text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
+        return text.replace("\n", " ").split(" ")
+
+
+class KeptSpace(Encoder):
+    """For byte-level vocabularies, whose tokens take the blank before a word."""
 
-class DroppedSpace:
-    """For vocabularies that drop white space."""
+    keeps_space = True
 
-    def __init__(self, path: str):
-        self.pieces = Pieces(path)
+    def cut(self, text: str) -> list[str] | None:
+        if not text or text[0].isspace() or text[-1].isspace() or _CUT in text or _TOUCHING.search(text):
+            return None
+        tight = not _SIGN_FIRST.search(text)
+        text = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
+        if tight:
+            text = text.replace(",\x00 ", "\x00,\x00 ").replace(".\x00 ", "\x00.\x00 ")
+        return text.split(_CUT)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
+@functools.cache
+def dropped_space(path: str) -> DroppedSpace:
+    """One a worker process, so tasks share what it has cached."""
+    return DroppedSpace(path)
 
-class KeptSpace:
-    """For byte-level vocabularies, whose tokens take the blank before a word."""
 
-    def __init__(self, path: str):
-        self.pieces = Pieces(path)
-
-    def __call__(self, text: str) -> bytes:
-        if not text or text[0].isspace() or text[-1].isspace() or _TOUCHING.search(text):
-            return self.pieces.whole(text)
-        first, *rest = text.split(" ")
-        get = self.pieces.__getitem__
-        return get(first) + b"".join([get(" " + x) for x in rest])
+@functools.cache
+def kept_space(path: str) -> KeptSpace:
+    return KeptSpace(path)
 
 
 def public(name: str) -> str:
