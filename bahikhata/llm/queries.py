@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import media, mixing, packing, sharding, simhash, token_files
+from bahikhata.llm import html, media, mixing, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
@@ -36,6 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_text": op1_page_text,
     "op3_token_files": op3_token_files,
     "op5_png_media": op5_png_media,
     "op6_mixing": op6_mixing,
