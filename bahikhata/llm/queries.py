@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import html, media, mixing, packing, sharding, simhash, token_files
+from bahikhata.llm import classifier, html, media, mixing, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -35,6 +35,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_classifier": op9_classifier,
     "op10_sharding": op10_sharding,
 }
 ORACLE: dict[str, str] = {
