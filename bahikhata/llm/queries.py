@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import classifier, html, media, mixing, packing, sharding, simhash, token_files
+from bahikhata.llm import classifier, html, media, mixing, outliers, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -15,6 +15,10 @@ def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.digest(table(spark, sf_dir, "pages"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": op1_page_text,
+    "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
     "op5_png_media": op5_png_media,
     "op6_mixing": op6_mixing,
