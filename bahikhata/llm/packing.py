@@ -14,7 +14,6 @@ any length is cut into windows inside its task; an empty table gives no sequence
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bahikhata.llm.common import small_batches, text_of, with_offsets, written
-from bahikhata.llm.tokens import kept_space
+from bahikhata.llm.tokens import crc_of, kept_space
 
 WINDOW, END = 1024, 0
 #: Rows that one running sum takes, about.
@@ -34,18 +33,19 @@ _PIECES = "piece long, doc_id long, start long, length int, ids_crc32 long, doc_
 
 
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The full windows and the tail of every document, with their ids (little-endian uint32); piece is unique."""
+    """The full windows and the tail of every document, with their ids (little-endian, as wide as the
+    vocabulary needs); piece is unique."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = kept_space(vocabulary)
         end = np.array([END], encode.kind).tobytes()
-        step, key = 4 * WINDOW, TaskContext.get().partitionId() << 40
+        key = TaskContext.get().partitionId() << 40
         for rows in batches:
             out: list[tuple] = []
             for doc, found in zip(rows["doc_id"].astype("Int64"), encode(rows["text"].tolist())):
-                ids = np.frombuffer(found + end, encode.kind).astype("<u4").tobytes()
-                for at in range(0, len(ids), step):
-                    part = ids[at:at + step]
-                    out.append((key, doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part))
+                ids = np.frombuffer(found + end, encode.kind)
+                for at in range(0, len(ids), WINDOW):
+                    part = ids[at:at + WINDOW]
+                    out.append((key, doc, at, len(part), crc_of(part), len(ids), part.tobytes()))
                     key += 1
             table = pd.DataFrame(out, columns=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
             yield table.astype({"doc_id": "Int64", "piece": "int64", "start": "int64", "length": "int32", "ids_crc32": "int64", "doc_tokens": "int64"})
@@ -157,19 +157,19 @@ def placed(parts: DataFrame) -> DataFrame:
                     k = int(np.searchsorted(ends, at, "right"))
                     sequence, first, last = (at // WINDOW, at // WINDOW * WINDOW, (at // WINDOW + 1) * WINDOW) if at < full else (full // WINDOW + k, ends[k - 1] if k else full, ends[k])
                     stop = min(end, last)
-                    part = r.ids[4 * (at - r.at_token):4 * (stop - r.at_token)]
-                    out.append((r.piece, r.doc_id, r.start + at - r.at_token, stop - at, zlib.crc32(part), r.doc_tokens, n_whole + n_plan + sequence, at - first))
+                    part = np.frombuffer(r.ids, f"<u{len(r.ids) // r.length}")[at - r.at_token:stop - r.at_token]
+                    out.append((r.piece, r.doc_id, r.start + at - r.at_token, stop - at, crc_of(part), r.doc_tokens, n_whole + n_plan + sequence, at - first))
                     at = stop
             table = pd.DataFrame(out, columns=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             yield table.astype({"doc_id": "Int64"})
-    greedy = rest.withColumn("doc_id", F.col("doc_id")).mapInPandas(cut, "piece long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    greedy = rest.mapInPandas(cut, "piece long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return whole.unionByName(fitted).unionByName(greedy)
 
 
 def sequences(parts: DataFrame, places: DataFrame) -> DataFrame:
     """(sequence_id, ids): the packed sequences themselves, pieces in the order of their offsets."""
-    at = places.select("piece", "start", "length", "sequence_id", "offset").join(parts.select("piece", F.col("start").alias("_s"), "ids"), "piece")
-    bytes_ = F.substring("ids", ((F.col("start") - F.col("_s")) * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
+    at = places.select("piece", "start", "length", "sequence_id", "offset").join(parts.select("piece", F.col("start").alias("_s"), (F.octet_length("ids") / F.col("length")).cast("int").alias("_w"), "ids"), "piece")
+    bytes_ = F.substring("ids", ((F.col("start") - F.col("_s")) * F.col("_w") + 1).cast("int"), (F.col("length") * F.col("_w")).cast("int"))
     rows = at.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", bytes_.alias("ids")))).alias("p"))
     return rows.select("sequence_id", F.concat_ws("", F.transform("p", lambda x: F.hex(x["ids"]))).alias("hex")).select("sequence_id", F.unhex("hex").alias("ids"))
 

@@ -10,18 +10,27 @@ encoded whole: the same ids, slower.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
-_TOUCHING = re.compile(r"\s\s")
-_SIGN_FIRST = re.compile(r"[\W_][.,](?= )")
+#: White space but a blank or a line end; both of those touching; a comma or full stop not after a letter or digit.
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_TOUCHING = ("  ", "\n\n", " \n", "\n ")
+#: Between a letter or digit and a sign; texts with doubled signs are cut there.
+_BEFORE_SIGN = re.compile(r"(?<=[^\W_])(?=[^\w\s])")
+_DOUBLED = ("!!", "##", "$$", "%%", "&&", "**")
+_SIGN_FIRST = re.compile(r"[.,](?<![^\W_].)[ \n]")
 _CUT = "\x00"
 #: Outside these, lower-casing before composing characters might not equal composing first.
 _NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-_CACHED = 1_000_000
+#: Pieces that a worker caches, and how many of the oldest, so mostly the commonest, it keeps when it is full.
+_CACHED, _KEPT = 600_000, 450_000
 
 
 class Encoder:
@@ -29,6 +38,8 @@ class Encoder:
 
     #: True where white space is part of a token.
     keeps_space: bool
+    #: What can stand between two pieces in one text: it becomes one token, which no piece without it holds.
+    mark: str
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +53,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         # Of a piece of letters alone, the token that begins it (with its blank) or ends it.
+        self.apart = self.tokenizer.encode_batch_fast([self.mark.strip(" ")], add_special_tokens=False)[0].ids
         self.edge = np.array([x.startswith("Ġ") if self.keeps_space else x.endswith("</w>") for x in names])
 
     def whole(self, text: str) -> bytes:
@@ -50,32 +62,53 @@ class Encoder:
     def cut(self, text: str) -> list[str] | None:
         raise NotImplementedError
 
+    def split(self, pieces: list[str], text: str, at: Callable[[np.ndarray], tuple]) -> list[str]:
+        """Caches the ids of pieces from one text of them all, cut at ``at``; returns those that it can't tell."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        starts, ends = at(ids)
+        if len(starts) != len(pieces):
+            return pieces
+        size, data = ids.itemsize, ids.tobytes()
+        self.cache.update(zip(pieces, (data[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist()))))
+        return []
+
     def learn(self, pieces: set[str]) -> None:
-        """Caches the ids of pieces; those of letters alone are encoded in one text and told apart by their edges."""
-        if len(self.cache) + len(pieces) > _CACHED:
-            self.cache.clear()
-        lead = 1 if self.keeps_space else 0
-        plain = [x for x in pieces if x[lead:].isalpha() and x[:lead] == " " * lead]
-        ids = np.array(self.tokenizer.encode_batch_fast([("" if lead else " ").join(plain)], add_special_tokens=False)[0].ids, self.kind) if plain else np.zeros(0, self.kind)
-        edges = np.flatnonzero(self.edge[ids])
-        if len(edges) != len(plain):
-            plain, ids = [], ids[:0]
+        """Caches the ids of pieces: those of letters alone told apart by their edges, the others by the mark."""
+        lead = " " if self.keeps_space else ""
+        plain, marked, alone = [], [], []
+        for x in pieces:
+            body = x.removeprefix(lead)
+            (plain if body.isalpha() and len(body) + len(lead) == len(x) else marked if body and self.mark.strip(" ") not in x and not any(map(str.isspace, body)) else alone).append(x)
+
+        def by_edges(ids: np.ndarray) -> tuple:
+            edges = np.flatnonzero(self.edge[ids])
+            return (edges, np.append(edges[1:], len(ids))) if self.keeps_space else (np.append(0, edges[:-1] + 1), edges + 1)
+
+        def by_marks(ids: np.ndarray) -> tuple:
+            marks = np.flatnonzero(ids == self.apart[0])
+            return np.append(0, marks + 1), np.append(marks, len(ids))
         if plain:
-            starts = edges if lead else np.concatenate([[0], edges[:-1] + 1])
-            size, data = ids.itemsize, ids.tobytes()
-            at = (starts * size).tolist() + [len(data)]
-            self.cache.update(zip(plain, (data[a:b] for a, b in zip(at, at[1:]))))
-        for x in pieces.difference(plain):
+            alone += self.split(plain, ("" if lead else " ").join(plain), by_edges)
+        if marked:
+            alone += self.split(marked, self.mark.join(marked), by_marks) if len(self.apart) == 1 else marked
+        for x in alone:
             self.cache[x] = self.whole(x)
 
+    def unknown(self, cuts: list[list[str] | None]) -> set[str]:
+        out: set[str] = set()
+        for c in cuts:
+            if c is not None:
+                out.update(itertools.filterfalse(self.cache.__contains__, c))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             cuts = [self.cut(t) for t in texts[at:at + 256]]
-            unknown = set().union(*(c for c in cuts if c is not None)).difference(self.cache)
+            unknown = self.unknown(cuts)
             if len(self.cache) + len(unknown) > _CACHED:
-                self.cache.clear()
-                unknown = set().union(*(c for c in cuts if c is not None))
+                self.cache = dict(itertools.islice(self.cache.items(), _KEPT))
+                unknown = self.unknown(cuts)
             self.learn(unknown)
             get = self.cache.__getitem__
             out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at:at + 256], cuts)]
@@ -86,27 +119,37 @@ class DroppedSpace(Encoder):
     """For vocabularies that drop white space and case and end words with a mark."""
 
     keeps_space = False
+    mark = " ~ "
 
     def cut(self, text: str) -> list[str] | None:
-        if not _NOT_PLAIN.search(text):
+        if text.isascii() or not _NOT_PLAIN.search(text):
             text = text.lower()
-        if not _SIGN_FIRST.search(text):
-            text = text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
-        return text.replace("\n", " ").split(" ")
+        text = text.replace("\n", " ")
+        if any(x in text for x in _DOUBLED):
+            text = _BEFORE_SIGN.sub(" ", text)
+        elif not _SIGN_FIRST.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
 
 
 class KeptSpace(Encoder):
     """For byte-level vocabularies, whose tokens take the blank before a word."""
 
     keeps_space = True
+    mark = "\n"
 
     def cut(self, text: str) -> list[str] | None:
-        if not text or text[0].isspace() or text[-1].isspace() or _CUT in text or _TOUCHING.search(text):
+        if not text or text[0].isspace() or text[-1].isspace() or _CUT in text or any(x in text for x in _TOUCHING):
+            return None
+        if any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text):
             return None
-        tight = not _SIGN_FIRST.search(text)
+        signs = any(x in text for x in _DOUBLED)
+        if signs:
+            text = _BEFORE_SIGN.sub(_CUT, text)
+        tight = not signs and not _SIGN_FIRST.search(text)
         text = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
         if tight:
-            text = text.replace(",\x00 ", "\x00,\x00 ").replace(".\x00 ", "\x00.\x00 ")
+            text = text.replace(",\x00 ", "\x00,\x00 ").replace(".\x00 ", "\x00.\x00 ").replace(".\x00\n", "\x00.\x00\n")
         return text.split(_CUT)
 
 
