@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import classifier, html, media, mixing, outliers, packing, sharding, simhash, token_files
+from bahikhata.llm import classifier, html, licenses, media, mixing, outliers, packing, sharding, simhash, token_files
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -23,6 +23,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": op1_page_text,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_licenses": op4_licenses,
     "op5_png_media": op5_png_media,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
