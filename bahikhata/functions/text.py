@@ -29,6 +29,9 @@ PAYMENT_TYPES = (
 REFERENCES = (r"UTR[:\s]*([A-Z0-9]{10,22})", r"REF[:\s#]*([A-Z0-9]{8,20})", r"\b([0-9]{12,22})\b", r"(?:CHQ|CHEQUE)[:\s]*([0-9]{6,9})")
 RAILS = ("UPI", "NEFT", "RTGS", "IMPS", "INFT", "NACH", "ECS", "ACH", "BBPS", "CHQ", "ATM", "POS")
 
+#: A reference number, glued to its rail or alone.
+GLUED_REFERENCE = r"(?i)\b(?:(?:UPI|NEFT|RTGS|IMPS|INFT|NACH|ECS|ACH|BBPS)[A-Z]{0,10})?[0-9]{6,}"
+
 
 def contains_any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
     found = F.lit(False)
@@ -71,7 +74,7 @@ def mask_account(account: Column) -> Column:
 
 def rule_pattern(text: Column) -> Column:
     """The pattern that a confirmed row teaches: no references, upper case, 40 characters; null if only a rail is left."""
-    s = F.regexp_replace(text, r"\b(?:UPI|NEFT|RTGS|IMPS|INFT|NACH)[0-9]+", " ")
+    s = F.regexp_replace(text, GLUED_REFERENCE, " ")
     s = F.upper(F.trim(F.regexp_replace(F.regexp_replace(s, "[0-9]{6,}", " "), r"\s+", " ")))
     s = F.substring(s, 1, 40)
     return F.when((s != "") & ~s.isin(*RAILS), s)
