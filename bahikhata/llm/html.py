@@ -223,7 +223,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     found, _ = written(parsed(pages), "pages")
     marked = found.where("article IS NOT NULL").select("page_id", "url", F.col("article").alias("text"))
     bare = found.where("article IS NULL AND size(open_lines) > 0").join(partners(found), "page", "left")
-    theirs = found.select(F.col("page").alias("partner"), F.col("open_lines").alias("theirs"))
+    theirs = found.where("size(open_lines) > 0").select(F.col("page").alias("partner"), F.col("open_lines").alias("theirs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
