@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_AMOUNT = 2_000_000_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_amount(raw: Column) -> Column:
     """Text of an amount cell as decimal(18,2), or null.
 
@@ -15,18 +22,15 @@ def parse_amount(raw: Column) -> Column:
     two decimals, zero, and beyond MAX_AMOUNT. Dr/Cr marks, currency marks, blanks and grouping are dropped, brackets
     and (-) mean minus, and up to two stray characters at the end are forgiven.
     """
-    text = F.trim(raw)
-    s = F.regexp_replace(text, r"(?i)\s*\(?(?:cr|dr)\.?\)?$", "")
-    s = F.regexp_replace(s, r"[₹\s]", "")
-    s = F.regexp_replace(s, r"(?i)^(?:rs\.?|inr)", "")
-    s = F.replace(s, F.lit(","), F.lit(""))
-    s = F.regexp_replace(s, r"^\(-\)", "-")
-    s = F.regexp_replace(s, r"^\(([0-9.]+)\)$", "-$1")
     number = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
-    s = F.when(s.rlike(number), s).when(F.regexp_replace(s, r"[^0-9]$", "").rlike(number), F.regexp_replace(s, r"[^0-9]$", "")).otherwise(F.regexp_replace(s, r"[^0-9]{2}$", ""))
-    fits = s.rlike(number) & ~text.rlike(r"^[0-9]{10,}$") & (F.length(F.regexp_replace(s, "[^0-9]", "")) <= 10) & ~s.rlike(r"\.[0-9]{3,}$")
-    value = F.when(fits, s).try_cast("decimal(18,2)")
-    return F.when((value != 0) & (F.abs(value) <= MAX_AMOUNT), value)
+    marks = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)\s*\(?(?:cr|dr)\.?\)?$", ""), r"[₹\s]", "")
+    plain = F.replace(F.regexp_replace(marks, r"(?i)^(?:rs\.?|inr)", ""), F.lit(","), F.lit(""))
+    signed = F.regexp_replace(F.regexp_replace(plain, r"^\(-\)", "-"), r"^\(([0-9.]+)\)$", "-$1")
+    # A number with at most two stray characters after it; what is left of the text isn't one.
+    digits = F.regexp_extract(signed, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))[^0-9]{0,2}$", 1)
+    return let(digits, lambda s: let(F.when(
+        s.rlike(number) & ~F.trim(raw).rlike(r"^[0-9]{10,}$") & (F.length(F.regexp_replace(s, "[^0-9]", "")) <= 10) & ~s.rlike(r"\.[0-9]{3,}$"), s).try_cast("decimal(18,2)"),
+        lambda value: F.when((value != 0) & (F.abs(value) <= MAX_AMOUNT), value)))
 
 
 def format_indian(amount: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +36,17 @@ GLUED_REFERENCE = r"(?i)\b(?:(?:UPI|NEFT|RTGS|IMPS|INFT|NACH|ECS|ACH|BBPS)[A-Z]{
 
 
 def contains_any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | F.contains(text, F.lit(w))
-    return found
+    """Whether the text holds one of the words as they stand: one pattern, one node in the plan."""
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
+def first_case(cases: list[tuple[Column, Column]]) -> Column:
+    """A flat CASE: the value of the first condition that holds, else null."""
+    (condition, value), *rest = cases
+    out = F.when(condition, value)
+    for condition, value in rest:
+        out = out.when(condition, value)
+    return out
 
 
 def txn_hash(date: Column, narration: Column, debit: Column, credit: Column) -> Column:
@@ -58,10 +67,8 @@ def combined(narration: Column, reference: Column) -> Column:
 
 
 def payment_type(narration: Column) -> Column:
-    up, out = F.upper(narration), F.lit("OTHER")
-    for name, words in reversed(PAYMENT_TYPES):
-        out = F.when(contains_any(up, words), name).otherwise(out)
-    return out
+    up = F.upper(narration)
+    return F.coalesce(first_case([(contains_any(up, words), F.lit(name)) for name, words in PAYMENT_TYPES]), F.lit("OTHER"))
 
 
 def payment_ref(narration: Column) -> Column:

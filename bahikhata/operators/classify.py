@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bahikhata.functions.text import GLUED_REFERENCE, combined, contains_any
+from bahikhata.functions.text import GLUED_REFERENCE, combined, contains_any, first_case
 from bahikhata.operators.ledger_words import LADDER, RAILS
 
 RULE_GLOBAL, RULE_CLIENT, KEYWORD = 0.6, 0.9, 0.45
@@ -92,14 +92,15 @@ def keyword_hit(upper: Column, party: Column, is_credit: Column, bank_ledger: st
     def hit(vendor: Column, head: Column, kind: Column) -> Column:
         return F.struct(vendor.alias("vendor"), head.alias("head"), kind.alias("txn_type"))
 
-    other = F.when(is_credit, F.lit("Sundry Debtors")).otherwise("Sundry Creditors")
-    out = F.when(contains_any(upper, RAILS.split("|")), hit(party, F.when(party == "", other).otherwise(party), F.when(is_credit, F.lit("Receipt")).otherwise("Payment")))
-    for head, kind, vendor, words, vendors in reversed(LADDER):
+    cases = []
+    for head, kind, vendor, words, vendors in LADDER:
         name = F.lit(bank_ledger if vendor == "*bank" else vendor)
-        for word, special in reversed(vendors):
-            name = F.when(F.contains(upper, F.lit(word)), special).otherwise(name)
-        out = F.when(contains_any(upper, words.split("|")), hit(name, F.lit(head), F.lit(kind))).otherwise(out)
-    return out
+        if vendors:
+            name = F.coalesce(first_case([(F.contains(upper, F.lit(w)), F.lit(v)) for w, v in vendors]), name)
+        cases.append((contains_any(upper, words.split("|")), hit(name, F.lit(head), F.lit(kind))))
+    other = F.when(is_credit, F.lit("Sundry Debtors")).otherwise("Sundry Creditors")
+    rail = hit(party, F.when(party == "", other).otherwise(party), F.when(is_credit, F.lit("Receipt")).otherwise("Payment"))
+    return first_case([*cases, (contains_any(upper, RAILS.split("|")), rail)])
 
 
 def voucher_type(upper: Column, debit: Column, credit: Column) -> Column:

@@ -9,9 +9,16 @@ from bahikhata.operators.filters import export_voucher, posting_ledger
 
 
 def numbered(txns: DataFrame, prefix: str) -> DataFrame:
-    """Adds journal_no, counted within each client in statement order."""
-    n = F.row_number().over(Window.partitionBy("client_id").orderBy("ord"))
-    return txns.withColumn("journal_no", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0")))
+    """Adds journal_no, counted within each client in statement order.
+
+    Counted by stretches of ord and added up, so a client of any size spreads over many tasks.
+    """
+    rows = txns.withColumn("_part", F.floor(F.col("ord") / 100_000))
+    sums = rows.groupBy("client_id", "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("client_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("client_id", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    n = F.col("_base") + F.row_number().over(Window.partitionBy("client_id", "_part").orderBy("ord"))
+    return rows.join(sums, ["client_id", "_part"]).withColumn("journal_no", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0"))).drop("_part", "_base")
 
 
 def journal_legs(txns: DataFrame, bank_ledger: str, prefix: str = "BSP-") -> DataFrame:

@@ -1,37 +1,38 @@
-"""GST analysis of a transaction as one struct column; null where nothing speaks of GST."""
+"""GST analysis of transactions as one struct column; null where nothing speaks of GST."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bahikhata.functions.amounts import plain_number
-from bahikhata.functions.text import contains_any
+from bahikhata.functions.text import contains_any, first_case
 from bahikhata.operators.ledger_words import GST_RATES, GST_VENDORS
 
 GSTIN = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]"
 
 
-def analyse(narration: Column, reference: Column, vendor: Column, debit: Column, credit: Column) -> Column:
-    text = F.concat_ws(" ", narration, reference, vendor)
-    upper = F.upper(text)
-    gstins = F.array_distinct(F.regexp_extract_all(text, F.lit(GSTIN), F.lit(0)))
-    component = F.when(text.rlike(r"(?i)\bIGST\b"), "IGST").when(text.rlike(r"(?i)\bCGST\b|\bSGST\b|\bUTGST\b"), "CGST+SGST")
-    said, group = F.lit(None).cast("double"), F.lit(None).cast("struct<rate:double,type:string,ledger:string>")
-    for rate in reversed(GST_RATES):
-        said = F.when(text.rlike(rf"(?i)\b{rate}\s*%?\s*(gst|tax)\b|gst\s*@?\s*{rate}\b"), float(rate)).otherwise(said)
-    for rate, kind, ledger, words in reversed(GST_VENDORS):
-        group = F.when(contains_any(upper, words.split("|")), F.struct(F.lit(rate).alias("rate"), F.lit(kind).alias("type"), F.lit(ledger).alias("ledger"))).otherwise(group)
-    mention = text.rlike(r"(?i)\bGST\b|\bIGST\b|\bCGST\b|\bSGST\b")
-    rate = F.coalesce(said, group["rate"])
-    kind = F.coalesce(component, group["type"], F.when(rate.isNotNull(), "CGST+SGST"))
+def analysed(txns: DataFrame) -> DataFrame:
+    """Adds ``gst``, step by step so that no expression is repeated in the plan."""
+    rows = txns.withColumn("_text", F.concat_ws(" ", "narration", "reference", "vendor"))
+    text, upper = F.col("_text"), F.upper("_text")
+    said = first_case([(text.rlike(rf"(?i)\b{rate}\s*%?\s*(gst|tax)\b|gst\s*@?\s*{rate}\b"), F.lit(float(rate))) for rate in GST_RATES])
+    which = first_case([(contains_any(upper, words.split("|")), F.lit(i)) for i, (_, _, _, words) in enumerate(GST_VENDORS)])
+    rows = rows.withColumns({
+        "_said": said, "_which": which, "_gstins": F.array_distinct(F.regexp_extract_all(text, F.lit(GSTIN), F.lit(0))),
+        "_component": F.when(text.rlike(r"(?i)\bIGST\b"), "IGST").when(text.rlike(r"(?i)\bCGST\b|\bSGST\b|\bUTGST\b"), "CGST+SGST"),
+        "_mention": text.rlike(r"(?i)\bGST\b|\bIGST\b|\bCGST\b|\bSGST\b")})
+    of = lambda i: F.get(F.array(*[F.lit(v[i]) for v in GST_VENDORS]), F.col("_which"))
+    rows = rows.withColumn("_rate", F.coalesce("_said", of(0))).withColumn("_kind", F.coalesce("_component", of(1), F.when(F.col("_rate").isNotNull(), "CGST+SGST")))
+    rate, kind, debit, credit = F.col("_rate"), F.col("_kind"), F.col("debit"), F.col("credit")
     tax = F.when(rate > 0, F.round(F.coalesce(debit, credit).cast("double") * rate / (100 + rate), 2))
     side = F.when(debit.isNotNull() & credit.isNull(), "Input").otherwise("Output")
-    number = lambda x: plain_number(x)
-    whole = F.concat(F.lit("IGST "), side, F.lit(" ("), number(rate), F.lit("%)"))
-    halves = F.concat(F.lit("CGST "), side, F.lit(" ("), number(rate / 2), F.lit("%) + SGST "), side, F.lit(" ("), number(rate / 2), F.lit("%)"))
-    ledger = F.when((kind == "EXEMPT") | (rate == 0), None).when(kind == "IGST", whole).when(kind.isNotNull() & rate.isNotNull(), halves)
-    points = sum((F.when(c, w).otherwise(0) for c, w in ((F.size(gstins) > 0, 35), (component.isNotNull(), 20), (said.isNotNull(), 20), (group.isNotNull(), 15), (mention, 10))), F.lit(0))
-    speaks = mention | group.isNotNull() | (F.size(gstins) > 0) | said.isNotNull()
-    return F.when(speaks, F.struct(rate.alias("gst_rate"), kind.alias("gst_type"), tax.alias("gst_amount"), gstins.alias("gstins"), group["ledger"].alias("expense_ledger"),
-                                   ledger.alias("suggested_ledger"), (F.least(points, F.lit(99)) / 100.0).alias("confidence")))
+    rows = rows.withColumns({"_side": side, "_whole": plain_number(rate), "_half": plain_number(rate / 2)})
+    one = F.concat(F.lit("IGST "), "_side", F.lit(" ("), "_whole", F.lit("%)"))
+    two = F.concat(F.lit("CGST "), "_side", F.lit(" ("), "_half", F.lit("%) + SGST "), "_side", F.lit(" ("), "_half", F.lit("%)"))
+    ledger = F.when((kind == "EXEMPT") | (rate == 0), None).when(kind == "IGST", one).when(kind.isNotNull() & rate.isNotNull(), two)
+    found, hit = F.size("_gstins") > 0, F.col("_which").isNotNull()
+    points = sum((F.when(c, w).otherwise(0) for c, w in ((found, 35), (F.col("_component").isNotNull(), 20), (F.col("_said").isNotNull(), 20), (hit, 15), (F.col("_mention"), 10))), F.lit(0))
+    speaks = F.col("_mention") | hit | found | F.col("_said").isNotNull()
+    answer = F.struct(rate.alias("gst_rate"), kind.alias("gst_type"), tax.alias("gst_amount"), F.col("_gstins").alias("gstins"), of(2).alias("expense_ledger"), ledger.alias("suggested_ledger"), (F.least(points, F.lit(99)) / 100.0).alias("confidence"))
+    return rows.withColumn("gst", F.when(speaks, answer)).drop("_text", "_said", "_which", "_gstins", "_component", "_mention", "_rate", "_kind", "_side", "_whole", "_half")

@@ -28,7 +28,9 @@ def healed(local: DataFrame, remote: DataFrame, days: int, today: Column) -> Dat
     A payment is looked up by provider reference, else by order; one found twice is ambiguous and stays.
     """
     recent = local.where(F.datediff(today, F.col("created")) <= days)
-    hit = recent.join(remote, (recent["provider_ref"] == remote["remote_ref"]) | (recent["provider_ref"].isNull() & (recent["order_ref"] == remote["remote_order"])), "left")
+    named = recent.join(remote, F.col("provider_ref") == F.col("remote_ref"))
+    ordered = recent.where("provider_ref is null").join(remote, F.col("order_ref") == F.col("remote_order"))
+    hit = named.unionByName(ordered)
     of = hit.groupBy("payment_id", "status").agg(F.count("remote_status").alias("n"), F.max("remote_status").alias("remote_status"))
     mapped = F.when(F.col("remote_status") == "captured", "paid").when(F.col("remote_status").isin("failed", "expired"), "failed").when(F.col("remote_status") == "refunded", "refunded")
     return of.where("n = 1").withColumn("healed_status", mapped).where((F.col("healed_status").isNotNull()) & (F.col("healed_status") != F.col("status"))).select("payment_id", "status", "healed_status")
