@@ -87,20 +87,21 @@ def with_party(txns: DataFrame, text: Column, out: str = "party") -> DataFrame:
     return txns.join(names, F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
 
 
-def keyword_hit(upper: Column, party: Column, is_credit: Column, bank_ledger: str) -> Column:
-    """The first rung of the ladder that the text meets, as struct(vendor, head, txn_type); null if none does."""
-    def hit(vendor: Column, head: Column, kind: Column) -> Column:
-        return F.struct(vendor.alias("vendor"), head.alias("head"), kind.alias("txn_type"))
-
-    cases = []
-    for head, kind, vendor, words, vendors in LADDER:
-        name = F.lit(bank_ledger if vendor == "*bank" else vendor)
-        if vendors:
-            name = F.coalesce(first_case([(F.contains(upper, F.lit(w)), F.lit(v)) for w, v in vendors]), name)
-        cases.append((contains_any(upper, words.split("|")), hit(name, F.lit(head), F.lit(kind))))
+def with_keyword(rows: DataFrame, upper: Column, party: Column, is_credit: Column, bank_ledger: str) -> DataFrame:
+    """Adds ``_rung``, the first rung of the ladder that the text meets (null if none), and ``_kw``, its struct(vendor, head, txn_type)."""
+    rail = len(LADDER)
+    rungs = [(contains_any(upper, words.split("|")), F.lit(i)) for i, (*_, words, _) in enumerate(LADDER)]
+    rows = rows.withColumn("_rung", first_case([*rungs, (contains_any(upper, RAILS.split("|")), F.lit(rail))]))
+    at = F.col("_rung")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
+    special = first_case([((at == i) & F.contains(upper, F.lit(w)), F.lit(v)) for i, (*_, vendors) in enumerate(LADDER) for w, v in vendors])
     other = F.when(is_credit, F.lit("Sundry Debtors")).otherwise("Sundry Creditors")
-    rail = hit(party, F.when(party == "", other).otherwise(party), F.when(is_credit, F.lit("Receipt")).otherwise("Payment"))
-    return first_case([*cases, (contains_any(upper, RAILS.split("|")), rail)])
+    on_rail = at == rail
+    answer = F.struct(
+        F.when(on_rail, party).otherwise(F.coalesce(special, of(bank_ledger if v[2] == "*bank" else v[2] for v in LADDER))).alias("vendor"),
+        F.when(on_rail, F.when(party == "", other).otherwise(party)).otherwise(of(v[0] for v in LADDER)).alias("head"),
+        F.when(on_rail, F.when(is_credit, "Receipt").otherwise("Payment")).otherwise(of(v[1] for v in LADDER)).alias("txn_type"))
+    return rows.withColumn("_kw", F.when(at.isNotNull(), answer))
 
 
 def voucher_type(upper: Column, debit: Column, credit: Column) -> Column:
@@ -142,7 +143,7 @@ def classified(txns: DataFrame, rules: DataFrame, bank_ledger: str = "Bank A/c")
     rows = with_party(txns, text).withColumn("_up", F.upper(text))
     rows = first_rule(rows, rules, F.col("_up"))
     credit = F.col("credit").isNotNull() & F.col("debit").isNull()
-    rows = rows.withColumn("_kw", keyword_hit(F.col("_up"), F.col("party"), credit, bank_ledger)).withColumn("_lock", locked(F.col("status"), F.col("classification_source"), F.col("confidence")))
+    rows = with_keyword(rows, F.col("_up"), F.col("party"), credit, bank_ledger).withColumn("_lock", locked(F.col("status"), F.col("classification_source"), F.col("confidence")))
     ruled, worded = F.col("rule").isNotNull(), F.col("_kw").isNotNull()
     filled = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)
 
@@ -162,4 +163,4 @@ def classified(txns: DataFrame, rules: DataFrame, bank_ledger: str = "Bank A/c")
     changed = F.lit(False)
     for name in watched:
         changed = changed | (~new[name].eqNullSafe(F.col(name)))
-    return rows.withColumn("changed", changed).withColumn("tag", F.when(~F.col("_lock"), tax_tag(F.upper(F.concat_ws(" ", "narration", "reference"))))).withColumns(new).drop("_up", "_kw", "_lock", "rule")
+    return rows.withColumn("changed", changed).withColumn("tag", F.when(~F.col("_lock"), tax_tag(F.upper(F.concat_ws(" ", "narration", "reference"))))).withColumns(new).drop("_up", "_kw", "_rung", "_lock", "rule")

@@ -42,9 +42,8 @@ def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with the keyword ladder's vendor, head and type; rails without a party."""
     rows = raw(spark, sf_dir).withColumn("up", F.upper(text.combined(F.col("narration"), F.col("reference"))))
     credit = F.col("credit").isNotNull()
-    hit = classify.keyword_hit(F.col("up"), F.lit(""), credit, BANK)
-    rows = rows.withColumn("_kw", hit)
-    return rows.withColumns({"vendor": F.coalesce("_kw.vendor", F.lit("")), "account_head": F.coalesce("_kw.head", F.lit("")), "txn_type": F.coalesce("_kw.txn_type", F.when(credit, "Receipt").otherwise("Payment"))}).drop("_kw", "up")
+    rows = classify.with_keyword(rows, F.col("up"), F.lit(""), credit, BANK)
+    return rows.withColumns({"vendor": F.coalesce("_kw.vendor", F.lit("")), "account_head": F.coalesce("_kw.head", F.lit("")), "txn_type": F.coalesce("_kw.txn_type", F.when(credit, "Receipt").otherwise("Payment"))}).drop("_kw", "_rung", "up")
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,10 +340,9 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{sql.KEYWORDS} SELECT ord, kw_head AS head, kw_type AS txn_type, kw_vendor AS vendor FROM kw WHERE kw_head IS NOT NULL")
 def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3, J6"""
-    rows = raw(spark, sf_dir)
-    up = F.upper(text.combined(F.col("narration"), F.col("reference")))
-    hit = rows.select("ord", classify.keyword_hit(up, F.lit("\x00"), F.col("credit").isNotNull(), BANK).alias("k")).where("k is not null")
-    return hit.where(F.col("k.vendor") != "\x00").select("ord", F.col("k.head").alias("head"), F.col("k.txn_type").alias("txn_type"), F.col("k.vendor").alias("vendor"))
+    rows = raw(spark, sf_dir).withColumn("up", F.upper(text.combined(F.col("narration"), F.col("reference"))))
+    hit = classify.with_keyword(rows, F.col("up"), F.lit(""), F.col("credit").isNotNull(), BANK).where(F.col("_rung") < len(classify.LADDER))
+    return hit.select("ord", F.col("_kw.head").alias("head"), F.col("_kw.txn_type").alias("txn_type"), F.col("_kw.vendor").alias("vendor"))
 
 
 @query(f"""{sql.KEYWORDS} SELECT ord, CASE WHEN regexp_matches(up, '\\bATM\\b|CASH\\s*(DEP|WDL|WITHDRAWAL)|\\bSELF\\s*TRANSFER\\b') THEN 'Contra' WHEN credit IS NOT NULL THEN 'Receipt' ELSE 'Payment' END AS voucher,
