@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,20 @@ _PIECES = "piece long, doc_id long, start long, length int, ids_crc32 long, doc_
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The full windows and the tail of every document, with their ids (little-endian, as wide as the
     vocabulary needs); piece is unique."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_space(vocabulary)
-        end = np.array([END], encode.kind).tobytes()
-        key = TaskContext.get().partitionId() << 40
+        end, key = np.array([END], encode.kind), TaskContext.get().partitionId() << 40
+        schema = pa.schema([("piece", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for rows in batches:
             out: list[tuple] = []
-            for doc, found in zip(rows["doc_id"].astype("Int64"), encode(rows["text"].tolist())):
-                ids = np.frombuffer(found + end, encode.kind)
+            for doc, found in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text"))):
+                ids = np.concatenate([found, end])
                 for at in range(0, len(ids), WINDOW):
                     part = ids[at:at + WINDOW]
                     out.append((key, doc, at, len(part), crc_of(part), len(ids), part.tobytes()))
                     key += 1
-            table = pd.DataFrame(out, columns=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            yield table.astype({"doc_id": "Int64", "piece": "int64", "start": "int64", "length": "int32", "ids_crc32": "int64", "doc_tokens": "int64"})
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, _PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, schema.types)], schema=schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _PIECES)
 
 
 def combinations(window: int = WINDOW) -> np.ndarray:

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +57,14 @@ def decoded(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, vocabulary: str, cuts: list[int]) -> DataFrame:
     """(shard, doc_id, ids) in two-byte ids, the end id included; shard = how many of ``cuts`` are <= doc_id."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = dropped_space(vocabulary)
         end = np.array([END], encode.kind).tobytes()
         for rows in batches:
-            null = rows["doc_id"].isna()
-            shard = np.where(null, 0, np.searchsorted(np.array(cuts, np.int64), rows["doc_id"].fillna(0).astype("int64"), "right"))
-            yield pd.DataFrame({"shard": shard.astype("int32"), "doc_id": rows["doc_id"].astype("Int64"), "ids": [x + end for x in encode(rows["text"].tolist())]})
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "shard int, doc_id long, ids binary")
+            ids = rows.column("doc_id")
+            shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(np.array(cuts, np.int64), pc.fill_null(ids, 0).to_numpy(), "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array([x.tobytes() + end for x in encode(rows.column("text"))], pa.binary())], ["shard", "doc_id", "ids"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
 
 
 def frequencies(tokens: DataFrame, size: int) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 A token of these vocabularies never crosses from one run of letters, digits, other signs or white space to the
 next, so a text is cut at such places (before blanks, around line ends, before a comma or full stop after a letter
-or digit), each distinct piece is encoded once per worker, and the ids are joined. Where a cut might not be such a
+or digit), each distinct piece is encoded once per worker, and the ids are gathered. Where a cut might not be such a
 place (white space touching white space or the text's ends, a sign before the comma) it isn't made, or the text is
-encoded whole: the same ids, slower.
+encoded whole: the same ids, slower. Cutting, counting distinct pieces and gathering run on Arrow and numpy arrays.
 """
 
 from __future__ import annotations
@@ -12,23 +12,25 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Callable
 
 import numpy as np
-
-#: White space but a blank or a line end; both of those touching; a comma or full stop not after a letter or digit.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_TOUCHING = ("  ", "\n\n", " \n", "\n ")
-#: Between a letter or digit and a sign; texts with doubled signs are cut there.
-_BEFORE_SIGN = re.compile(r"(?<=[^\W_])(?=[^\w\s])")
-_DOUBLED = ("!!", "##", "$$", "%%", "&&", "**")
-_SIGN_FIRST = re.compile(r"[.,](?<![^\W_].)[ \n]")
-_CUT = "\x00"
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_CUT = "\x01"
+#: Texts that are encoded whole where white space is kept: white space but blanks and line ends, or touching.
+_WHOLE = r"[\t\v\f\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
+#: A comma or full stop that doesn't follow a letter or digit.
+_SIGN_FIRST = r"(?:^|[^\pL\pN])[.,][ \n]"
+#: Texts with doubled signs are cut between a letter or digit and a sign.
+_DOUBLED = r"!!|##|\$\$|%%|&&|\*\*"
+_BEFORE_SIGN = r"([\pL\pN])([^\pL\pN\s\x01])"
 #: Outside these, lower-casing before composing characters might not equal composing first.
-_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_NOT_PLAIN = r"[^\x00-\x{12f}\x{131}-\x{24f}]"
+#: Bytes of text that are cut at once.
+_STRETCH = 16 << 20
 #: Pieces that a worker caches, and how many of the oldest, so mostly the commonest, it keeps when it is full.
 _CACHED, _KEPT = 600_000, 450_000
 
@@ -59,9 +61,6 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def cut(self, text: str) -> list[str] | None:
-        raise NotImplementedError
-
     def split(self, pieces: list[str], text: str, at: Callable[[np.ndarray], tuple]) -> list[str]:
         """Caches the ids of pieces from one text of them all, cut at ``at``; returns those that it can't tell."""
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -94,26 +93,52 @@ class Encoder:
         for x in alone:
             self.cache[x] = self.whole(x)
 
-    def unknown(self, cuts: list[list[str] | None]) -> set[str]:
-        out: set[str] = set()
-        for c in cuts:
-            if c is not None:
-                out.update(itertools.filterfalse(self.cache.__contains__, c))
-        return out
+    def whole_ones(self, texts: pa.Array) -> np.ndarray:
+        """Which texts can't be cut."""
+        raise NotImplementedError
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cuts = [self.cut(t) for t in texts[at:at + 256]]
-            unknown = self.unknown(cuts)
-            if len(self.cache) + len(unknown) > _CACHED:
-                self.cache = dict(itertools.islice(self.cache.items(), _KEPT))
-                unknown = self.unknown(cuts)
-            self.learn(unknown)
-            get = self.cache.__getitem__
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at:at + 256], cuts)]
+    def cuts(self, texts: pa.Array) -> pa.Array:
+        """The pieces of each text, as lists."""
+        raise NotImplementedError
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of each text; nulls are taken as empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out: list[np.ndarray] = []
+        while len(out) < len(texts):
+            at = len(out)
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _STRETCH, "right")))
+            out += self.stretch(texts.slice(at, stop - at))
         return out
 
+    def stretch(self, texts: pa.Array) -> list[np.ndarray]:
+        whole = self.whole_ones(texts)
+        found = iter(self.gathered(self.cuts(texts.filter(pa.array(~whole)))) if not whole.all() else [])
+        return [np.frombuffer(self.whole(texts[i].as_py()), self.kind) if w else next(found) for i, w in enumerate(whole.tolist())]
+
+    def gathered(self, lists: pa.Array) -> list[np.ndarray]:
+        pieces = lists.flatten().dictionary_encode()
+        words, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        unknown = set(itertools.filterfalse(self.cache.__contains__, words))
+        if len(self.cache) + len(unknown) > _CACHED:
+            self.cache = dict(itertools.islice(self.cache.items(), _KEPT))
+            unknown = set(itertools.filterfalse(self.cache.__contains__, words))
+        self.learn(unknown)
+        each = [self.cache[w] for w in words]
+        flat = np.frombuffer(b"".join(each), self.kind)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // flat.itemsize
+        first = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
+
+
+def _matches(texts: pa.Array, pattern: str) -> pa.Array:
+    return pc.match_substring_regex(texts, pattern)
+
 
 class DroppedSpace(Encoder):
     """For vocabularies that drop white space and case and end words with a mark."""
@@ -121,15 +146,19 @@ class DroppedSpace(Encoder):
     keeps_space = False
     mark = " ~ "
 
-    def cut(self, text: str) -> list[str] | None:
-        if text.isascii() or not _NOT_PLAIN.search(text):
-            text = text.lower()
-        text = text.replace("\n", " ")
-        if any(x in text for x in _DOUBLED):
-            text = _BEFORE_SIGN.sub(" ", text)
-        elif not _SIGN_FIRST.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+    def whole_ones(self, texts: pa.Array) -> np.ndarray:
+        return np.zeros(len(texts), bool)
+
+    def cuts(self, texts: pa.Array) -> pa.Array:
+        plain = pc.invert(_matches(texts, _NOT_PLAIN))
+        texts = pc.replace_substring(pc.if_else(plain, pc.utf8_lower(texts), texts), "\n", " ")
+        signs = pc.and_(plain, _matches(texts, _DOUBLED))
+        tight = pc.invert(pc.or_(signs, _matches(texts, _SIGN_FIRST)))
+        apart = pc.replace_substring(pc.replace_substring(texts, ", ", " , "), ". ", " . ")
+        texts = pc.if_else(tight, apart, texts)
+        if pc.any(signs).as_py():
+            texts = pc.if_else(signs, pc.replace_substring_regex(texts, _BEFORE_SIGN, r"\1 \2"), texts)
+        return pc.split_pattern(texts, " ")
 
 
 class KeptSpace(Encoder):
@@ -138,19 +167,19 @@ class KeptSpace(Encoder):
     keeps_space = True
     mark = "\n"
 
-    def cut(self, text: str) -> list[str] | None:
-        if not text or text[0].isspace() or text[-1].isspace() or _CUT in text or any(x in text for x in _TOUCHING):
-            return None
-        if any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text):
-            return None
-        signs = any(x in text for x in _DOUBLED)
-        if signs:
-            text = _BEFORE_SIGN.sub(_CUT, text)
-        tight = not signs and not _SIGN_FIRST.search(text)
-        text = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
-        if tight:
-            text = text.replace(",\x00 ", "\x00,\x00 ").replace(".\x00 ", "\x00.\x00 ").replace(".\x00\n", "\x00.\x00\n")
-        return text.split(_CUT)
+    def whole_ones(self, texts: pa.Array) -> np.ndarray:
+        return _matches(texts, _WHOLE).to_numpy(zero_copy_only=False)
+
+    def cuts(self, texts: pa.Array) -> pa.Array:
+        signs = _matches(texts, _DOUBLED)
+        tight = pc.invert(pc.or_(signs, _matches(texts, _SIGN_FIRST)))
+        if pc.any(signs).as_py():
+            texts = pc.if_else(signs, pc.replace_substring_regex(texts, _BEFORE_SIGN, "\\1\x01\\2"), texts)
+        texts = pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n\x01")
+        apart = texts
+        for old, new in ((",\x01 ", "\x01,\x01 "), (".\x01 ", "\x01.\x01 "), (".\x01\n", "\x01.\x01\n")):
+            apart = pc.replace_substring(apart, old, new)
+        return pc.split_pattern(pc.if_else(tight, apart, texts), _CUT)
 
 
 @functools.cache
