@@ -6,7 +6,7 @@ would need, in one shuffle of pre-aggregated sums; the levels above are sums of
 large there are counted deeper, FINE bits at a time, from their own documents.
 
 Cases: null and empty texts have 0 bytes; null doc_ids hash alike. Rows with one doc_id (repeats, nulls) share all
-60 bits, so they are told apart by further bits, of a hash of the text and of their number among equal rows. A single
+60 bits, so a second 60 bits follow, of the text and of the row's number among those with its doc_id. A single
 document over the limit is a shard of its own. An empty table gives an empty result.
 """
 
@@ -27,12 +27,12 @@ def _prefix(bits: str, depth: int | Column) -> Column:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, bits: the hash as a string of 0 and 1, longer only for doc_ids that repeat."""
+    """doc_id, n_bytes, bits: the two hashes as a string of 0 and 1, the first of the doc_id."""
     digest = lambda c: F.lpad(F.conv(F.substring(F.md5(c), 1, 15), 16, 2), BITS, "0")
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("text").alias("_text"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_text"))
     first = digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return (rows.withColumn("_n", number).withColumn("bits", F.when(F.col("_n") == 1, first).otherwise(F.concat(first, digest(F.concat_ws(":", "_text", "_n")))))
+    return (rows.withColumn("_n", number).withColumn("bits", F.concat(first, digest(F.concat_ws(":", "_text", "_n"))))
             .select("doc_id", "n_bytes", "bits"))
 
 
