@@ -123,24 +123,32 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (bigint), component_id (smallest doc_id of its component)."""
+    """One row per document: doc_id, fp (bigint), root (smallest fp of its component), component_id (smallest doc_id)."""
     fps, _ = written(fingerprints(docs, id_col, text_col), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp")))
     of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of, _ = written(of, "simhash-classes")
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.select("fp", "root").join(groups, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = of.select("fp", "root").join(groups, "root")
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, once."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("_id"), "fp").distinct()
-    rows = docs.withColumn("_fp", _fingerprints(text_of()))
-    return (rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")))
-            .dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, once.
+
+    Texts move once, to meet the list of ids that stay. Only ids that stand on several rows, and null ids,
+    need a second look: there the smallest fingerprint of the component stays.
+    """
+    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "root").agg(F.min("fp").alias("_keep"), F.count("*").alias("n"))
+    stay, _ = written(stay, "simhash-stay")
+    clear = stay.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n = 1 and doc_id is not null").select("doc_id")
+    rows = docs.join(clear, "doc_id", "left_semi").select(*docs.columns)
+    doubtful = stay.join(clear, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), "_keep")
+    if doubtful.isEmpty():
+        return rows
+    again = docs.join(doubtful, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_fp", _fingerprints(text_of())).where("_fp = _keep")
+    return rows.unionByName(again.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
