@@ -30,9 +30,9 @@ _BEFORE_SIGN = r"([\pL\pN])([^\pL\pN\s\x01])"
 #: Outside these, lower-casing before composing characters might not equal composing first.
 _NOT_PLAIN = r"[^\x00-\x{12f}\x{131}-\x{24f}]"
 #: Bytes of text that are cut at once.
-_STRETCH = 16 << 20
+_STRETCH = 4 << 20
 #: Pieces that a worker caches, and how many of the oldest, so mostly the commonest, it keeps when it is full.
-_CACHED, _KEPT = 600_000, 450_000
+_CACHED, _KEPT = 400_000, 300_000
 
 
 class Encoder:
