@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bahikhata.functions.text import tokens, txn_hash
+from bahikhata.functions.text import overlap, tokens, txn_hash
 
 LIKE = 0.5
 
@@ -32,7 +31,7 @@ def flagged(txns: DataFrame) -> DataFrame:
 def like_narrations(txns: DataFrame) -> DataFrame:
     """Adds dup_like: within a day, amount and direction, a row whose narration is like an earlier unflagged row's.
 
-    The rule is sequential (a flagged row flags no other), so it runs per bucket; equal token sets are judged
+    The rule is sequential (a flagged row flags no other), so it is a fold over each bucket; equal token sets are judged
     once, so a bucket's work is quadratic only in its different narrations, and its rows carry keys alone.
     """
     rows = flagged(txns)
@@ -45,15 +44,13 @@ def like_narrations(txns: DataFrame) -> DataFrame:
     again = sets.where("n > 1 and words <> ''").select("ord")
     bucket = sets.where("n = 1 and words <> ''")
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        out = []
-        for ord_, words in sorted(zip(rows["ord"], rows["words"])):
-            mine = set(words.split(" "))
-            if any(len(mine & other) / max(len(mine), len(other)) >= LIKE for other in kept):
-                out.append(ord_)
-            else:
-                kept.append(mine)
-        return pd.DataFrame({"ord": pd.Series(out, dtype="int64")})
-    found = bucket.groupBy("account", "date", "amount", "out").applyInPandas(judge, "ord long").unionByName(again).select(F.col("ord").alias("_o"))
+    order = F.array_sort(F.collect_list(F.struct("ord", F.split("words", " ").alias("w"))))
+    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.array().cast("array<bigint>").alias("out"))
+
+    def judge(seen: Column, row: Column) -> Column:
+        like = F.exists(seen["kept"], lambda other: overlap(other, row["w"]) >= LIKE)
+        kept = F.when(like, seen["kept"]).otherwise(F.concat(seen["kept"], F.array(row["w"])))
+        return F.struct(kept.alias("kept"), F.when(like, F.concat(seen["out"], F.array(row["ord"]))).otherwise(seen["out"]).alias("out"))
+    judged = bucket.groupBy("account", "date", "amount", "out").agg(order.alias("_rows")).where("size(_rows) > 1")
+    found = judged.select(F.explode(F.aggregate("_rows", start, judge)["out"]).alias("ord")).unionByName(again).select(F.col("ord").alias("_o"))
     return rows.join(found, F.col("ord") == F.col("_o"), "left").withColumn("dup_like", F.col("_o").isNotNull()).drop("_o")

@@ -26,7 +26,9 @@ def _near(a: Column, b: Column, pct: float) -> Column:
 
 
 def candidates(bank: DataFrame, vouchers: DataFrame, cfg: ReconConfig = ReconConfig()) -> DataFrame:
-    """(b, v, score): pairs within twice the tolerances. bank(b, date, amount, narration, reference), vouchers(v, date, amount, narration, voucher_no).
+    """(b, v, score): pairs of one account within twice the tolerances.
+
+    bank(account, b, date, amount, narration, reference), vouchers(account, v, date, amount, narration, voucher_no).
 
     The range join is made equal by buckets: days in buckets of twice the tolerance, and amounts in buckets
     on a logarithmic scale that are wider than the tolerance, so a pair meets in a neighbouring bucket at most.
@@ -41,11 +43,11 @@ def candidates(bank: DataFrame, vouchers: DataFrame, cfg: ReconConfig = ReconCon
         rows = rows.where("date is not null").withColumn("_a", size.cast("decimal(18,2)")).withColumn("_t", tokens(F.col("narration"), "[^A-Z0-9]+"))
         around = lambda x: F.explode(F.sequence(x - 1, x + 1)) if spread else x
         return rows.withColumn("_day", around(day)).withColumn("_level", around(level))
-    left = bucketed(bank, True).select("b", "_day", "_level", F.col("date").alias("bd"), F.col("_a").alias("ba"), F.col("_t").alias("bt"), F.trim("reference").alias("br"))
-    right = bucketed(vouchers, False).select("v", "_day", "_level", F.col("date").alias("vd"), F.col("_a").alias("va"), F.col("_t").alias("vt"), F.trim("voucher_no").alias("vr"))
+    left = bucketed(bank, True).select("account", "b", "_day", "_level", F.col("date").alias("bd"), F.col("_a").alias("ba"), F.col("_t").alias("bt"), F.trim("reference").alias("br"))
+    right = bucketed(vouchers, False).select("account", "v", "_day", "_level", F.col("date").alias("vd"), F.col("_a").alias("va"), F.col("_t").alias("vt"), F.trim("voucher_no").alias("vr"))
     a, b, days = F.col("ba"), F.col("va"), F.abs(F.datediff("bd", "vd"))
     both = (a == 0) & (b == 0)
-    pairs = left.join(right, ["_day", "_level"]).where((days <= reach) & (both | ((a > 0) & (b > 0) & _near(a, b, 2 * cfg.pct))))
+    pairs = left.join(right, ["account", "_day", "_level"]).where((days <= reach) & (both | ((a > 0) & (b > 0) & _near(a, b, 2 * cfg.pct))))
     like = jaccard(F.col("bt"), F.col("vt"))
     points = (F.when(a == b, 0.40).when(_near(a, b, cfg.pct), 0.30).otherwise(0.10)
               + F.when(days == 0, 0.40).when(days <= 1, 0.30).when(days <= cfg.days, 0.20).otherwise(0.05)

@@ -387,17 +387,17 @@ def party_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bank_and_vouchers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bank rows are transactions; every third one has a voucher a few days and paise off."""
     rows = raw(spark, sf_dir).withColumn("amount", F.coalesce("debit", "credit"))
-    bank = rows.select(F.col("ord").alias("b"), "date", "amount", "narration", "reference")
+    bank = rows.select("account", F.col("ord").alias("b"), "date", "amount", "narration", "reference")
     off = (F.col("ord") % 5).cast("int")
-    vouchers = rows.where("ord % 3 = 0").select((F.col("ord") + 1_000_000).alias("v"), F.date_add("date", off - 2).alias("date"), (F.col("amount") + (F.col("ord") % 4).cast("decimal(18,2)") / 100).cast("decimal(18,2)").alias("amount"), "narration", F.lpad(F.col("ord").cast("string"), 12, "0").alias("voucher_no"))
+    vouchers = rows.where("ord % 3 = 0").select("account", (F.col("ord") + 1_000_000).alias("v"), F.date_add("date", off - 2).alias("date"), (F.col("amount") + (F.col("ord") % 4).cast("decimal(18,2)") / 100).cast("decimal(18,2)").alias("amount"), "narration", F.lpad(F.col("ord").cast("string"), 12, "0").alias("voucher_no"))
     return bank, vouchers
 
 
 _NEAR = "abs(b.amount - v.amount) * 10000 <= greatest(b.amount, v.amount)"
 _WORDS = "list_distinct(list_filter(string_split_regex(upper({0}), '[^A-Z0-9]+'), lambda t: strlen(t) >= 4))"
-_CANDIDATES = f"""{TXN}, b AS (SELECT ord AS b, date, coalesce(debit, credit) AS amount, reference, {_WORDS.format('narration')} AS w FROM txn),
- v AS (SELECT ord + 1000000 AS v, date + CAST(ord % 5 - 2 AS INT) AS date, CAST(coalesce(debit, credit) + CAST(ord % 4 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2)) AS amount, lpad(CAST(ord AS VARCHAR), 12, '0') AS voucher_no, {_WORDS.format('narration')} AS w FROM txn WHERE ord % 3 = 0),
- p AS (SELECT b, v, b.amount = v.amount AS same, {_NEAR} * 50 AS near, abs(b.date - v.date) AS days, len(b.w) AS nb, len(v.w) AS nv, len(list_intersect(b.w, v.w)) AS both_, reference <> '' AND reference = voucher_no AS ref FROM b, v WHERE abs(b.date - v.date) <= 6 AND {_NEAR} * 100),
+_CANDIDATES = f"""{TXN}, b AS (SELECT account, ord AS b, date, coalesce(debit, credit) AS amount, reference, {_WORDS.format('narration')} AS w FROM txn),
+ v AS (SELECT account, ord + 1000000 AS v, date + CAST(ord % 5 - 2 AS INT) AS date, CAST(coalesce(debit, credit) + CAST(ord % 4 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2)) AS amount, lpad(CAST(ord AS VARCHAR), 12, '0') AS voucher_no, {_WORDS.format('narration')} AS w FROM txn WHERE ord % 3 = 0),
+ p AS (SELECT b, v, b.amount = v.amount AS same, {_NEAR} * 50 AS near, abs(b.date - v.date) AS days, len(b.w) AS nb, len(v.w) AS nv, len(list_intersect(b.w, v.w)) AS both_, reference <> '' AND reference = voucher_no AS ref FROM b JOIN v USING (account) WHERE abs(b.date - v.date) <= 6 AND {_NEAR} * 100),
  q AS (SELECT *, CASE WHEN nb > 0 AND nv > 0 THEN CAST(both_ AS DOUBLE) / (nb + nv - both_) ELSE 0 END AS lik FROM p)
  SELECT b, v, round(least((CASE WHEN same THEN 0.40::DOUBLE WHEN near THEN 0.30::DOUBLE ELSE 0.10::DOUBLE END) + (CASE WHEN days = 0 THEN 0.40::DOUBLE WHEN days <= 1 THEN 0.30::DOUBLE WHEN days <= 3 THEN 0.20::DOUBLE ELSE 0.05::DOUBLE END) + (CASE WHEN lik >= 0.80 THEN 0.20::DOUBLE WHEN lik >= 0.55 THEN lik * 0.15::DOUBLE ELSE 0::DOUBLE END) + (CASE WHEN ref THEN 0.20::DOUBLE ELSE 0::DOUBLE END), 1.0::DOUBLE), 2) AS score FROM q"""
 

@@ -166,8 +166,8 @@ def test_date_buckets_lose_no_pair(spark):
     day = date(2024, 1, 1)
     bank = [(i, day + timedelta(rnd.randint(0, 40)), float(rnd.choice([100, 100.4, 101, 0, 99.2, 5000])), "ABCD", "") for i in range(60)]
     vouchers = [(i, day + timedelta(rnd.randint(0, 40)), float(rnd.choice([100, 100.5, 101.9, 0, 98.9, 5049.9])), "ABCD EFGH", "") for i in range(60)]
-    b = spark.createDataFrame(bank, "b long, date date, amount decimal(18,2), narration string, reference string".replace("decimal(18,2)", "double")).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
-    v = spark.createDataFrame(vouchers, "v long, date date, amount double, narration string, voucher_no string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    b = spark.createDataFrame(bank, "b long, date date, amount double, narration string, reference string").withColumn("account", F.lit(1)).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    v = spark.createDataFrame(vouchers, "v long, date date, amount double, narration string, voucher_no string").withColumn("account", F.lit(1)).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     near = lambda x, y: (x == y == 0) or (x > 0 and y > 0 and round(abs(x - y) * 100) * 100 <= round(max(x, y) * 100))
     want = {(x[0], y[0]) for x in bank for y in vouchers if abs((x[1] - y[1]).days) <= 6 and near(x[2], y[2])}
     assert {(r.b, r.v) for r in recon.candidates(b, v).collect()} == want
