@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts on whole texts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+FILE_BYTES = 128 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,11 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, tag: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+def compact(df: DataFrame, thin: bool = False) -> DataFrame:
+    """df in no more partitions than a few a core, or one a FILE_BYTES of estimated size if that is more.
+
+    Small files cost a folder entry, a process for its permissions and a footer each. ``thin`` says that rows are a few numbers, so a
+    few partitions a core are enough whatever the estimate (joins overestimate).
+    """
+    n = 4 * df.sparkSession.sparkContext.defaultParallelism
+    if not thin:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        n = max(n, size // FILE_BYTES)
+    return df.coalesce(min(n, 1_000_000))
+
+
+def written(df: DataFrame, tag: str, compression: str = "zstd", thin: bool = False) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs one read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    compact(df, thin).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -204,7 +204,7 @@ def partners(pages: DataFrame) -> DataFrame:
     keys = pages.select("page", host.alias("host"), F.rtrim(path, F.lit("/")).alias("path"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = keys.repartitionByRange(n, "host", "path", "page").sortWithinPartitions("host", "path", "page")
-    keys, _ = written(keys.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "page-order")
+    keys, _ = written(keys.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "page-order", thin=True)
     one = F.struct("at", "host", "path", "page")
     ends = keys.groupBy("part").agg(F.min(one).alias("first"), F.max(one).alias("last"))
     row = Window.partitionBy().orderBy("part")

@@ -58,7 +58,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     The sources are a dimension (named collections), so their list is what the driver plans with.
     """
     spark = docs.sparkSession
-    sized, _ = written(sizes(docs), "mixing-sizes")
+    sized, _ = written(sizes(docs), "mixing-sizes", thin=True)
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     size = {r["source"]: r["size"] for r in rows}
     want = targets(size)
@@ -73,7 +73,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     ordered = sized.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # Equal doc_ids are told apart by a number; rows that agree in all columns may swap it.
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "size"))
-    numbered, _ = written(ordered.withColumn("_order", F.xxhash64("doc_id", again)), "mixing-order")
+    numbered, _ = written(ordered.withColumn("_order", F.xxhash64("doc_id", again)), "mixing-order", thin=True)
     return with_offsets(numbered, ["k"], "_order", "size", "from_word", max(8, -(-sum(r["n"] for r in rows) // RANGE_ROWS))), sources
 
 
@@ -126,7 +126,7 @@ def takings(placed_docs: DataFrame, sources: list[dict], block: int = BLOCK) ->
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, from_word, words (of the source's target), one row a document."""
     stream, sources = placed(docs)
-    stream, _ = written(stream, "mixing-stream")
+    stream, _ = written(stream, "mixing-stream", thin=True)
     taken = takings(stream, sources).groupBy("_order").agg(F.sum("words").alias("taken"))
     goal = docs.sparkSession.createDataFrame([(x["k"], x["words"]) for x in sources], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("words", T.LongType())]))
     return stream.join(taken, "_order", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).join(F.broadcast(goal), "k")

@@ -120,7 +120,7 @@ def distances(rows: DataFrame) -> DataFrame:
     off = [F.abs(F.col(x) - F.col(f"m{i}")) / FLOORS[i] for i, x in enumerate(X)]
     now = rows.join(middle, "group").withColumn("d", sum((o * o for o in off), F.lit(0.0))).select(*rows.columns, "d")
     for _ in range(STEPS):
-        now, _ = written(now, "outlier-distances")
+        now, _ = written(now, "outlier-distances", thin=True)
         half = _at_share(now.withColumn("bin", _distance_bin(F.col("d"))), ["group"], SHARE)
         near = now.join(half, "group").where(_distance_bin(F.col("d")) <= F.col("bin_at"))
         # Sums of whole numbers, so that the order of adding can't change a bit.
@@ -133,7 +133,7 @@ def distances(rows: DataFrame) -> DataFrame:
             (ratio(f"q{i}{j}") - ratio(f"s{i}") * ratio(f"s{j}") + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
         cov = [[F.col(f"c{i}{j}") for j in range(i + 1)] for i in range(P)]
         now = now.drop("d").join(model, "group").withColumn("d", _mahalanobis([F.col(f"m{i}") for i in range(P)], cov)).select(*rows.columns, "d")
-    now, _ = written(now, "outlier-distances")
+    now, _ = written(now, "outlier-distances", thin=True)
     middle = _at_share(now.withColumn("bin", _distance_bin(F.col("d"))), ["group"], 0.5)
     # A group whose median is under the expected is all within the floors: its distances stay as they are.
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin_at") + 1) / FINE_DISTANCE) / MEDIAN)

@@ -136,7 +136,7 @@ def placed(parts: DataFrame) -> DataFrame:
         return pd.DataFrame({"sequence": sequence, "offset": offset})
 
     tails = with_offsets(tails.withColumn("_one", one), ["length"], "_order", "_one", "number", ranges(int(histogram.sum())))
-    tails, _ = written(tails.withColumn("at", slot("length", "number")), "packing-tails")
+    tails, _ = written(tails.withColumn("at", slot("length", "number")), "packing-tails", thin=True)
     fitted = tails.where("at.sequence >= 0").select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("at.sequence") + n_whole).alias("sequence_id"), F.col("at.offset").alias("offset"))
 
     rest = with_offsets(tails.where("at.sequence < 0").withColumn("_length", F.col("length").cast("long")), [], "_order", "_length", "at_token", ranges(int(histogram.sum())))

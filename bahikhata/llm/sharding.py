@@ -46,17 +46,17 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     top, deep = 0, max(FINE, (total // limit).bit_length() + SPARE)
     leaves, open_ = None, rows
     while True:
-        cells, _ = written(open_.groupBy(_prefix("bits", deep).alias("bits")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")), "shard-sums")
+        cells, _ = written(open_.groupBy(_prefix("bits", deep).alias("bits")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")), "shard-sums", thin=True)
         depth = F.explode(F.sequence(F.lit(top), F.lit(deep))).alias("depth")
         levels = cells.select("bits", "b", "n", depth).groupBy("depth", _prefix("bits", F.col("depth")).alias("shard")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("n"))
-        levels, _ = written(levels.withColumn("splits", (F.col("shard_bytes") > limit) & (F.col("n") > 1)), "shard-levels")
+        levels, _ = written(levels.withColumn("splits", (F.col("shard_bytes") > limit) & (F.col("n") > 1)), "shard-levels", thin=True)
         parents = levels.where("splits").select((F.col("depth") + 1).alias("depth"), F.col("shard").alias("_up"))
         found = levels.join(parents, (levels["depth"] == parents["depth"]) & (F.expr("substring(shard, 1, length(shard) - 1)") == F.col("_up")), "left")
         found = found.where(~F.col("splits") & (F.col("_up").isNotNull() | (levels["depth"] == top))).select("shard", levels["depth"], "shard_bytes")
         leaves = found if leaves is None else leaves.unionByName(found)
         over = levels.where(F.col("splits") & (F.col("depth") == deep)).select(F.col("shard").alias("_over"))
         if over.isEmpty():
-            return written(leaves, "shards")[0]
+            return written(leaves, "shards", thin=True)[0]
         open_ = open_.join(over, _prefix("bits", deep) == F.col("_over"), "left_semi")
         # At depth ``deep`` the over-full buckets are parents, not leaves, so the next levels start one deeper.
         parents_at, deep = deep, deep + FINE
@@ -65,7 +65,7 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes: one row a document."""
-    rows, _ = written(hashed(docs), "shard-hashes")
+    rows, _ = written(hashed(docs), "shard-hashes", thin=True)
     leaves = directory(rows, limit)
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().toLocalIterator())
     tries = F.array(*[_prefix("bits", d) for d in depths]) if depths else F.array(F.lit(""))

@@ -97,6 +97,7 @@ def components(pairs: DataFrame) -> DataFrame:
     step; rounds grow with the logarithm of the longest path.
     """
     shared_dir(pairs.sparkSession)
+    parts = 4 * pairs.sparkSession.sparkContext.defaultParallelism
 
     def star(edges: DataFrame, small: bool) -> DataFrame:
         both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,10 +112,10 @@ def components(pairs: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(parts).checkpoint()
     seen = mark(edges)
     while seen[0]:
-        edges = star(star(edges, small=False), small=True).checkpoint()
+        edges = star(star(edges, small=False), small=True).coalesce(parts).checkpoint()
         now = mark(edges)
         if now == seen:
             break
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp")))
     of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of, _ = written(of, "simhash-classes")
+    of, _ = written(of, "simhash-classes", thin=True)
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.select("fp", "root").join(groups, "root")
     return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
@@ -141,7 +142,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     need a second look: there the smallest fingerprint of the component stays.
     """
     stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "root").agg(F.min("fp").alias("_keep"), F.count("*").alias("n"))
-    stay, _ = written(stay, "simhash-stay")
+    stay, _ = written(stay, "simhash-stay", thin=True)
     clear = stay.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n = 1 and doc_id is not null").select("doc_id")
     rows = docs.join(clear, "doc_id", "left_semi").select(*docs.columns)
     doubtful = stay.join(clear, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), "_keep")
