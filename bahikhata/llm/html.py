@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,13 +175,11 @@ def differenced(ours: list[str], theirs: list[str]) -> str:
 def parsed(pages: DataFrame) -> DataFrame:
     """page (unique), page_id, url, article (null if none is marked), open_lines."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = TaskContext.get().partitionId() << 40
         for rows in batches:
             found = [lines(x or "") for x in rows["html"]]
             article = [" ".join(t for t, z in f if z == MAIN) if any(z == MAIN for _, z in f) else None for f in found]
-            yield pd.DataFrame({"page": range(key, key + len(rows)), "page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "article": article, "open_lines": [[t for t, z in f if z == OPEN] for f in found]})
-            key += len(rows)
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page long, page_id long, url string, article string, open_lines array<string>")
+            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "article": article, "open_lines": [[t for t, z in f if z == OPEN] for f in found]})
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, article string, open_lines array<string>").withColumn("page", F.monotonically_increasing_id())
 
 
 @F.pandas_udf(T.LongType())

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +29,7 @@ from bahikhata.llm.tokens import crc_of, kept_space
 WINDOW, END = 1024, 0
 #: Rows that one running sum takes, about.
 RANGE_ROWS = 50_000
-_PIECES = "piece long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
+_PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -38,18 +37,17 @@ def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     vocabulary needs); piece is unique."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_space(vocabulary)
-        end, key = np.array([END], encode.kind), TaskContext.get().partitionId() << 40
-        schema = pa.schema([("piece", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+        end = np.array([END], encode.kind)
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for rows in batches:
             out: list[tuple] = []
             for doc, found in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text"))):
                 ids = np.concatenate([found, end])
                 for at in range(0, len(ids), WINDOW):
                     part = ids[at:at + WINDOW]
-                    out.append((key, doc, at, len(part), crc_of(part), len(ids), part.tobytes()))
-                    key += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, schema.types)], schema=schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _PIECES)
+                    out.append((doc, at, len(part), crc_of(part), len(ids), part.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, schema.types)], schema=schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _PIECES).withColumn("piece", F.monotonically_increasing_id())
 
 
 def combinations(window: int = WINDOW) -> np.ndarray:

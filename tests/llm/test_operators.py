@@ -103,7 +103,7 @@ def test_shared_lines_of_neighbours_go(spark):
     block = "<div><p>Welcome to our site</p></div><div><p>{}</p><p>More&nbsp;words &amp; {} things</p></div><div>Call us now</div>"
     rows = [(i, f"http://h.example/news/{i}", PAGE.format(block.format(f"Story number {i} begins with many words", i))) for i in range(4)]
     rows += [(9, "http://other.example/a", PAGE.format("<p>Alone here</p>")), (10, None, None), (11, "not a url", "")]
-    got = {r.page_id: (r.text, r.n_chars) for r in html.digest(pages(spark, rows)).collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html.digest(pages(spark, rows).repartition(60)).collect()}
     for i in range(4):
         assert got[i][0] == f"Story number {i} begins with many words More words & {i} things"
     assert got[9] == ("Alone here", 10) and got[10] == ("", 0) and got[11] == ("", 0)

@@ -76,6 +76,13 @@ def test_packing_against_brute_force(spark, odd):
     assert sizes == {k: sum(n for _, n in v) for k, v in filled.items()}
 
 
+def test_keys_stay_unique_in_compacted_tables(spark, odd):
+    many = odd.repartition(60)
+    parts, places = packing.packed(many, public("byte_bpe_50k.json"))
+    assert parts.count() == parts.select("piece").distinct().count()
+    assert sum(r.length for r in places.collect()) == sum(len(whole("byte_bpe_50k.json", r.text or "")) + 1 for r in odd.collect())
+
+
 def test_repeats_use_no_more_than_there_is():
     rng = np.random.default_rng(1)
     histogram = np.append(0, rng.integers(0, 50, 1023))
