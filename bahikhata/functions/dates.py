@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+from bahikhata.functions.amounts import let
+
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _DAY_FIRST = r"^([0-9]{1,2})[/\-. ]([0-9]{1,2})[/\-. ]([0-9]{4}|[0-9]{2})$"
 _NAMED = r"(?i)^([0-9]{1,2})[/\-. ,]*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[/\-. ,]*([0-9]{4}|[0-9]{2})$"
 _ISO = r"^([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})$"
@@ -16,23 +18,23 @@ _TIME = r"(?i)[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?\s*(?:am|pm)?$"
 def _made(year: Column, month: Column, day: Column) -> Column:
     year = F.when(F.length(year) <= 2, F.concat(F.lit("20"), year)).otherwise(year)
     date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    return F.when((F.year(date) >= 2000) & (F.year(date) <= 2099), date)
+    return F.when(year.between("2000", "2099"), date)
 
 
 def _direct(s: Column) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(s, pattern, i)
 
-    month = F.coalesce(*[F.when(F.lower(part(_NAMED, 2)) == m, F.lit(f"{i + 1:02d}")) for i, m in enumerate(_MONTHS)], F.lit("00"))
+    month = ((F.instr(F.lit(_MONTHS), F.lower(part(_NAMED, 2))) + 2) / 3).cast("int").cast("string")
     tries = [(_DAY_FIRST, 3, part(_DAY_FIRST, 2), 1), (_NAMED, 3, month, 1), (_ISO, 1, part(_ISO, 2), 3), (_COMPACT, 1, part(_COMPACT, 2), 3)]
     return F.coalesce(*[F.when(s.rlike(p), _made(part(p, y), m, part(p, d))) for p, y, m, d in tries])
 
 
 def parse_date(raw: Column) -> Column:
     """A statement's date text as DATE: as it stands, without a time, then with look-alike letters read as digits."""
-    s = F.regexp_replace(F.trim(raw), r"\s+", " ")
-    token = F.translate(s, "OoIlSB", "001158")
-    return F.coalesce(_direct(s), _direct(F.trim(F.regexp_replace(s, _TIME, ""))), _direct(token))
+    tries = let(F.regexp_replace(F.trim(raw), r"\s+", " "), lambda s: F.array(s, F.trim(F.regexp_replace(s, _TIME, "")), F.translate(s, "OoIlSB", "001158")))
+    found = F.transform(tries, _direct)
+    return F.coalesce(*[F.get(found, F.lit(i)) for i in range(3)])
 
 
 def excel_date(serial: Column) -> Column:

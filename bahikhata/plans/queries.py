@@ -11,6 +11,7 @@ from bahikhata.functions import amounts, dates, text
 from bahikhata.operators import analytics, balances, classify, duplicates, export, filters, groups, gst, recon, service, store
 from bahikhata.plans import sql
 from bahikhata.plans.sql import TXN
+from bahikhata.sources import statements
 from bahikhata.sources.driver_tables import money, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,3 +519,37 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N3, Z10"""
     return analytics.bars(monthly_credit_debit(spark, sf_dir))
+
+
+def parts_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned text items made of parts: fifty files of one page."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select((key % 50).cast("string").alias("file"), F.lit(1).alias("page"), F.col("p_name").alias("text"), (key * 37 % 500).cast("double").alias("x"), (key * 7 % 300).cast("double").alias("y"), F.lit(10.0).alias("w"))
+
+
+@query()
+def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are anchored at their first item, so a fold; tested on known items."""
+    return statements.clustered(parts_as_items(spark, sf_dir)).select("file", "page", "row", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["text"]), " ").alias("text"))
+
+
+@query("""SELECT CAST(p_partkey % 50 AS VARCHAR) AS file, CASE WHEN p_partkey * 37 % 500 < 120 THEN 'date' WHEN p_partkey * 37 % 500 < 380 THEN 'narration' ELSE 'balance' END AS field, string_agg(p_name, ' ' ORDER BY p_partkey * 37 % 500, p_name) AS cell FROM part GROUP BY 1, 2""")
+def col_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9"""
+    items = parts_as_items(spark, sf_dir).withColumn("row", F.lit(0))
+    fences = [(str(f), name, low, high) for f in range(50) for name, low, high in (("date", 0.0, 120.0), ("narration", 120.0, 380.0), ("balance", 380.0, 501.0))]
+    bounds = spark.createDataFrame(fences, "file string, field string, x_min double, x_max double")
+    return statements.assigned(items, bounds).select("file", "field", "cell")
+
+
+_HEADER = [(f, w) for f, ws in statements.HEADER_WORDS.items() for w in ws]
+
+
+@query("WITH c AS (SELECT n_nationkey, pos, lower([n_name, 'Date', 'Narration ' || n_name, 'Withdrawal', 'Bal', 'Closing Balance INR'][pos]) AS v FROM nation, (SELECT unnest(range(1, 7)) AS pos)), w(field, word) AS (VALUES " + ", ".join(f"({sql.text(f)}, {sql.text(w)})" for f, w in _HEADER) + """),
+ s AS (SELECT n_nationkey, pos, field, max(CASE WHEN v = word THEN 100 WHEN starts_with(v, word) THEN 60 WHEN ends_with(v, word) THEN 40 WHEN length(word) >= 4 AND contains(v, word) THEN 20 WHEN length(v) >= 4 AND starts_with(word, v) THEN 10 ELSE 0 END) AS score FROM c, w GROUP BY 1, 2, 3)
+ SELECT CAST(n_nationkey AS VARCHAR) AS file, CAST(pos - 1 AS BIGINT) AS pos, field, CAST(score AS BIGINT) AS score FROM s WHERE score > 0""")
+def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3"""
+    name = F.col("n_name")
+    cells = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("file"), F.lit(0).alias("row_idx"), F.array(name, F.lit("Date"), F.concat(F.lit("Narration "), name), F.lit("Withdrawal"), F.lit("Bal"), F.lit("Closing Balance INR")).alias("cells"))
+    return statements.header_scores(cells).select("file", F.col("pos").cast("long").alias("pos"), "field", F.col("score").cast("long").alias("score"))
