@@ -2,7 +2,8 @@
 
 All of it is DataFrame and SQL expressions. Each text gives the base counts and a vector of four transformed
 statistics. Rows that pass the base rules are grouped by language and source; a group of under GROUP rows is judged
-with its language, and a language of under GROUP rows with the whole table. Each group starts from median and
+by the model of all rows of its language, and a language of under GROUP rows by the model of the whole table: such a row
+counts in the larger model as any other row does. Each group starts from median and
 median-absolute-deviation distances, and concentration steps follow: mean and covariance of the SHARE of rows
 with the smallest distances, then new distances. A step is two shuffles of sums: order statistics come from
 counts of fixed-width bins, so no group is gathered in one task, and results don't depend on how rows are dealt.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from bahikhata.llm.common import WORD, text_of, written
 
 GROUP = 300
+#: So many groups' models are broadcast (under 20 MB); there can't be more than a group for GROUP rows and level.
+BROADCAST = 100_000
 SHARE = 0.75
 STEPS = 4
 #: Smallest spread of each statistic that can reject: it is a standard deviation, in the statistic's unit.
@@ -112,17 +115,18 @@ def _mahalanobis(mean: list[Column], cov: list[list[Column]]) -> Column:
     return total
 
 
-def distances(rows: DataFrame) -> DataFrame:
-    """rows (group, x0 ..) with ``d``: scaled squared distance from the group's robust centre. At least one row."""
+def distances(rows: DataFrame, groups: int = 1) -> DataFrame:
+    """rows (group, x0 ..) with ``d``: scaled squared distance from the group's robust centre. ``groups``: how many there are."""
+    few = F.broadcast if groups <= BROADCAST else (lambda x: x)
     long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x")) for i, x in enumerate(X)])).alias("v")).select("group", "v.i", "v.x")
     middle = _at_share(long.withColumn("bin", F.floor(F.col("x") * FINE).cast("int")), ["group", "i"], 0.5).select("group", "i", (F.col("bin_at") / FINE).alias("m"))
     middle = middle.groupBy("group").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(P)])
     off = [F.abs(F.col(x) - F.col(f"m{i}")) / FLOORS[i] for i, x in enumerate(X)]
-    now = rows.join(middle, "group").withColumn("d", sum((o * o for o in off), F.lit(0.0))).select(*rows.columns, "d")
+    now = rows.join(few(middle), "group").withColumn("d", sum((o * o for o in off), F.lit(0.0))).select(*rows.columns, "d")
     for _ in range(STEPS):
         now, _ = written(now, "outlier-distances", thin=True)
         half = _at_share(now.withColumn("bin", _distance_bin(F.col("d"))), ["group"], SHARE)
-        near = now.join(half, "group").where(_distance_bin(F.col("d")) <= F.col("bin_at"))
+        near = now.join(few(half), "group").where(_distance_bin(F.col("d")) <= F.col("bin_at"))
         # Sums of whole numbers, so that the order of adding can't change a bit.
         unit = 1 << 20
         whole = lambda c: F.sum(F.round(c * unit).cast("decimal(38,0)"))
@@ -132,26 +136,44 @@ def distances(rows: DataFrame) -> DataFrame:
         model = sums.select("group", *[ratio(f"s{i}").alias(f"m{i}") for i in range(P)], *[
             (ratio(f"q{i}{j}") - ratio(f"s{i}") * ratio(f"s{j}") + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
         cov = [[F.col(f"c{i}{j}") for j in range(i + 1)] for i in range(P)]
-        now = now.drop("d").join(model, "group").withColumn("d", _mahalanobis([F.col(f"m{i}") for i in range(P)], cov)).select(*rows.columns, "d")
+        now = now.drop("d").join(few(model), "group").withColumn("d", _mahalanobis([F.col(f"m{i}") for i in range(P)], cov)).select(*rows.columns, "d")
     now, _ = written(now, "outlier-distances", thin=True)
     middle = _at_share(now.withColumn("bin", _distance_bin(F.col("d"))), ["group"], 0.5)
     # A group whose median is under the expected is all within the floors: its distances stay as they are.
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin_at") + 1) / FINE_DISTANCE) / MEDIAN)
-    return now.join(middle, "group").withColumn("d", F.col("d") / scale).select(*rows.columns, "d")
+    return now.join(few(middle), "group").withColumn("d", F.col("d") / scale).select(*rows.columns, "d")
+
+
+def members(passed: DataFrame) -> tuple[DataFrame, int]:
+    """passed with (group, mine), a row for each group whose model it counts in, and the number of groups; ``mine``: the group that judges it.
+
+    Models are of pairs of language and source and of languages, each of GROUP rows or more, and of the whole table; a larger
+    group has a model only if a smaller one needs it.
+    """
+    pair, _ = written(passed.groupBy("lang", "source").agg(F.count("*").alias("n")), "outlier-groups", thin=True)
+    lang = pair.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.count(F.when(F.col("n") >= GROUP, 1)).alias("large"), F.max(F.col("n") < GROUP).alias("needed"))
+    total = lang.agg(F.coalesce(F.sum("large"), F.lit(0)).alias("pairs"), F.count(F.when(F.col("of_lang") >= GROUP, 1)).alias("langs"), F.coalesce(F.max(F.col("of_lang") < GROUP), F.lit(False)).alias("table")).first()
+    groups = total["pairs"] + total["langs"] + 1
+    few = F.broadcast if groups <= BROADCAST else (lambda x: x)
+    pair = pair.where(F.col("n") >= GROUP).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.lit(True).alias("_pair"))
+    lang = lang.where(F.col("of_lang") >= GROUP).select(F.col("lang").alias("_k"), F.col("needed").alias("_needed"))
+    rows = passed.join(few(pair), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(few(lang), F.col("lang").eqNullSafe(F.col("_k")), "left")
+    by_pair, by_lang = F.col("_pair").isNotNull(), F.col("_needed").isNotNull()
+    # to_json leaves nulls out, so that null is unlike any string.
+    one = lambda level, mine, *of: F.struct(F.to_json(F.struct(F.lit(level).alias("level"), *of)).alias("group"), mine.alias("mine"))
+    of = [F.when(by_pair, one("pair", F.lit(True), "lang", "source")), F.when(F.col("_needed"), one("lang", ~by_pair, "lang"))]
+    if total["table"]:
+        of.append(one("table", ~by_lang))
+    rows = rows.withColumn("_of", F.explode(F.filter(F.array(*of), lambda x: x.isNotNull())))
+    return rows.select(*passed.columns, "_of.group", "_of.mine"), groups
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept."""
     rows, _ = written(statistics(counts(docs)), "outlier-statistics")
-    passed = rows.where(~F.col("base_failed"))
-    pair = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    lang = pair.groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    name = F.concat_ws("/", F.coalesce("_l", F.lit("?")), F.when(F.col("n") >= GROUP, F.coalesce("source", F.lit("?"))))
-    pair = pair.withColumnRenamed("lang", "_l").join(lang.withColumnRenamed("lang", "_k"), F.col("_l").eqNullSafe(F.col("_k"))).select(
-        "_l", F.col("source").alias("_s"), F.when(F.col("of_lang") >= GROUP, name).otherwise("*").alias("group"))
-    grouped = passed.join(pair, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
-    far = distances(grouped.select("group", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *X))
     wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    grouped, groups = members(rows.where(~F.col("base_failed")))
+    far = distances(grouped.select("group", "mine", *wanted, *X), groups).where("mine")
     failed = rows.where("base_failed").select(*wanted, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return far.select(*wanted, F.col("d").alias("distance"), (F.col("d") <= CUTOFF).alias("kept")).unionByName(failed)
 

@@ -190,6 +190,16 @@ def test_rules_keep_clean_documents(spark, small):
     assert np.mean([r.kept for r in rows if labels[r.doc_id] == 0]) < 0.3
 
 
+def test_rare_sources_are_judged_by_their_language(spark):
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(n))
+    bad = " ".join(w + "#$%&|<>*" for w in words(60).split())
+    rows = [(i, words(60), "en" if i % 2 else "de", "big") for i in range(800)]
+    rows += [(1000, bad, "en", "rare"), (1001, words(60), "en", "rare2"), (1002, bad, "fr", "rare"), (1003, words(60), "fr", None), (1004, bad, None, "big"), (1005, bad, "en", None)]
+    got = {r.doc_id: r.kept for r in outliers.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and {i for i, k in got.items() if not k} == {1000, 1002, 1004, 1005}
+
+
 def test_rules_odd_rows(odd, none):
     assert outliers.kept(odd).columns == odd.columns
     assert outliers.digest(none).count() == 0
