@@ -1,12 +1,12 @@
 """Licence scan by a positional index of rare words.
 
-Notices are stored as postings (word, notice, place). A file that holds every word of some notice's key phrase is
-looked up by its RARE licence words of highest inverse document frequency, counted over the whole corpus: each place
-of such a word, less the place of the word in a notice, is where the notice would start, and starts on which two
-or more rare words agree are candidates. A candidate is verified: the key
-phrase must stand word for word, and its score is the share of the notice's words that stand in place. The four
-base phrases go through the same index with all their words, so every place is found. It is all DataFrame expressions; the
-index is a constant of this module, so its size doesn't depend on the data.
+Each notice, base phrases among them, is stored as ANCHORS postings (word, notice, place): the words of its key phrase with
+the highest inverse document frequency, counted over the whole corpus. Each place of an anchor in a file, less its place in
+the notice, is where the notice would start, and starts on which all anchors of a notice agree are candidates. A candidate is
+verified: the key phrase must stand word for word, and its score, the share of the notice's words that stand in
+place, must reach ENOUGH. A key phrase in place has all its anchors in place, so every place of every notice is found,
+however many notices and licence words a file has. It is all DataFrame expressions; the index has ANCHORS rows a
+notice, so its size doesn't depend on the data.
 
 Cases: null and empty texts have no words, no labels ('') and score 0; repeated and null doc_ids are files of their
 own; long texts are read whole; an empty table gives an empty result.
@@ -47,7 +47,8 @@ NOTICES = (
     ("cc0-1.0", "cc0 1 0", "cc0 1 0 universal public domain dedication"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 )
-RARE = 6
+#: Words of each key phrase that are looked up; every phrase has as many places.
+ANCHORS = 2
 #: Share of a notice's words that must stand in place.
 ENOUGH = 0.5
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,18 +73,25 @@ def scanned(docs: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("file"), "doc_id", "n_words", "hits", F.when(may, places).alias("places"))
 
 
-def index(spark) -> DataFrame:
-    """Postings: word, notice, place. A few hundred rows, whatever the corpus."""
-    rows = [(w, n, i) for n, (_, _, notice, _) in enumerate(_ALL) for i, w in enumerate(notice.split())]
-    return spark.createDataFrame(rows, "w string, notice int, place int")
+def _key(notice: str, phrase: str) -> int:
+    """Place of the key phrase in its notice."""
+    at = notice.split()
+    return next(i for i in range(len(at)) if at[i:i + len(phrase.split())] == phrase.split())
+
+
+def postings(idf: dict[str, float]) -> list[tuple[str, int, int]]:
+    """Postings: word, notice, place; of each notice's key phrase the ANCHORS places with the rarest words."""
+    rows = []
+    for n, (_, phrase, notice, _) in enumerate(_ALL):
+        places = sorted(enumerate(phrase.split(), _key(notice, phrase)), key=lambda x: (-idf[x[1]], x[0]))
+        rows += [(w, n, i) for i, w in places[:ANCHORS]]
+    return rows
 
 
 def notices(spark) -> DataFrame:
     rows = []
     for n, (label, phrase, notice, base) in enumerate(_ALL):
-        at = notice.split()
-        key = next(i for i in range(len(at)) if " ".join(at[i:]).startswith(phrase))
-        rows.append((n, label, base, at, key, len(phrase.split())))
+        rows.append((n, label, base, notice.split(), _key(notice, phrase), len(phrase.split())))
     return spark.createDataFrame(rows, "notice int, label string, base boolean, words array<string>, key int, key_words int")
 
 
@@ -94,15 +102,12 @@ def matches(files: DataFrame) -> DataFrame:
     # At most one row a word of the vocabulary.
     seen = {r["w"]: r["n"] for r in files.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     idf = {w: math.log((1 + total) / (1 + seen.get(w, 0))) for w in _VOCABULARY}
-    weight = F.create_map(*[F.lit(x) for w in _VOCABULARY for x in (w, -idf[w])])
-    rare = F.transform(F.slice(F.array_sort(F.transform("hits", lambda w: F.struct(F.element_at(weight, w).alias("k"), w.alias("w")))), 1, RARE), lambda x: x["w"])
-    base_words = sorted({w for _, phrase in BASE for w in phrase.split()})
-    found = files.where("places IS NOT NULL").select("file", "places", rare.alias("rare"))
-    hit = found.select("file", "rare", F.explode("places").alias("p")).select("file", F.col("p.w").alias("w"), F.col("p.i").alias("i"), F.array_contains("rare", F.col("p.w")).alias("is_rare"))
-    hit = hit.where(F.col("is_rare") | F.col("w").isin(base_words))
-    met = hit.join(F.broadcast(index(spark)), "w").withColumn("base", F.col("notice") < len(BASE)).where(F.col("is_rare") | F.col("base"))
-    starts = met.groupBy("file", "notice", "base", (F.col("i") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
-    starts = starts.where(F.col("start") >= -8).where((F.col("n") >= 2)).select("file", "notice", "start")
+    found = files.where("places IS NOT NULL").select("file", "places")
+    index = postings(idf)
+    anchors = sorted({w for w, _, _ in index})
+    hit = found.select("file", F.explode(F.filter("places", lambda p: p["w"].isin(anchors))).alias("p")).select("file", F.col("p.w").alias("w"), F.col("p.i").alias("i"))
+    starts = hit.join(F.broadcast(spark.createDataFrame(index, "w string, notice int, place int")), "w").groupBy("file", "notice", (F.col("i") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
+    starts = starts.where(F.col("n") == ANCHORS).select("file", "notice", "start")
     held = found.select("file", F.map_from_entries(F.transform("places", lambda p: F.struct(p["i"], p["w"]))).alias("at"))
     tried = starts.join(F.broadcast(notices(spark)), "notice").join(held, "file")
     fits = F.transform("words", lambda w, j: (F.coalesce(F.try_element_at("at", (F.col("start") + j).cast("int")), F.lit("")) == w))

@@ -225,6 +225,26 @@ def test_licenses_against_brute_force(spark, small, odd):
     assert next(r.labels for r in rows if r.doc_id == 2) == "gpl,gpl-3.0"
 
 
+def brute_labels(text):
+    words, found = re.findall("[a-z0-9]+", text.lower()), set()
+    for label, phrase, notice in [(a, b, b) for a, b in licenses.BASE] + list(licenses.NOTICES):
+        at, key = notice.split(), phrase.split()
+        k = next(i for i in range(len(at)) if at[i:i + len(key)] == key)
+        for i in range(len(words)):
+            if words[i:i + len(key)] == key and sum(0 <= i - k + j < len(words) and words[i - k + j] == w for j, w in enumerate(at)) >= licenses.ENOUGH * len(at):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_every_notice_of_a_file_is_found(spark, small):
+    every = [n for _, _, n in licenses.NOTICES]
+    texts = [f"{a}. And {b}!" for a in every for b in every] + [" / ".join(every), " ".join(every[::-1]), "any copy files charge binary domain associated documentation " + every[2], "GNU General Public License, version 3", "gnu general public license version 3 " * 2]
+    texts += [" ".join(sorted({w for n in every for w in n.split()})) + ". " + n for n in every]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.digest(docs).collect()} == {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert "gpl-3.0" in brute_labels(f"{every[5]} {every[2]}").split(",") and len(brute_labels(texts[len(every) ** 2]).split(",")) == len(every) + len(licenses.BASE)
+
+
 def test_no_licenses(none):
     assert licenses.digest(none).count() == 0
 
