@@ -2,7 +2,9 @@
 
 Every page is read into lines (block elements), each with a zone: main (inside the page's own article or main
 element), dropped (menus, headers, footers, asides, forms, scripts and elements whose class, id or role names such
-a part), or open (neither). Pages are sorted by URL path within their host, and each is paired with the neighbour
+a part), or open (neither). A class or id names a part if all fragments of one of its tokens do, words of place and shape
+aside (_NEUTRAL). An article, main or articleBody inside an element that is dropped for its class alone is main all the
+same; an article inside comments, advertisements or related pages is main only if the page has no other. Pages are sorted by URL path within their host, and each is paired with the neighbour
 that shares the longest path prefix. The pair's open lines are aligned by longest common subsequence and shared
 lines are deleted: they are the site's template. What the author marked as the article is never differenced,
 because copies and quoted passages on neighbouring pages would be deleted with it; so a page with an article keeps
@@ -30,9 +32,11 @@ from bahikhata.llm.common import small_batches, written
 
 COPY = 0.7
 MAIN, OPEN, DROPPED = 1, 0, 2
+#: While a page is read: dropped for a class or id alone; the same, for one that holds other articles; an article inside that.
+_SOFT, _OTHERS, _SPARE = 3, 4, 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in _RAW}
@@ -46,32 +50,50 @@ navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gd
 subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies
 widget toolbar search copyright pagination pager""".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar", "tablist"}
+_NEUTRAL = set("""left right top bottom upper lower main primary secondary site page global header footer nav bar box block wrap wrapper
+container area region section inner outer list item items link links button buttons mobile desktop fixed sticky post posts articles stories""".split())
 _NOT_ARTICLES = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "related", "recommended"}
 
 
+def _named(tokens: list[str], names: set[str]) -> bool:
+    """Whether one of the tokens is made of names, and of neutral words beside them."""
+    for token in tokens:
+        parts = {x.lower() for x in _NAME.findall(token)}
+        if parts & names and all(x in names or x in _NEUTRAL or len(x) == 1 or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _zone(tag: str, attributes: str, around: int) -> int:
     """Zone of an element's inside, by its markup and the zone around it."""
-    if around == DROPPED or tag in _PARTS or (tag == "header" and around != MAIN):
+    inside = around in (MAIN, _SPARE)
+    if around == DROPPED or tag in _PARTS or (tag == "header" and not inside):
         return DROPPED
-    zone, names, role = around, set(), ""
+    names, role, body = [], "", False
     if attributes.strip(" /\n\t\r"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
-                names.update(x.lower() for x in _NAME.findall(value))
+                names += value.split()
             elif key == "role":
                 role = value.strip().lower()
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return DROPPED
-            elif key == "itemprop" and value.lower() == "articlebody":
-                zone = MAIN
-    if tag in ("article", "main") or role in ("main", "article"):
-        return DROPPED if names & _NOT_ARTICLES else MAIN
+            elif key == "itemprop" and "articlebody" in value.lower().split():
+                body = True
+    if tag in ("article", "main") or role in ("main", "article") or body:
+        if _named(names, _NOT_ARTICLES):
+            return _OTHERS
+        return _SPARE if around in (_OTHERS, _SPARE) and tag != "main" and role != "main" else MAIN
     if tag in ("html", "body"):
         return around
-    if role in _ROLES or names & _NAMES or ("header" in names and around != MAIN):
+    if role in _ROLES:
         return DROPPED
-    return zone
+    if _named(names, _NOT_ARTICLES):
+        return _OTHERS
+    if around in (_SOFT, _OTHERS):
+        return around
+    return _SOFT if _named(names, _NAMES if inside else _NAMES | {"header"}) else around
 
 
 def lines(page: str) -> list[tuple[str, int]]:
@@ -137,7 +159,8 @@ def lines(page: str) -> list[tuple[str, int]]:
         stack.append((tag, inside))
         zone = inside
     close()
-    return out
+    spare = DROPPED if any(z == MAIN for _, z in out) else MAIN
+    return [(t, spare if z == _SPARE else DROPPED if z in (_SOFT, _OTHERS) else z) for t, z in out]
 
 
 def shared(ours: list[str], theirs: list[str]) -> set[int]:

@@ -121,6 +121,20 @@ def test_parts_that_are_no_text(part):
     assert " ".join(kept) == "A B C de"
 
 
+@pytest.mark.parametrize("wrapper", ["div id='page' class='site no-sidebar'", "div class='has-sidebar'", "div class=search-results", "section class='social-sciences'", "div class='sidebar'", "div class=widget", "div class=related-posts",
+                                     "div data-hidden='false'", "div title='The hidden cost'", "div data-x='a class=ad b'", "div title='display:none'"])
+@pytest.mark.parametrize("part", ["article", "main", "div itemprop=articleBody"])
+def test_wrapped_articles_are_whole(wrapper, part):
+    page = f"<body><{wrapper}><nav>x</nav><{part}><p>A</p><div class='ad'>x</div><p title='hidden role=menu'>B</p></{part.split()[0]}></{wrapper.split()[0]}></body>"
+    assert [t for t, z in html.lines(page) if z == html.MAIN] == ["A", "B"]
+
+
+def test_other_articles_stay_out():
+    page = "<div class='site has-comments'><article>A</article><div class='related-posts'><article>x</article></div><div id=comments><article class=comment>x<article>x</article></article></div></div>"
+    assert [t for t, z in html.lines(page) if z == html.MAIN] == ["A"]
+    assert [t for t, z in html.lines("<div class='main-nav'>x</div><div class='site-footer' id=f>x</div><p>A</p>") if z == html.OPEN] == ["A"]
+
+
 def test_common_subsequence():
     for a, b in (("abcbdab", "bdcaba"), ("", "a"), ("abc", "abc"), ("xaxbxc", "abc")):
         got = [a[i] for i in sorted(html.shared(list(a), list(b)))]
