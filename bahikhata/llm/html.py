@@ -4,12 +4,17 @@ Every page is read into lines (block elements), each with a zone: main (inside t
 element), dropped (menus, headers, footers, asides, forms, scripts and elements whose class, id or role names such
 a part), or open (neither). A class or id names a part if all fragments of one of its tokens do, words of place and shape
 aside (_NEUTRAL). An article, main or articleBody inside an element that is dropped for its class alone is main all the
-same; an article inside comments, advertisements or related pages is main only if the page has no other. Pages are sorted by URL path within their host, and each is paired with the neighbour
-that shares the longest path prefix. The pair's open lines are aligned by longest common subsequence and shared
-lines are deleted: they are the site's template. What the author marked as the article is never differenced,
-because copies and quoted passages on neighbouring pages would be deleted with it; so a page with an article keeps
-exactly its article, and differencing decides the pages without one. A pair that shares more than COPY of a
-page's words is a pair of copies, not of a template, and deletes nothing.
+same; an article inside comments, advertisements or related pages is main only if the page has no other.
+
+What the author marked as the article is never differenced, because copies and quoted passages on neighbouring pages
+would be deleted with it; so a page with an article keeps exactly its article, and differencing decides the pages
+without one (bare pages). Bare pages with the same open lines count once, at the first of their paths. They are sorted by URL
+path within their host, and each is held against the two nearest others, the one with the longer common path first. Open
+lines are aligned by longest common subsequence and lines shared with the first are deleted: they are the site's
+template. The first is a copy, not a mere neighbour, if of the words that the second doesn't share it has over COPY; then the
+lines shared with the second are deleted instead. So lines that stand on three pages are template, however short the
+text beside them. On a host of two different bare pages nothing tells a copy from a template, and a pair that
+shares over COPY of a page's words deletes nothing.
 
 Cases: null or empty html gives an empty text; null urls are one host; a page alone on its host has no partner and
 keeps its open lines; repeated page_ids are pages of their own; unclosed tags and comments run to where HTML ends
@@ -31,6 +36,8 @@ from pyspark.sql import types as T
 from bahikhata.llm.common import small_batches, written
 
 COPY = 0.7
+#: Pages that are held against their neighbours in one task.
+STRETCH = 50_000
 MAIN, OPEN, DROPPED = 1, 0, 2
 #: While a page is read: dropped for a class or id alone; the same, for one that holds other articles; an article inside that.
 _SOFT, _OTHERS, _SPARE = 3, 4, 5
@@ -186,12 +193,12 @@ def shared(ours: list[str], theirs: list[str]) -> set[int]:
     return found
 
 
-def differenced(ours: list[str], theirs: list[str]) -> str:
-    """Our lines without those shared with the partner."""
-    gone = shared(ours, theirs)
-    size = lambda x: len(x.split())
-    if sum(size(ours[i]) for i in gone) > COPY * sum(map(size, ours)):
-        gone = set()
+def differenced(ours: list[str], first: list[str] | None, second: list[str] | None) -> str:
+    """Our lines without the template, by the two nearest pages (None: there is none)."""
+    size = lambda places: sum(len(ours[i].split()) for i in places)
+    gone, other = shared(ours, first or []), shared(ours, second or [])
+    if size(gone - other) > COPY * size(set(range(len(ours))) - other):
+        gone = other
     return " ".join(x for i, x in enumerate(ours) if i not in gone)
 
 
@@ -205,36 +212,37 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, article string, open_lines array<string>").withColumn("page", F.monotonically_increasing_id())
 
 
-@F.pandas_udf(T.LongType())
-def _nearer(path: pd.Series, before: pd.Series, after: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
-    """Of the two neighbours (null: none) the one with the longer common prefix; the one before if equal."""
-    common = lambda x, y: -1 if y is None or y != y else len(commonprefix([x, y]))
-    pick = [(i if common(p, x) >= common(p, y) else j) for p, x, y, i, j in zip(path, before, after, b, a)]
-    return pd.Series(pd.array([None if pd.isna(x) else int(x) for x in pick], "Int64"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _nearest(path: pd.Series, b2: pd.Series, b1: pd.Series, a1: pd.Series, a2: pd.Series, *pages: pd.Series) -> pd.Series:
+    """The two neighbours with the longest common prefix, of two before and two after in order of paths; those before if equal."""
+    out = []
+    for p, *row in zip(path, b2, b1, a1, a2, *pages):
+        near = [(-len(commonprefix([p, row[i]])), d, int(row[4 + i])) for d, i in enumerate((1, 2, 0, 3)) if row[i] is not None and row[i] == row[i]]
+        out.append([page for _, _, page in sorted(near)[:2]])
+    return pd.Series(out)
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """(page, partner): the nearest page by URL path on the same host; null if there is none.
+    """pages (page, host, path; no two alike on a host) -> (page, first, second): the nearest pages by path on the same host, or null.
 
-    Keys alone are sorted, by ranges, so a host of any size spreads over many tasks; the first and last page of
-    each range meet over a table of one row a range.
+    Keys alone are sorted, by ranges, and numbered through; stretches of STRETCH numbers, with two neighbours from either
+    side, are windows of their own, so a host of any size spreads over many tasks.
     """
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    keys = pages.select("page", host.alias("host"), F.rtrim(path, F.lit("/")).alias("path"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys.repartitionByRange(n, "host", "path", "page").sortWithinPartitions("host", "path", "page")
+    keys = pages.select("page", "host", "path").repartitionByRange(n, "host", "path", "page").sortWithinPartitions("host", "path", "page")
     keys, _ = written(keys.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "page-order", thin=True)
-    one = F.struct("at", "host", "path", "page")
-    ends = keys.groupBy("part").agg(F.min(one).alias("first"), F.max(one).alias("last"))
-    row = Window.partitionBy().orderBy("part")
-    ends = ends.select("part", F.lag("last").over(row).alias("last_before"), F.lead("first").over(row).alias("first_after"))
-    inside = Window.partitionBy("part").orderBy("at")
-    keys = keys.withColumn("before", F.lag(one).over(inside)).withColumn("after", F.lead(one).over(inside)).join(F.broadcast(ends), "part")
-    before, after = F.coalesce("before", "last_before"), F.coalesce("after", "first_after")
-    near = lambda x: F.when(x["host"] == F.col("host"), x)
-    b, a = near(before), near(after)
-    return keys.select("page", _nearer("path", b["path"], a["path"], b["page"], a["page"]).alias("partner"))
+    parts = keys.groupBy("part").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    keys = keys.join(F.broadcast(parts), "part").withColumn("at", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1))
+    stretch = lambda c: F.floor(c / STRETCH)
+    keys = keys.withColumn("stretch", F.explode(F.array_distinct(F.array(*[stretch(F.col("at") + d) for d in (-2, 0, 2)]))))
+    row = Window.partitionBy("stretch").orderBy("at")
+    one = F.struct("host", "path", "page")
+    keys = keys.select("*", *[F.lag(one, d).over(row).alias(f"n{d + 2}") for d in (2, 1, -1, -2)]).where(F.col("stretch") == stretch(F.col("at")))
+    near = [F.when(F.col(f"n{d}.host") == F.col("host"), F.col(f"n{d}")) for d in (4, 3, 1, 0)]
+    keys = keys.select("page", _nearest("path", *[x["path"] for x in near], *[x["page"] for x in near]).alias("near"))
+    return keys.select("page", F.get("near", 0).alias("first"), F.get("near", 1).alias("second"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -242,14 +250,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     found, _ = written(parsed(pages), "pages")
     marked = found.where("article IS NOT NULL").select("page_id", "url", F.col("article").alias("text"))
-    bare = found.where("article IS NULL AND size(open_lines) > 0").join(partners(found), "page", "left")
-    theirs = found.where("size(open_lines) > 0").select(F.col("page").alias("partner"), F.col("open_lines").alias("theirs"))
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.rtrim(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
+    bare = found.where("article IS NULL AND size(open_lines) > 0").select(
+        "page", "page_id", "url", "open_lines", host.alias("host"), path.alias("path"), F.md5(F.array_join("open_lines", "\n").cast("binary")).alias("lines_md5"))
+    firsts = bare.groupBy("host", "lines_md5").agg(F.min(F.struct("path", "page")).alias("one")).select("host", "lines_md5", "one.*")
+    firsts, _ = written(firsts, "page-firsts")
+    of = lambda name: bare.select(F.col("page").alias(name), F.col("open_lines").alias(f"{name}_lines"))
+    tried = partners(firsts).join(bare.select("page", "host", "lines_md5", "open_lines"), "page").join(of("first"), "first", "left").join(of("second"), "second", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            text = [differenced(list(a), [] if b is None else list(b)) for a, b in zip(rows["open_lines"], rows["theirs"])]
-            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": text})
-    bare = bare.join(theirs, "partner", "left").select("page_id", "url", "open_lines", "theirs").mapInPandas(run, "page_id long, url string, text string")
+            held = [[None if x is None else list(x) for x in rows[c]] for c in ("open_lines", "first_lines", "second_lines")]
+            yield pd.DataFrame({"host": rows["host"], "lines_md5": rows["lines_md5"], "text": [differenced(*x) for x in zip(*held)]})
+    texts = tried.select("host", "lines_md5", "open_lines", "first_lines", "second_lines").mapInPandas(run, "host string, lines_md5 string, text string")
+    bare = bare.select("page_id", "url", "host", "lines_md5").join(texts, ["host", "lines_md5"]).select("page_id", "url", "text")
     none = found.where("article IS NULL AND size(open_lines) = 0").select("page_id", "url", F.lit("").alias("text"))
     return marked.unionByName(bare).unionByName(none).withColumn("n_chars", F.length("text").cast("long"))
 

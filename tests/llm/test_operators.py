@@ -109,6 +109,21 @@ def test_shared_lines_of_neighbours_go(spark):
     assert got[9] == ("Alone here", 10) and got[10] == ("", 0) and got[11] == ("", 0)
 
 
+def test_heavy_template_goes_from_bare_pages(spark, monkeypatch):
+    monkeypatch.setattr(html, "STRETCH", 2)
+    block = "<p>" + "</p><p>".join(f"line {i} of the heavy template of this site" for i in range(9)) + "</p><p>Short {}</p>"
+    rows = [(i, f"http://h.example/news/{i:02}", PAGE.format(block.format("text" if i in (3, 5, 6) else i))) for i in range(9)]
+    rows += [(100 + i, f"http://h.example/news/{i:02}a", PAGE.format(f"<article>Whole {i}</article>")) for i in range(9)]
+    got = {r.page_id: r.text for r in html.digest(pages(spark, rows).repartition(5)).collect()}
+    assert got == {i: f"Short {'text' if i in (3, 5, 6) else i}" for i in range(9)} | {100 + i: f"Whole {i}" for i in range(9)}
+
+
+def test_near_copy_is_not_a_template():
+    text, menu = ["one two three four five six", "seven eight nine ten"], ["menu of the site"]
+    assert html.differenced(menu + text + ["x"], menu + text + ["y"], menu + ["other words"]) == " ".join(text + ["x"])
+    assert html.differenced(menu + text, menu + text + ["y"], None) == " ".join(menu + text)
+
+
 def test_copies_are_not_a_template(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format("<p>One two three four</p><p>Five six</p>")) for i in range(2)]
     assert {r.text for r in html.digest(pages(spark, rows)).collect()} == {"One two three four Five six"}
