@@ -63,13 +63,52 @@ def columns_of(cells: DataFrame, first: int = 50) -> DataFrame:
     return good.groupBy("file").agg(F.min_by(F.struct(F.col("row_idx").alias("header_row"), *HEADER_WORDS), "row_idx").alias("c")).select("file", "c.*")
 
 
+def content_columns(cells: DataFrame, sample: int = 15) -> DataFrame:
+    """columns_of with its gaps filled from the content, and header_row -1 for files without a header.
+
+    The first ``sample`` rows with content after the header, 3 at least, choose among the columns that are still free: the date is the
+    column with most dates, over 50 %; the balance that with most amounts, over 70 %; debit and credit, both missing, the
+    leftmost two with amounts over 30 %; the narration the widest with text over 30 %. Of equals the last one, as the reference does.
+    Files that then have no date or no amount column are left out.
+    """
+    head = columns_of(cells)
+    known = cells.select("file").distinct().join(head, "file", "left").select("file", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("header_row", *HEADER_WORDS)])
+    rows = cells.join(known.select("file", "header_row"), "file").where((F.col("row_idx") > F.col("header_row")) & F.exists("cells", lambda c: F.trim(c) != ""))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("row_idx"))).where(F.col("n") <= sample)
+    cell = rows.select("file", "n", F.posexplode("cells").alias("pos", "cell")).withColumn("v", F.trim("cell")).where("v <> ''")
+    cell = cell.withColumn("is_date", parse_date(F.col("v")).isNotNull()).withColumn("is_amount", parse_amount(F.col("v")).isNotNull())
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    stats = cell.groupBy("file", "pos").agg(F.count("*").alias("total"), count(F.col("is_date"), "dates"), count(F.col("is_amount"), "amounts"),
+                                            count(~F.col("is_date") & ~F.col("is_amount"), "texts"), F.avg(F.octet_length("v")).alias("width"))
+    stats = stats.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "total", "dates", "amounts", "texts", "width"))).alias("all"))
+    enough = rows.groupBy("file").agg(F.max("n").alias("n")).where("n >= 3").select("file")
+    at = known.join(stats.join(enough, "file"), "file", "left")
+    taken = lambda: F.array(*[F.col(f) for f in HEADER_WORDS])
+    free = lambda ok: F.filter("all", lambda x: ~F.array_contains(taken(), x["pos"]) & ok(x))
+    best = lambda ok, by: F.coalesce(F.array_max(F.transform(free(ok), lambda x: F.struct(x[by].alias("k"), x["pos"].alias("pos"))))["pos"], F.lit(-1))
+    missing = lambda field, found: F.when(F.col(field) < 0, found).otherwise(F.col(field))
+    at = at.withColumn("date", missing("date", best(lambda x: x["dates"] * 2 > x["total"], "dates")))
+    at = at.withColumn("balance", missing("balance", best(lambda x: x["amounts"] * 10 > x["total"] * 7, "amounts")))
+    # A combined column decides alone: its sign says which side an amount is on.
+    open_ = F.expr("debit < 0 and credit < 0 and debitcredit < 0")
+    at = at.withColumn("_two", F.when(open_, F.transform(free(lambda x: x["amounts"] * 10 > x["total"] * 3), lambda x: x["pos"])))
+    at = at.withColumn("debit", F.coalesce(F.get("_two", F.lit(0)), "debit")).withColumn("credit", F.coalesce(F.get("_two", F.lit(1)), "credit"))
+    at = at.withColumn("narration", missing("narration", best(lambda x: x["texts"] * 10 > x["total"] * 3, "width")))
+    return at.where("date >= 0 and (debit >= 0 or credit >= 0 or debitcredit >= 0)").select("file", "header_row", *HEADER_WORDS)
+
+
+def files_without_rows(cells: DataFrame) -> DataFrame:
+    """(file): the files that give no transaction."""
+    return cells.select("file").distinct().join(statement_rows(cells), "file", "left_anti")
+
+
 def statement_rows(cells: DataFrame) -> DataFrame:
     """Transactions of the files: typed columns, noise dropped, continuation lines joined to the row before.
 
     A row with a date and an amount begins a transaction; a row with narration alone continues the last one (a running
     count of beginnings groups them).
     """
-    at = cells.join(columns_of(cells), "file").where(F.col("row_idx") > F.col("header_row"))
+    at = cells.join(content_columns(cells), "file").where(F.col("row_idx") > F.col("header_row"))
     of = lambda c: F.when(F.col(c) >= 0, F.coalesce(F.get("cells", F.col(c)), F.lit(""))).otherwise("")
     both = parse_amount(F.regexp_replace(of("debitcredit"), r"^\+", ""))
     rows = at.select("file", "row_idx", parse_date(of("date")).alias("date"), of("narration").alias("narration"), of("reference").alias("reference"), parse_amount(of("balance")).alias("balance"),

@@ -33,6 +33,19 @@ def test_no_header_no_rows(spark, tmp_path):
     assert statements.statement_rows(statements.csv_cells(spark, f"file://{tmp_path}/b.csv")).count() == 0
 
 
+def test_columns_from_content(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('01/01/2024,SALARY CREDIT,,"50,000.00","1,35,000.00"\n02/01/2024,ATM WDL,"10,000.00",,"1,25,000.00"\n03/01/2024,"NEFT, CR",,"80,000.00","2,05,000.00"\n')
+    (tmp_path / "e.csv").write_text("Txn Date,What,Withdrawal,Left\n01/01/2024,RENT,100.00,900.00\n02/01/2024,TEA,50.00,850.00\n03/01/2024,BUS,25.00,825.00\n")
+    (tmp_path / "f.csv").write_text("Name,Group\nX,Y\nV,W\nT,U\n")
+    cells = statements.csv_cells(spark, f"file://{tmp_path}/*.csv")
+    rows = [(r.file[-5], r.narration, r.debit, r.credit, r.balance) for r in statements.statement_rows(cells).orderBy("file", "row_idx").collect()]
+    amount = lambda x: None if x is None else Decimal(x)
+    assert rows == [(f, n, amount(d), amount(c), amount(b)) for f, n, d, c, b in (
+        ("d", "SALARY CREDIT", None, "50000.00", "135000.00"), ("d", "ATM WDL", "10000.00", None, "125000.00"), ("d", "NEFT, CR", None, "80000.00", "205000.00"),
+        ("e", "RENT", "100.00", None, "900.00"), ("e", "TEA", "50.00", None, "850.00"), ("e", "BUS", "25.00", None, "825.00"))]
+    assert [r.file[-5] for r in statements.files_without_rows(cells).collect()] == ["f"]
+
+
 def test_signed_column(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Date,Details,Debit/Credit,Balance\n05/01/2024,A,-100.00,900.00\n06/01/2024,B,+50.00,950.00\n")
     rows = statements.statement_rows(statements.csv_cells(spark, f"file://{tmp_path}/c.csv")).orderBy("row_idx").collect()
