@@ -162,18 +162,24 @@ def learns(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of a sample of labelled rows: at most ``sample``, those with the smallest hash of the doc_id."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality, x): at most ``sample`` labelled rows, those with the smallest hash of the doc_id; of a repeated doc_id the text with the smallest hash."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learns(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # ``sample`` rows of two integers: a proven bound for the broadcast.
-    rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_quality").alias("quality"))
+    rows = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_quality").alias("quality"), F.xxhash64("text").alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"].astype("int32"), "x": [features(t) for t in b["text"]]})
-    found = rows.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"].astype("int32"), "h": b["h"], "x": [features(t) for t in b["text"]]})
+    found = rows.mapInPandas(run, "doc_id long, quality int, h long, x array<double>")
+    return found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("h", "x"))["x"].alias("x"))
+
+
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of a sample of labelled rows; a row a doc_id, ``sample`` at most, is all that reaches the driver."""
+    found = sampled(docs, labels, sample).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return trained(x, found["quality"].to_numpy(np.float64))
 

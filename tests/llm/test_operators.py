@@ -363,6 +363,19 @@ def test_classifier_odd_rows(spark, odd, none):
     assert {r.score for r in classifier.digest(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "trained", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    rows = [(i, f"text {k} of {i}" + " word!" * k) for i in range(20) for k in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        classifier.learned(docs, labels, 10)
+        found = classifier.sampled(docs, labels, 10).collect()
+        assert len(found) == len({r.doc_id for r in found}) == len(seen[-1][1]) == 10
+    assert seen[0] == seen[1]
+
+
 def test_tables_learn_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, len(classifier.FEATURES)))
