@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from bahikhata.llm import classifier, html, licenses, media, mixing, outliers, sharding, simhash
 from bahikhata.llm.common import table
@@ -185,31 +187,62 @@ def test_rule_counts_against_brute_force(spark, small, odd):
         assert got == sorted((d, *(c := brute_counts(t)), c[0] < 10 or 100 * c[4] > 20 * c[0]) for d, t in texts)
 
 
-def brute_distances(rows):
-    """(n, P) statistics of one group -> scaled distances, with the module's bins and steps."""
-    floors = np.array(outliers.FLOORS)
-
-    def at(values, share):
-        bins, n = np.unique(values, return_counts=True)
-        return bins[np.searchsorted(np.cumsum(n), share * len(values))]
-    d_bin = lambda d: np.floor(np.log2(d + 1e-6) * outliers.FINE_DISTANCE)
-    middle = np.array([at(np.floor(c * outliers.FINE), 0.5) for c in rows.T]) / outliers.FINE
-    d = ((abs(rows - middle) / floors) ** 2).sum(1)
-    for _ in range(outliers.STEPS):
-        near = rows[d_bin(d) <= at(d_bin(d), outliers.SHARE)]
-        cov = np.cov(near.T, bias=True) + np.diag(floors ** 2)
-        off = rows - near.mean(0)
-        d = (off @ np.linalg.inv(cov) * off).sum(1)
-    return d / max(1, 2 ** ((at(d_bin(d), 0.5) + 1) / outliers.FINE_DISTANCE) / outliers.MEDIAN)
-
-
-def test_outliers_against_numpy(spark):
+def independent_mcd(x, starts=200):
+    """(log determinant, mean, covariance) of the least regularised determinant of SHARE of the points, from many random starts."""
+    rng, h, best = np.random.default_rng(0), -(-3 * len(x) // 4), None
+    ridge = np.eye(4) * outliers.STEP ** 2
+    for _ in range(starts):
+        near, last = x[rng.choice(len(x), 6, replace=False)], np.inf
+        while True:
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) + ridge
+            now = np.linalg.slogdet(cov)[1]
+            if len(near) == h:
+                if now >= last - 1e-12:
+                    break
+                last = now
+            off = x - mean
+            near = x[np.argsort((off @ np.linalg.inv(cov) * off).sum(1), kind="stable")[:h]]
+        best = min(best or (np.inf,), (now, mean, cov), key=lambda b: b[0])
+    return best
+
+
+def test_least_determinant_against_an_independent_search(spark):
+    rng = np.random.default_rng(5)
+    sets = {"one": np.concatenate([rng.normal(0, [3, 9, 4, 4], (300, 4)), rng.normal(60, 2, (40, 4))]),
+            "two": np.concatenate([rng.normal(0, 5, (150, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal([200, 0, 0, 0], 3, (30, 4)), rng.normal([0, 0, -90, 90], 3, (19, 4))]),
+            "flat": np.round(rng.normal(0, [0, 6, 0, 0.4], (80, 4)))}
+    rows = [(k, *map(int, v)) for k, x in sets.items() for v in np.round(x)]
+    grid = spark.createDataFrame(rows, "group string, y0 long, y1 long, y2 long, y3 long").groupBy("group", *outliers.Y).count().withColumnRenamed("count", "n")
+    grid = grid.withColumn("all", F.sum("n").over(Window.partitionBy("group")))
+    got = {r.group: r for r in outliers.models(grid).collect()}
+    for k, x in sets.items():
+        x, r = np.round(x), got[k]
+        det, mean, cov = independent_mcd(x)
+        assert r.det <= det + 0.01
+        low = np.array([[r[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        mine = np.array([r[f"m{i}"] for i in range(4)])
+        distances = lambda m, c: (((x - m) @ np.linalg.inv(c)) * (x - m)).sum(1)
+        far, want = distances(mine, low @ low.T), distances(mean, cov)
+        assert np.corrcoef(np.argsort(np.argsort(far)), np.argsort(np.argsort(want)))[0, 1] > 0.97
+        assert r.scale == pytest.approx(max(1, np.sort(far)[(len(x) - 1) // 2] / outliers.MEDIAN), rel=1e-9)
+
+
+def test_planted_outliers_are_rejected(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, [0.2, 1, 0.1, 0.1], (300, 4)), rng.normal(3, 0.1, (40, 4))])
-    rows = spark.createDataFrame([("g", i, *map(float, v)) for i, v in enumerate(x)], "group string, i int, x0 double, x1 double, x2 double, x3 double")
-    got = np.array([r.d for r in outliers.distances(rows).orderBy("i").collect()])
-    assert np.allclose(got, brute_distances(x), rtol=2e-3, atol=1e-3)
-    assert (got[300:] > outliers.CUTOFF).all() and (got[:300] < outliers.CUTOFF).all()
+    rows = spark.createDataFrame([(None, "?", *map(float, v)) for v in x] + [("?", None, 9.0, 9.0, 9.0, 9.0)] * 60, "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    grid, judge = outliers.grouped(outliers.cells(rows))
+    model = {r.group: r for r in outliers.models(grid).collect()}
+    by = {(r.lang, r.source): model[r.group] for r in judge.collect()}
+    assert len(by) == len(set(map(id, by.values()))) == 2
+
+    def far(m, v):
+        low = np.array([[m[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        z = np.linalg.solve(low, v * outliers.STEP / np.array(outliers.FLOORS) - np.array([m[f"m{i}"] for i in range(4)]))
+        return z @ z / m["scale"]
+    d = np.array([far(by[None, "?"], v) for v in x])
+    assert (d[300:] > outliers.CUTOFF).all() and (d[:300] < outliers.CUTOFF).all()
+    assert far(by["?", None], np.full(4, 9.0)) < 1
 
 
 def test_rules_keep_clean_documents(spark, small):
@@ -230,8 +263,10 @@ def test_rare_sources_are_judged_by_their_language(spark):
 
 
 def test_rules_odd_rows(odd, none):
-    assert outliers.kept(odd).columns == odd.columns
-    assert outliers.digest(none).count() == 0
+    clash = odd.withColumn("distance", F.lit(1)).withColumn("_docs", F.lit("x")).withColumn("group", F.lit("y"))
+    kept = outliers.kept(clash)
+    assert kept.columns == clash.columns and sorted(key(r.doc_id) for r in kept.collect()) == [-1, 1, 2, 2]
+    assert outliers.digest(none).count() == 0 and outliers.kept(none).count() == 0
 
 
 # Licences
