@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset and Spark is local (tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='bahikhata-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,6 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Written tables of the innermost ``scratch``.
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end the tables that were written inside it, but those in the list it gives. Nothing that is still to be read may need them."""
+    made, stay = [], []
+    _MADE.append(made)
+    try:
+        yield stay
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            if path not in stay:
+                removed(spark, path)
+            elif _MADE:
+                _MADE[-1].append(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def compact(df: DataFrame, thin: bool = False) -> DataFrame:
     """df in no more partitions than a few a core, or one a FILE_BYTES of estimated size if that is more.
 
@@ -46,6 +78,8 @@ def written(df: DataFrame, tag: str, compression: str = "zstd", thin: bool = Fal
     """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs one read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
     compact(df, thin).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -76,7 +110,19 @@ def with_offsets(df: DataFrame, group: list[str], order: str, size: str, out: st
     those before it. One row per group and range is all that the second window sees.
     """
     cut = F.floor(F.col(order).cast("double") / F.lit(2.0 ** 64 / buckets) + buckets / 2).cast("int")
-    df = df.withColumn("_range", F.greatest(F.lit(0), F.least(cut, F.lit(buckets - 1))))
+    return _summed(df.withColumn("_range", F.greatest(F.lit(0), F.least(cut, F.lit(buckets - 1)))), group, order, size, out)
+
+
+def with_numbers(df: DataFrame, group: list[str], out: str) -> DataFrame:
+    """Adds ``out``: 0, 1 .. for the rows of ``group``, in the order of ``_row``.
+
+    ``_row`` is a stored monotonically_increasing_id; each partition that it names is numbered by itself, so a group of any size
+    is spread as the rows are.
+    """
+    return _summed(df.withColumn("_range", F.shiftright("_row", 33).cast("int")).withColumn("_one", F.lit(1)), group, "_row", "_one", out).drop("_one")
+
+
+def _summed(df: DataFrame, group: list[str], order: str, size: str, out: str) -> DataFrame:
     totals = df.groupBy(*group, "_range").agg(F.sum(size).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),

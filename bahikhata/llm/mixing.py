@@ -7,8 +7,11 @@ slots of that source says which block of BLOCK words of the source's stream it t
 documents in the order of a hash, again and again, so a document is taken at most MOST times over. A source that
 the points serve late gets its last blocks at the end of the schedule; the last block stops at the target.
 
-Cases: a null text has size 0 and is never taken; the null source is one source, the last; repeated doc_ids are
-documents of their own with equal keys; an empty table gives an empty result.
+The list of sources (with sizes and targets) is what the driver plans with; it may hold MANY names, or the call fails.
+
+Cases: a null text has size 0 and is never taken; the null source is one source, the last; rows that repeat a doc_id
+are documents of their own in the mix, and ``repeated`` gives them the same number of copies; rows alike in id, source and text
+may swap places; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,18 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bahikhata.llm.common import WORD, with_offsets, written
+from bahikhata.llm.common import FILE_BYTES, WORD, fresh, text_of, with_numbers, with_offsets, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 2048
+#: Sources that a mix can have: weights are set by name, by hand. Above it, group them (by host, for instance) before mixing.
+MANY = 10_000
 GOLDEN = 0.6180339887498949
 #: Documents, and slots, that one running sum takes, about.
 RANGE_ROWS = 50_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_of()).alias("_text"), F.monotonically_increasing_id().alias("_row"))
 
 
 def targets(source_sizes: dict[str | None, int], most: int = MOST) -> dict[str | None, Fraction]:
@@ -53,13 +58,12 @@ def targets(source_sizes: dict[str | None, int], most: int = MOST) -> dict[str |
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """doc_id, source, size, from_word (its place in its source's stream); and the sources with sizes and targets.
-
-    The sources are a dimension (named collections), so their list is what the driver plans with.
-    """
+    """_row (unique), doc_id, source, size, from_word (its place in its source's stream); and the sources with sizes and targets."""
     spark = docs.sparkSession
     sized, _ = written(sizes(docs), "mixing-sizes", thin=True)
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MANY + 1).collect()
+    if len(rows) > MANY:
+        raise ValueError(f"a mix has at most {MANY} sources; group them first")
     size = {r["source"]: r["size"] for r in rows}
     want = targets(size)
     names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
@@ -71,9 +75,9 @@ def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
         at += share
     dim = spark.createDataFrame([(x["k"], x["source"], x["source_size"], x["target"]) for x in sources], "k int, _source string, source_size long, target double")
     ordered = sized.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # Equal doc_ids are told apart by a number; rows that agree in all columns may swap it.
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "size"))
-    numbered, _ = written(ordered.withColumn("_order", F.xxhash64("doc_id", again)), "mixing-order", thin=True)
+    # Rows alike in id, source and text are told apart by a number.
+    ordered = with_numbers(ordered.withColumn("_same", F.xxhash64("doc_id", "k", "_text")), ["_same"], "_number")
+    numbered, _ = written(ordered.withColumn("_order", F.xxhash64("_same", "_number")).drop("_same", "_number", "_text"), "mixing-order", thin=True)
     return with_offsets(numbered, ["k"], "_order", "size", "from_word", max(8, -(-sum(r["n"] for r in rows) // RANGE_ROWS))), sources
 
 
@@ -105,7 +109,7 @@ def schedule(spark, sources: list[dict], block: int = BLOCK) -> DataFrame:
 
 
 def takings(placed_docs: DataFrame, sources: list[dict], block: int = BLOCK) -> DataFrame:
-    """(slot, epoch, _order, words): what each slot takes of each document that its block holds."""
+    """(slot, epoch, k, _row, words): what each slot takes of each document that its block holds."""
     spark = placed_docs.sparkSession
     dim = spark.createDataFrame([(x["k"], x["source_size"], x["words"]) for x in sources], "_k int, whole long, words long")
     slots = schedule(spark, sources, block).join(F.broadcast(dim), F.col("k") == F.col("_k"))
@@ -116,27 +120,42 @@ def takings(placed_docs: DataFrame, sources: list[dict], block: int = BLOCK) ->
     slots = slots.select("slot", "k", "epoch", (F.greatest("begin", zero) - zero).alias("u"), (F.least("end", zero + F.col("whole")) - zero).alias("v"))
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor((b - 1) / block)))
     slots = slots.withColumn("cell", cells(F.col("u"), F.col("v")))
-    docs = placed_docs.where("size > 0").select("k", "_order", F.col("from_word").alias("a"), (F.col("from_word") + F.col("size")).alias("b"))
+    docs = placed_docs.where("size > 0").select("k", "_row", F.col("from_word").alias("a"), (F.col("from_word") + F.col("size")).alias("b"))
     docs = docs.withColumn("cell", cells(F.col("a"), F.col("b")))
     edge = F.col("cell") * block
     met = F.least("b", "v", edge + block) - F.greatest("a", "u", edge)
-    return docs.join(slots, ["k", "cell"]).withColumn("words", met).where("words > 0").select("slot", "epoch", "k", "_order", "words")
+    return docs.join(slots, ["k", "cell"]).withColumn("words", met).where("words > 0").select("slot", "epoch", "k", "_row", "words")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, from_word, words (of the source's target), one row a document."""
     stream, sources = placed(docs)
     stream, _ = written(stream, "mixing-stream", thin=True)
-    taken = takings(stream, sources).groupBy("_order").agg(F.sum("words").alias("taken"))
+    taken = takings(stream, sources).groupBy("_row").agg(F.sum("words").alias("taken"))
     goal = docs.sparkSession.createDataFrame([(x["k"], x["words"]) for x in sources], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("words", T.LongType())]))
-    return stream.join(taken, "_order", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).join(F.broadcast(goal), "k")
+    return stream.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).join(F.broadcast(goal), "k")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes their middle word: 0 to MOST times, whole."""
-    mix = mixed(docs).withColumn("copies", F.when(F.col("size") > 0, F.greatest(F.lit(0), F.ceil((F.col("words") - F.col("from_word") - F.floor(F.col("size") / 2)) / F.col("source_size")))).otherwise(0))
-    of = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    return docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of ``docs`` in the order of the schedule, whole, as often as the mix takes over half of one: 0 to MOST times.
+
+    A row stands at the first slot that takes of it; rows of one partition are in order, and partitions are stretches of slots.
+    """
+    spark = docs.sparkSession
+    stream, sources = placed(docs)
+    stream, _ = written(stream, "mixing-stream", thin=True)
+    each = takings(stream, sources).groupBy("_row", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    each = each.join(stream.select("_row", "doc_id", "size"), "_row").where(2 * F.col("words") > F.col("size"))
+    # Rows that share a doc_id share what most copies of one of them are.
+    most = each.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    most = most.groupBy("doc_id").agg(F.max_by("slots", F.struct(F.size("slots"), F.transform("slots", lambda x: -x))).alias("slots"))
+    id_, slot = fresh(docs, "_mix_id"), fresh(docs, "_mix_slot")
+    rows = docs.join(most.select(F.col("doc_id").alias(id_), F.col("slots").alias(slot)), F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_).withColumn(slot, F.explode(slot))
+    slots = max(1, sum(x["words"] for x in sources) // BLOCK + 1)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(min(slots, max(4 * spark.sparkContext.defaultParallelism, size // FILE_BYTES)))
+    part = F.least(F.floor(F.col(slot) * n / slots), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions(slot, "doc_id").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
