@@ -6,16 +6,16 @@ would need, in one shuffle of pre-aggregated sums; the levels above are sums of
 large there are counted deeper, FINE bits at a time, from their own documents.
 
 Cases: null and empty texts have 0 bytes; null doc_ids hash alike. Rows with one doc_id (repeats, nulls) share all
-60 bits, so a second 60 bits follow, of the text and of the row's number among those with its doc_id. A single
+60 bits, so a second 60 bits follow, of the text and of the row's number among those with its doc_id and text. A single
 document over the limit is a shard of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bahikhata.llm.common import written
+from bahikhata.llm.common import fresh, text_of, with_numbers, written
 
 LIMIT = 8 << 20
 #: Bits of the first hash; depth to which sizes are summed at first, at least, and bits beyond the expected depth.
@@ -26,14 +26,18 @@ def _prefix(bits: str, depth: int | Column) -> Column:
     return F.substring(F.col(bits), F.lit(1), F.lit(depth) if isinstance(depth, int) else depth)
 
 
+def _same(docs: DataFrame) -> Column:
+    """A number of the row's doc_id and text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), text_of())
+
+
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, bits: the two hashes as a string of 0 and 1, the first of the doc_id."""
+    """doc_id, n_bytes, same, number (of the row among those with its doc_id and text), bits: the two hashes as a string of 0 and 1, the first of the doc_id."""
     digest = lambda c: F.lpad(F.conv(F.substring(F.md5(c), 1, 15), 16, 2), BITS, "0")
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("text").alias("_text"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_text"))
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), _same(docs).alias("same"), F.monotonically_increasing_id().alias("_row"))
+    rows = with_numbers(written(rows, "shard-rows", thin=True)[0], ["same"], "number")
     first = digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return (rows.withColumn("_n", number).withColumn("bits", F.concat(first, digest(F.concat_ws(":", "_text", "_n"))))
-            .select("doc_id", "n_bytes", "bits"))
+    return rows.withColumn("bits", F.concat(first, digest(F.concat_ws(":", "same", "number")))).select("doc_id", "n_bytes", "same", "number", "bits")
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -64,21 +68,34 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, shard, depth, shard_bytes: one row a document."""
+    """doc_id, n_bytes, shard, depth, shard_bytes, same, number: one row a document."""
     rows, _ = written(hashed(docs), "shard-hashes", thin=True)
     leaves = directory(rows, limit)
+    # At most a depth a bit of the two hashes.
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().toLocalIterator())
     tries = F.array(*[_prefix("bits", d) for d in depths]) if depths else F.array(F.lit(""))
     # A document's leaf is the one of its prefixes that the directory holds; no leaf is a prefix of another.
     keyed = rows.withColumn("shard", F.explode(F.array_distinct(tries)))
-    return keyed.join(leaves, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+    return keyed.join(leaves, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "same", "number")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The documents themselves, a folder a shard; a shard is within ``limit``, so it is one task's work."""
-    of = sharded(docs, limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard")).dropDuplicates(["_id"])
-    docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """The documents themselves, a folder a shard; a shard is within ``limit``, so it is one task's work.
+
+    Rows meet their shards by doc_id and text; of the few that agree in both, each takes a number and the shard of that number. A
+    column named ``shard`` would clash with the folders and is an error.
+    """
+    if "shard" in {c.lower() for c in docs.columns}:
+        raise ValueError("the documents have a column named shard")
+    same, number = fresh(docs, "_same"), fresh(docs, "_number")
+    of, _ = written(sharded(docs, limit).select(F.col("same").alias(same), F.col("number").alias(number), F.concat(F.lit("b"), "shard").alias("shard")), "shard-of", thin=True)
+    many = of.where(F.col(number) > 0).select(same).distinct()
+    rows = docs.withColumn(same, _same(docs))
+    once = rows.join(of.join(many, same, "left_anti").drop(number), same)
+    alike, _ = written(rows.join(many, same, "left_semi").select(F.struct(*docs.columns).alias("docs"), same, F.monotonically_increasing_id().alias("_row")), "shard-alike")
+    alike = with_numbers(alike, [same], number).join(of, [same, number]).select("docs.*", "shard")
+    once.select(*docs.columns, "shard").unionByName(alike).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return sharded(docs)
+    return sharded(docs).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
