@@ -374,9 +374,43 @@ def test_mixing_reruns_agree(spark, small):
     assert take(docs) == take(docs.repartition(7))
 
 
-def test_mixing_odd_rows(odd, none):
+def test_repeats_follow_the_schedule(spark, small):
+    docs = table(spark, small, "documents").withColumn("copies", F.lit(1)).withColumn("_mix_slot", F.lit("x")).withColumn("Slots", F.lit(2))
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns and "Range" in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.withColumn("_part", F.spark_partition_id()).collect()
+    want, source = {}, {}
+    for r in mixing.mixed(docs).collect():
+        # The stream is taken round after round, the last one up to some word.
+        want[r.doc_id], source[r.doc_id] = sum(2 * min(r.size, max(0, r.taken - e * r.size)) > r.size for e in range(mixing.MOST)), r.source
+    assert Counter(r.doc_id for r in rows) == Counter({d: n for d, n in want.items() if n})
+    # Any stretch of the output holds the sources about as they stand in the whole.
+    rows.sort(key=lambda r: r._part)
+    share = lambda part: Counter({s: n / len(part) for s, n in Counter(r.source for r in part).items()})
+    whole = share(rows)
+    for part in (rows[:len(rows) // 2], rows[len(rows) // 2:]):
+        assert all(abs(share(part)[s] - n) < 0.06 for s, n in whole.items())
+
+
+def test_repeated_ids_and_alike_rows_in_the_mix(spark):
+    rows = [(None, f"one two {i % 3}", "a") for i in range(60)] + [(1, "same text here", "b")] * 50 + [(i, "x y z w", None) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(docs).collect()
+    assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
+    sums = Counter()
+    for r in out:
+        sums[r.source] += r.taken
+    assert all(abs(sums[r.source] - r.target) < 1 for r in out)
+    take = lambda d: Counter((r.doc_id, r.taken) for r in mixing.digest(d).collect())
+    assert take(docs) == take(docs.repartition(5))
+
+
+def test_mixing_odd_rows(odd, none, monkeypatch):
     assert mixing.repeated(odd).columns == odd.columns
-    assert mixing.digest(none).count() == 0
+    assert mixing.digest(none).count() == 0 and mixing.repeated(none).count() == 0
+    monkeypatch.setattr(mixing, "MANY", 2)
+    with pytest.raises(ValueError):
+        mixing.digest(odd)
 
 
 # Classifier
@@ -443,3 +477,19 @@ def test_shards_odd_rows(odd, none):
             n[r.shard] += 1
         assert all(sums[s] <= limit or n[s] == 1 for s in sums)
     assert sharding.digest(none).count() == 0
+
+
+def test_written_shards_keep_the_limit(spark, odd, tmp_path):
+    rows = [(1, "x" * 60)] * 40 + [(None, "y" * 61)] * 40 + [(i, "z" * 20) for i in range(20)] + [(2, f"text {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, table_, limit in (("a", docs, 200), ("b", odd, 200), ("c", docs, 10_000)):
+        path = f"{tmp_path}/{name}"
+        sharding.write_shards(table_, f"file://{path}", limit)
+        back = spark.read.parquet(f"file://{path}")
+        assert sorted(map(str, back.select(*table_.columns).collect())) == sorted(map(str, table_.collect()))
+        sums = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()
+        assert all(r.b <= limit or r.n == 1 for r in sums)
+        want = Counter((r.shard, r.shard_bytes) for r in sharding.sharded(table_, limit).select("shard", "shard_bytes").distinct().collect())
+        assert Counter((r.shard[1:], r.b) for r in sums) == want
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", F.lit(1)), f"file://{tmp_path}/d")

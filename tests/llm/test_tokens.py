@@ -49,10 +49,39 @@ def test_token_files_against_brute_force(spark, odd):
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
-def test_token_files_hold_the_ids_themselves(spark, odd):
-    files, by_rank = token_files.write_files(odd.where("doc_id = 7"), public("word_bpe_49k.json"))
-    (row,) = token_files.read_files(files, by_rank).collect()
-    assert np.frombuffer(row.ids, "<u4").tolist() == whole("word_bpe_49k.json", odd.where("doc_id = 7").first().text) + [2]
+def test_a_folder_is_read_by_itself(spark, odd, tmp_path):
+    folder = token_files.write_files(odd, public("word_bpe_49k.json"), f"file://{tmp_path}/ids")
+    rows = token_files.read_files(spark.newSession(), folder).collect()
+    want = sorted((-1 if r.doc_id is None else r.doc_id, whole("word_bpe_49k.json", r.text or "") + [2]) for r in odd.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == want
+    import pyarrow.parquet as pq
+    order = [-1 if d is None else d for f in sorted((tmp_path / "ids" / "blocks").glob("*.parquet")) for ids in pq.read_table(f).column("doc_ids").to_pylist() for d in ids]
+    assert order == sorted(order) and len(order) == len(want)
+
+
+def test_ids_of_any_width():
+    class Rows:
+        def mapInPandas(self, run, schema):
+            return run
+
+    ids = [[70_000, 1], [2], [99_999] * 3]
+    import pandas as pd
+    rows = pd.DataFrame({"shard": 0, "doc_id": [1, 2, 3], "ids": [np.array(x, "<u4").tobytes() for x in ids]})
+    (block,) = [b for b in token_files.blocks(Rows(), np.arange(100_000, dtype=np.uint32), "<u4")([rows]) if len(b)]
+    assert token_files.decoded(block.control[0], block.data[0], 6).tolist() == sum(ids, [])
+
+
+def test_repeated_ids_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 40)
+    rows = [(7, f"word {i}") for i in range(40)] + [(None, f"none {i}") for i in range(30)] + [(i, "a b c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = token_files.bounds(docs)
+    assert cuts[1].max() > 2 and cuts[2] > 2
+    got = token_files.digest(docs, public("word_bpe_49k.json")).collect()
+    ends = sorted((r.start, r.start + r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in got)
+    assert len(got) == 90 and ends[0][0] == 0 and all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(ends, ends[1:]))
+    where = token_files.encoded(docs, public("word_bpe_49k.json"), cuts).groupBy("doc_id").agg({"shard": "max"}).collect()
+    assert len(where) == 21
 
 
 def test_packing_against_brute_force(spark, odd):
