@@ -309,6 +309,16 @@ def test_every_notice_of_a_file_is_found(spark, small):
     assert "gpl-3.0" in brute_labels(f"{every[5]} {every[2]}").split(",") and len(brute_labels(texts[len(every) ** 2]).split(",")) == len(every) + len(licenses.BASE)
 
 
+def test_work_grows_with_the_text(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "mit license " * 100_000), (2, "either version 3 of the license or at your option any later version " * 5_000)], "doc_id long, text string")
+    began = time.time()
+    one, two = licenses.digest(docs).orderBy("doc_id").collect()
+    assert time.time() - began < 60 and one.n_base == 100_000 and one.labels == "mit"
+    assert (one.first_word, one.last_word, one.score) == (0, 199_998, 1.0) and two.labels == ""
+
+
 def test_no_licenses(none):
     assert licenses.digest(none).count() == 0
 
