@@ -6,15 +6,17 @@ a part), or open (neither). A class or id names a part if all fragments of one o
 aside (_NEUTRAL). An article, main or articleBody inside an element that is dropped for its class alone is main all the
 same; an article inside comments, advertisements or related pages is main only if the page has no other.
 
-What the author marked as the article is never differenced, because copies and quoted passages on neighbouring pages
-would be deleted with it; so a page with an article keeps exactly its article, and differencing decides the pages
-without one (bare pages). Bare pages with the same open lines count once, at the first of their paths. They are sorted by URL
-path within their host, and each is held against the two nearest others, the one with the longer common path first. Open
-lines are aligned by longest common subsequence and lines shared with the first are deleted: they are the site's
-template. The first is a copy, not a mere neighbour, if of the words that the second doesn't share it has over COPY; then the
-lines shared with the second are deleted instead. So lines that stand on three pages are template, however short the
-text beside them. On a host of two different bare pages nothing tells a copy from a template, and a pair that
-shares over COPY of a page's words deletes nothing.
+All pages are sorted by URL path within their host (those with an article apart from the bare ones, whose layout is
+another), pages with the same lines once, at the first of their paths. Each is held against the two nearest others, the one with the longer common path first: all lines of both pages, whatever
+their zones, are aligned by longest common subsequence (of line hashes, so texts don't move), and lines shared with the
+first are deleted as the site's template. The first is a copy, not a mere neighbour, if of the words that the second doesn't
+share it has over COPY; then the lines shared with the second are deleted instead. So lines that stand on three
+pages are template, however short the text beside them. On a host of two different pages nothing tells a copy from a
+template, and a pair that shares over COPY of a page's words deletes nothing.
+
+Zones guard what differencing can't know. Main lines stay, shared or not: copies and quoted passages on neighbouring pages would be
+deleted from the article with the template. Of the lines that differ from the neighbours' those in a dropped zone go (menus
+and adverts made for one page), and on a page with an article all lines outside it.
 
 Cases: null or empty html gives an empty text; null urls are one host; a page alone on its host has no partner and
 keeps its open lines; repeated page_ids are pages of their own; unclosed tags and comments run to where HTML ends
@@ -28,7 +30,9 @@ import re
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +46,8 @@ MAIN, OPEN, DROPPED = 1, 0, 2
 #: While a page is read: dropped for a class or id alone; the same, for one that holds other articles; an article inside that.
 _SOFT, _OTHERS, _SPARE = 3, 4, 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag (quotes count only behind an equals sign; one that isn't closed is part of the value), or another declaration.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>=]++|=\s*+(?>"[^"]*+"|'[^']*+')?+)*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -170,9 +175,9 @@ def lines(page: str) -> list[tuple[str, int]]:
     return [(t, spare if z == _SPARE else DROPPED if z in (_SOFT, _OTHERS) else z) for t, z in out]
 
 
-def shared(ours: list[str], theirs: list[str]) -> set[int]:
+def shared(ours: list, theirs: list) -> set[int]:
     """Places in ``ours`` of a longest common subsequence of lines, a row of bits for each of our lines."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, line in enumerate(theirs):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(theirs)) - 1
@@ -193,23 +198,26 @@ def shared(ours: list[str], theirs: list[str]) -> set[int]:
     return found
 
 
-def differenced(ours: list[str], first: list[str] | None, second: list[str] | None) -> str:
-    """Our lines without the template, by the two nearest pages (None: there is none)."""
-    size = lambda places: sum(len(ours[i].split()) for i in places)
+def template(ours: list, sizes: list[int], first: list | None, second: list | None) -> list[int]:
+    """Places of our lines (with so many words each) that are template, by the two nearest pages (None: there is none)."""
+    size = lambda places: sum(sizes[i] for i in places)
     gone, other = shared(ours, first or []), shared(ours, second or [])
     if size(gone - other) > COPY * size(set(range(len(ours))) - other):
         gone = other
-    return " ".join(x for i, x in enumerate(ours) if i not in gone)
+    return sorted(gone)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page (unique), page_id, url, article (null if none is marked), open_lines."""
+    """page (unique), page_id, url, keys and sizes (64-bit hash and words of every line), places and texts of the lines that may stay, marked (those are an article's)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [lines(x or "") for x in rows["html"]]
-            article = [" ".join(t for t, z in f if z == MAIN) if any(z == MAIN for _, z in f) else None for f in found]
-            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "article": article, "open_lines": [[t for t, z in f if z == OPEN] for f in found]})
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, article string, open_lines array<string>").withColumn("page", F.monotonically_increasing_id())
+            marked = [any(z == MAIN for _, z in f) for f in found]
+            stay = [[(i, t) for i, (t, z) in enumerate(f) if z == (MAIN if m else OPEN)] for f, m in zip(found, marked)]
+            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "keys": [[np.int64(xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)) for t, _ in f] for f in found],
+                                "sizes": [[t.count(" ") + 1 for t, _ in f] for f in found], "places": [[i for i, _ in x] for x in stay], "texts": [[t for _, t in x] for x in stay], "marked": marked})
+    schema = "page_id long, url string, keys array<long>, sizes array<int>, places array<int>, texts array<string>, marked boolean"
+    return pages.select("page_id", "url", "html").mapInPandas(run, schema).withColumn("page", F.monotonically_increasing_id())
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -245,29 +253,38 @@ def partners(pages: DataFrame) -> DataFrame:
     return keys.select("page", F.get("near", 0).alias("first"), F.get("near", 1).alias("second"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
-    found, _ = written(parsed(pages), "pages")
-    marked = found.where("article IS NOT NULL").select("page_id", "url", F.col("article").alias("text"))
+def templates(found: DataFrame) -> DataFrame:
+    """page, partner (page_id of the nearest page), template (places of the lines that differencing deletes)."""
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.rtrim(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
-    bare = found.where("article IS NULL AND size(open_lines) > 0").select(
-        "page", "page_id", "url", "open_lines", host.alias("host"), path.alias("path"), F.md5(F.array_join("open_lines", "\n").cast("binary")).alias("lines_md5"))
-    firsts = bare.groupBy("host", "lines_md5").agg(F.min(F.struct("path", "page")).alias("one")).select("host", "lines_md5", "one.*")
+    # Pages with an article and bare pages of a host are two lists.
+    host = F.concat(F.when(F.col("marked"), "article ").otherwise("bare "), host)
+    rows, _ = written(found.where("size(keys) > 0").select("page", "page_id", host.alias("host"), path.alias("path"), F.xxhash64("keys").alias("alike"), "keys", "sizes"), "page-lines")
+    firsts = rows.groupBy("host", "alike").agg(F.min(F.struct("path", "page")).alias("one")).select("host", "alike", "one.*")
     firsts, _ = written(firsts, "page-firsts")
-    of = lambda name: bare.select(F.col("page").alias(name), F.col("open_lines").alias(f"{name}_lines"))
-    tried = partners(firsts).join(bare.select("page", "host", "lines_md5", "open_lines"), "page").join(of("first"), "first", "left").join(of("second"), "second", "left")
+    of = lambda name: rows.select(F.col("page").alias(name), F.col("keys").alias(f"{name}_keys"), F.col("page_id").alias(f"{name}_id"))
+    tried = partners(firsts).join(rows.select("page", "host", "alike", "keys", "sizes"), "page").join(of("first"), "first", "left").join(of("second"), "second", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            held = [[None if x is None else list(x) for x in rows[c]] for c in ("open_lines", "first_lines", "second_lines")]
-            yield pd.DataFrame({"host": rows["host"], "lines_md5": rows["lines_md5"], "text": [differenced(*x) for x in zip(*held)]})
-    texts = tried.select("host", "lines_md5", "open_lines", "first_lines", "second_lines").mapInPandas(run, "host string, lines_md5 string, text string")
-    bare = bare.select("page_id", "url", "host", "lines_md5").join(texts, ["host", "lines_md5"]).select("page_id", "url", "text")
-    none = found.where("article IS NULL AND size(open_lines) = 0").select("page_id", "url", F.lit("").alias("text"))
-    return marked.unionByName(bare).unionByName(none).withColumn("n_chars", F.length("text").cast("long"))
+        for b in batches:
+            held = [[None if x is None else list(x) for x in b[c]] for c in ("keys", "sizes", "first_keys", "second_keys")]
+            yield pd.DataFrame({"host": b["host"], "alike": b["alike"], "partner": b["first_id"].astype("Int64"), "template": [template(*x) for x in zip(*held)]})
+    each = tried.select("host", "alike", "keys", "sizes", "first_keys", "second_keys", "first_id").mapInPandas(run, "host string, alike long, partner long, template array<int>")
+    return rows.select("page", "host", "alike").join(each, ["host", "alike"]).select("page", "partner", "template")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, partner (page_id of the page that it was held against), n_template (lines that differencing deleted)."""
+    small_batches(pages.sparkSession)
+    found, _ = written(parsed(pages), "pages")
+    rows = found.select("page", "page_id", "url", "places", "texts", "marked").join(templates(found), "page", "left")
+    gone = F.coalesce("template", F.array().cast("array<int>"))
+    stays = F.filter("texts", lambda t, i: F.col("marked") | ~F.array_contains(F.col("_gone"), F.get("places", i)))
+    rows = rows.withColumn("_gone", gone).withColumn("text", F.array_join(stays, " "))
+    # Lines of an article stay; all others that are shared were deleted before zones were looked at.
+    kept = F.when(F.col("marked"), F.size(F.array_intersect("_gone", "places"))).otherwise(0)
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "partner", (F.size("_gone") - kept).alias("n_template"))
 
 
 def digest(pages: DataFrame) -> DataFrame:
