@@ -20,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder that stands in for spark.checkpoint.dir in tests.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where it is unset and Spark is local (tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='bahikhata-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='bahikhata-')}")
+        where = _OWN[-1]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
