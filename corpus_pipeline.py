@@ -2,7 +2,7 @@
 
 Every stage but the last returns rows of documents with the columns of its input: the classifier and the rules
 leave out what they reject, near-duplicate removal keeps the smallest doc_id of each component, mixing gives each
-row 0 to 3 times. Packing returns a row for each piece of each row that is left.
+row 0 to 3 times, as the slots of its schedule take it. Packing returns a row for each piece of each row that is left.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bahikhata.llm import classifier, mixing, outliers, packing, simhash
-from bahikhata.llm.common import compact, table, written
+from bahikhata.llm.common import compact, removed, scratch, table, written
 from bahikhata.llm.tokens import public
 
 
@@ -30,8 +30,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return compact(mixing.repeated(docs))
+    """Documents as often as the mix of sources takes them, in the order of its schedule."""
+    return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +46,18 @@ STAGES = [
     ("source_mixing", mixed),
     ("packing", packed),
 ]
-#: Trained scores, fingerprints and packing plans have no SQL form; tests hold the stages against brute force.
+#: Trained scores, fingerprints and packing plans have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs, _ = written(docs, f"pipeline-{name}")
-    return docs
+    """The last stage's rows. Each stage's own tables, and the rows it was given, are removed once its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as stay:
+            docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            stay.append(path)
+        if last:
+            removed(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
