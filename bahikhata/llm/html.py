@@ -41,7 +41,7 @@ from bahikhata.llm.common import small_batches, written
 
 COPY = 0.7
 #: Pages that are held against their neighbours in one task.
-STRETCH = 50_000
+STRETCH = 2_000
 MAIN, OPEN, DROPPED = 1, 0, 2
 #: While a page is read: dropped for a class or id alone; the same, for one that holds other articles; an article inside that.
 _SOFT, _OTHERS, _SPARE = 3, 4, 5
@@ -208,7 +208,7 @@ def template(ours: list, sizes: list[int], first: list | None, second: list | No
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page (unique), page_id, url, keys and sizes (64-bit hash and words of every line), places and texts of the lines that may stay, marked (those are an article's)."""
+    """page_id, url, keys and sizes (64-bit hash and words of every line), places and texts of the lines that may stay, marked (those are an article's), host, path and alike (which say what the page is held against)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [lines(x or "") for x in rows["html"]]
@@ -217,7 +217,11 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "keys": [[np.int64(xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)) for t, _ in f] for f in found],
                                 "sizes": [[t.count(" ") + 1 for t, _ in f] for f in found], "places": [[i for i, _ in x] for x in stay], "texts": [[t for _, t in x] for x in stay], "marked": marked})
     schema = "page_id long, url string, keys array<long>, sizes array<int>, places array<int>, texts array<string>, marked boolean"
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema).withColumn("page", F.monotonically_increasing_id())
+    url = F.coalesce("url", F.lit(""))
+    # Pages with an article and bare pages of a host are two lists.
+    host = F.concat(F.when(F.col("marked"), "article ").otherwise("bare "), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    path = F.rtrim(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
+    return pages.select("page_id", "url", "html").mapInPandas(run, schema).withColumns({"host": host, "path": path, "alike": F.xxhash64("keys")})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -254,31 +258,33 @@ def partners(pages: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """page, partner (page_id of the nearest page), template (places of the lines that differencing deletes)."""
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.rtrim(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
-    # Pages with an article and bare pages of a host are two lists.
-    host = F.concat(F.when(F.col("marked"), "article ").otherwise("bare "), host)
-    rows, _ = written(found.where("size(keys) > 0").select("page", "page_id", host.alias("host"), path.alias("path"), F.xxhash64("keys").alias("alike"), "keys", "sizes"), "page-lines")
-    firsts = rows.groupBy("host", "alike").agg(F.min(F.struct("path", "page")).alias("one")).select("host", "alike", "one.*")
-    firsts, _ = written(firsts, "page-firsts")
-    of = lambda name: rows.select(F.col("page").alias(name), F.col("keys").alias(f"{name}_keys"), F.col("page_id").alias(f"{name}_id"))
-    tried = partners(firsts).join(rows.select("page", "host", "alike", "keys", "sizes"), "page").join(of("first"), "first", "left").join(of("second"), "second", "left")
+    """host, alike (a row for all pages of a host with the same lines), partner (page_id of the nearest page), template (places of the lines that differencing deletes)."""
+    one = found.where("size(keys) > 0").select("host", "alike", "path", "page_id", "keys", "sizes")
+    one = one.groupBy("host", "alike").agg(F.min(F.struct("path", "page_id", "keys", "sizes")).alias("one")).select("host", "alike", "one.*", F.monotonically_increasing_id().alias("page"))
+    one, _ = written(one, "page-lines")
+    near = partners(one).select("page", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("first").alias("other")), F.struct(F.lit(2).alias("rank"), F.col("second").alias("other")))).alias("x")).select("page", "x.*").where("other IS NOT NULL")
+    near = near.join(one.select(F.col("page").alias("other"), F.col("keys").alias("other_keys"), F.col("page_id").alias("other_id")), "other")
+    of = lambda rank, c: F.first(F.when(F.col("rank") == rank, F.col(c)), ignorenulls=True)
+    near = near.groupBy("page").agg(of(1, "other_keys").alias("first_keys"), of(2, "other_keys").alias("second_keys"), of(1, "other_id").alias("first_id"))
+    tried = one.select("page", "host", "alike", "keys", "sizes").join(near, "page")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             held = [[None if x is None else list(x) for x in b[c]] for c in ("keys", "sizes", "first_keys", "second_keys")]
             yield pd.DataFrame({"host": b["host"], "alike": b["alike"], "partner": b["first_id"].astype("Int64"), "template": [template(*x) for x in zip(*held)]})
     each = tried.select("host", "alike", "keys", "sizes", "first_keys", "second_keys", "first_id").mapInPandas(run, "host string, alike long, partner long, template array<int>")
-    return rows.select("page", "host", "alike").join(each, ["host", "alike"]).select("page", "partner", "template")
+    return written(each, "page-templates")[0]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, partner (page_id of the page that it was held against), n_template (lines that differencing deleted)."""
+    """page_id, url, text, n_chars, partner (page_id of the page that it was held against), n_template (lines that differencing deleted).
+
+    Pages are read twice, for their lines' hashes and for their texts: that costs less than keeping all texts between.
+    """
     small_batches(pages.sparkSession)
-    found, _ = written(parsed(pages), "pages")
-    rows = found.select("page", "page_id", "url", "places", "texts", "marked").join(templates(found), "page", "left")
+    found = parsed(pages)
+    of = templates(found)
+    rows = found.select("page_id", "url", "places", "texts", "marked", "host", "alike").join(of, ["host", "alike"], "left")
     gone = F.coalesce("template", F.array().cast("array<int>"))
     stays = F.filter("texts", lambda t, i: F.col("marked") | ~F.array_contains(F.col("_gone"), F.get("places", i)))
     rows = rows.withColumn("_gone", gone).withColumn("text", F.array_join(stays, " "))
