@@ -263,10 +263,11 @@ def templates(found: DataFrame) -> DataFrame:
     one = one.groupBy("host", "alike").agg(F.min(F.struct("path", "page_id", "keys", "sizes")).alias("one")).select("host", "alike", "one.*", F.monotonically_increasing_id().alias("page"))
     one, _ = written(one, "page-lines")
     near = partners(one).select("page", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("first").alias("other")), F.struct(F.lit(2).alias("rank"), F.col("second").alias("other")))).alias("x")).select("page", "x.*").where("other IS NOT NULL")
-    near = near.join(one.select(F.col("page").alias("other"), F.col("keys").alias("other_keys"), F.col("page_id").alias("other_id")), "other")
+    # Merge joins at every size: a side that is small enough to send round today grows with the pages.
+    near = near.hint("merge").join(one.select(F.col("page").alias("other"), F.col("keys").alias("other_keys"), F.col("page_id").alias("other_id")), "other")
     of = lambda rank, c: F.first(F.when(F.col("rank") == rank, F.col(c)), ignorenulls=True)
     near = near.groupBy("page").agg(of(1, "other_keys").alias("first_keys"), of(2, "other_keys").alias("second_keys"), of(1, "other_id").alias("first_id"))
-    tried = one.select("page", "host", "alike", "keys", "sizes").join(near, "page")
+    tried = one.select("page", "host", "alike", "keys", "sizes").join(near.hint("merge"), "page")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -284,7 +285,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     found = parsed(pages)
     of = templates(found)
-    rows = found.select("page_id", "url", "places", "texts", "marked", "host", "alike").join(of, ["host", "alike"], "left")
+    rows = found.select("page_id", "url", "places", "texts", "marked", "host", "alike").join(of.hint("merge"), ["host", "alike"], "left")
     gone = F.coalesce("template", F.array().cast("array<int>"))
     stays = F.filter("texts", lambda t, i: F.col("marked") | ~F.array_contains(F.col("_gone"), F.get("places", i)))
     rows = rows.withColumn("_gone", gone).withColumn("text", F.array_join(stays, " "))
