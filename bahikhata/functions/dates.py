@@ -49,3 +49,13 @@ def tally_date(date: Column) -> Column:
 def fiscal_year(date: Column) -> Column:
     """First calendar year of the April-to-March year."""
     return F.year(F.add_months(date, -3)).cast("long")
+
+
+def preset(name: str, today: Column) -> Column:
+    """struct(first, last) of a named range of days; years run from April to March. Null for a name that isn't known."""
+    fiscal = lambda back: F.make_date(fiscal_year(today).cast("int") - back, F.lit(4), F.lit(1))
+    month = F.trunc(today, "month")
+    ends = {"today": (today, today), "this_month": (month, F.last_day(today)), "last_month": (F.add_months(month, -1).cast("date"), F.date_sub(month, 1)),
+            "current_fy": (fiscal(0), F.date_sub(fiscal(-1), 1)), "prev_fy": (fiscal(1), F.date_sub(fiscal(0), 1))}
+    first, last = ends.get(name, (F.lit(None).cast("date"),) * 2)
+    return F.struct(first.alias("first"), last.alias("last"))

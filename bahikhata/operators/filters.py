@@ -81,3 +81,28 @@ def export_voucher(tally: bool) -> Column:
     plain = F.when(credit, "Receipt").otherwise("Payment")
     guess = F.when(up.contains("ATM") | up.contains("CASH WDL") | up.contains("CASH DEP"), "Contra").otherwise(plain) if tally else plain
     return F.when(kind == "Unknown", guess).otherwise(kind)
+
+
+def real_rows(txns: DataFrame) -> DataFrame:
+    """without the opening-balance rows."""
+    return txns.where(~F.coalesce("is_opening_balance", F.lit(False)))
+
+
+def ai_eligible(scope_all: bool = False) -> Column:
+    """rows that may be sent to a language model: no opening rows, nothing decided by hand, and (unless all are asked for) what is open or unsure."""
+    free = ~F.coalesce("is_opening_balance", F.lit(False)) & ~F.col("status").isin("Manual", "Suspense")
+    return free if scope_all else free & (F.col("status").isin("Unreviewed", "NeedsReview") | (F.col("confidence") < 0.6))
+
+
+# Words of an audit event by the filter that asks for them.
+AUDIT_ACTIONS = {"add": ("ADD", "CREATE", "MANUAL"), "edit": ("EDIT", "RESET", "SAVE", "CLASSIFY"), "delete": ("DELETE",), "import": ("IMPORT", "BATCH"), "export": ("EXPORT",), "classify": ("CLASSIFY",), "rule": ("RULE",)}
+AUDIT_TYPES = {"transaction": ("ADD", "DEDUPE", "RECONCILE", "MANUAL"), "client": ("CLIENT",), "rule": ("RULE",), "import": ("IMPORT", "BATCH"), "export": ("EXPORT",)}
+
+
+def audit_filter(event: Column, action: str = "", kind: str = "") -> Column:
+    """F16: events whose text holds a word of the action and one of the kind; an unknown or empty filter lets all through."""
+    asked = [words for words in (AUDIT_ACTIONS.get(action), AUDIT_TYPES.get(kind)) if words]
+    found = F.lit(True)
+    for words in asked:
+        found = found & F.upper(event).rlike("|".join(words))
+    return found

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bahikhata.functions import amounts, dates, text
-from bahikhata.operators import analytics, balances, classify, duplicates, export, filters, groups, gst, recon, service, store
+from bahikhata.functions import amounts, dates, recognised, text
+from bahikhata.operators import analytics, balances, classify, duplicates, export, filters, groups, gst, narrations, recon, service, store
 from bahikhata.plans import sql
 from bahikhata.plans.sql import TXN
 from bahikhata.sources import statements
@@ -553,3 +553,46 @@ def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("n_name")
     cells = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("file"), F.lit(0).alias("row_idx"), F.array(name, F.lit("Date"), F.concat(F.lit("Narration "), name), F.lit("Withdrawal"), F.lit("Bal"), F.lit("Closing Balance INR")).alias("cells"))
     return statements.header_scores(cells).select("file", F.col("pos").cast("long").alias("pos"), "field", F.col("score").cast("long").alias("score"))
+
+
+@query(sql.CLEANED)
+def narration_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11, X12, X13, X15, Z14"""
+    found = raw(spark, sf_dir).select("ord", F.explode(F.array(narrations.cleaned(F.col("narration")))).alias("c")).select("ord", "c.*")
+    return found.withColumn("shown", narrations.shown_cleaned(preserve=False))
+
+
+@query()
+def party_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as parties, in five spellings"""
+    part = table(spark, sf_dir, "part")
+    name, other, n = F.upper("p_name"), F.upper("p_brand"), F.col("p_partkey") % 5
+    words = F.split(name, " ")
+    vendor = F.when(n == 0, name).when(n == 1, F.array_join(F.reverse(words), " ")).when(n == 2, F.concat(name, F.lit(" PVT LTD"))).when(n == 3, F.concat(name, F.lit(" - PUNE"))).otherwise(F.left(F.get(words, F.lit(1)), F.lit(5)))
+    rows = part.select(F.col("p_partkey").alias("ord"), vendor.alias("vendor"), F.when(n == 1, "Office Expense").otherwise(F.concat(other, F.lit(" TRADERS"))).alias("account_head"))
+    return narrations.with_canonical(rows)
+
+
+@query(sql.RECOGNISED)
+def ocr_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged narrations, two passes"""
+    damaged = F.when(F.col("ord") % 2 == 0, F.translate("narration", "015", "OIS")).otherwise(F.replace(F.replace(F.col("narration"), F.lit("PAYMENT"), F.lit("PAYMFNT")), F.lit("CHARGES"), F.lit("CHRGFS")))
+    once = raw(spark, sf_dir).select("ord", F.explode(F.array(recognised.corrected(damaged))).alias("line"))
+    return once.select("ord", recognised.corrected(F.col("line")).alias("line"))
+
+
+@query(f"""{TXN} SELECT ord, 'EDIT' AS found FROM txn WHERE regexp_matches(upper(narration), 'EDIT|RESET|SAVE|CLASSIFY') UNION ALL SELECT ord, 'BOTH' FROM txn WHERE regexp_matches(upper(narration), 'IMPORT|BATCH') AND regexp_matches(upper(narration), 'RULE') UNION ALL SELECT ord, 'AI' FROM txn WHERE status NOT IN ('Manual', 'Suspense')""")
+def audit_and_ai_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F16, F18"""
+    rows = filters.real_rows(raw(spark, sf_dir).withColumn("is_opening_balance", F.lit(False)))
+    asked = {"EDIT": filters.audit_filter(F.col("narration"), "edit"), "BOTH": filters.audit_filter(F.col("narration"), "import", "rule"), "AI": filters.ai_eligible()}
+    return rows.select("ord", F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in asked.items()]), lambda x: x.isNotNull())).alias("found"))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS ord, CAST(o_orderdate AS DATE) AS t FROM orders), y AS (SELECT *, CASE WHEN month(t) >= 4 THEN year(t) ELSE year(t) - 1 END AS fy FROM d)
+SELECT ord, t AS today_first, t AS today_last, CAST(date_trunc('month', t) AS DATE) AS this_month_first, last_day(t) AS this_month_last, CAST(date_trunc('month', t) - INTERVAL 1 MONTH AS DATE) AS last_month_first, CAST(date_trunc('month', t) - INTERVAL 1 DAY AS DATE) AS last_month_last,
+ make_date(fy, 4, 1) AS current_fy_first, make_date(fy + 1, 3, 31) AS current_fy_last, make_date(fy - 1, 4, 1) AS prev_fy_first, make_date(fy, 3, 31) AS prev_fy_last FROM y""")
+def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F15"""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.to_date("o_orderdate").alias("t"))
+    return rows.select("ord", *[dates.preset(n, F.col("t"))[e].alias(f"{n}_{e}") for n in ("today", "this_month", "last_month", "current_fy", "prev_fy") for e in ("first", "last")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bahikhata.functions.text import GLUED_REFERENCE, HEADERS, PAYMENT_TYPES, REFERENCES, TOTALS
+from bahikhata.operators.narration_words import BANK_TERMS, BANK_TOKENS, JUNK, PREFIXES, SMALL_WORDS, VENDORS
 from bahikhata.operators.ledger_words import GST_RATES, GST_VENDORS, LADDER, RAILS, keyword_rows
 from bahikhata.sources.driver_tables import BANKS, NARRATIONS
 
@@ -73,3 +74,29 @@ o AS (SELECT account, arg_min(balance - net, ord) FILTER (balance IS NOT NULL) A
 p AS (SELECT p0.*, opening, CAST(coalesce(stated, opening) + coalesce(sum(CASE WHEN balance IS NULL THEN net END) OVER (PARTITION BY account, anchor ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(18,2)) AS prev_balance FROM p0 JOIN o USING (account))"""
 
 ACCOUNTS = f"""{PREV}, a AS (SELECT account, CAST(arg_min(prev_balance, ord) AS DOUBLE) AS opening, CAST(arg_max(balance, ord) FILTER (balance IS NOT NULL) AS DOUBLE) AS closing, count(*) AS n, CAST(coalesce(sum(credit), 0) AS DOUBLE) AS credits, CAST(coalesce(sum(debit), 0) AS DOUBLE) AS debits FROM p GROUP BY 1)"""
+
+
+def _in(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(map(text, words)) + ")"
+
+
+_TELLS = f"strlen(w) > 1 AND NOT regexp_full_match(w, '[0-9]+') AND upper(w) NOT IN {_in(JUNK)}"
+_TITLED = f"array_to_string(list_transform(list_filter(string_split({{0}}, ' '), lambda w: w <> ''), lambda w, i: CASE WHEN strlen(w) <= 4 AND regexp_full_match(w, '[A-Z]+') AND lower(w) NOT IN {_in(SMALL_WORDS)} THEN w WHEN lower(w) IN {_in(SMALL_WORDS)} AND i > 1 THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
+_GLUE = "regexp_replace(regexp_replace(regexp_replace(array_to_string(parts, ' '), '[0-9]{6,22}', ' ', 'g'), '\\b[A-Z]{2,4}[0-9]{6,}\\b', ' ', 'g'), '\\b[A-Z]{4}0[A-Z0-9]{6}\\b', ' ', 'g')"
+_POINTS = f"3 - (CASE WHEN upper(w) IN {_in(BANK_TOKENS)} THEN 3 ELSE 0 END) - (CASE WHEN regexp_matches(w, '^[0-9]') THEN 4 ELSE 0 END) + greatest(0, least(strlen(w) - 5, 3))"
+CLEANED = f"""{TXN}, c0 AS (SELECT ord, trim(narration) AS t, {_PAYMENT} AS kind, {_REF} AS ref FROM txn),
+c1 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, 'https?://\\S+', ' ', 'g'), '\\S+@[a-z]+\\b', ' ', 'g'), '[/|\\\\]'), lambda w: trim(w)), lambda w: {_TELLS} AND NOT (regexp_matches(upper(w), '^[A-Z]{{4}}0') AND strlen(w) = 11)) AS parts FROM c0),
+c2 AS (SELECT *, list_filter(regexp_split_to_array({_GLUE}, '\\s+'), lambda w: {_TELLS}) AS words FROM c1),
+c3 AS (SELECT *, array_to_string(words, ' ') AS s, list_transform(words, lambda w: {_POINTS}) AS points FROM c2),
+c4 AS (SELECT *, list_transform(range(1, len(words) + 1), lambda i: struct_pack(score := list_sum(points[i:i + 4]), first := -i, name := array_to_string(words[i:i + 4], ' '))) AS spans FROM c3),
+c5 AS (SELECT *, coalesce(CASE {' '.join(f"WHEN contains(upper(s), {text(k)}) THEN {text(v)}" for k, v in VENDORS)} END, CASE WHEN len(words) > 0 AND list_max(spans).score > 0 THEN left(list_max(spans).name, 40) END, '') AS p FROM c4),
+c6 AS (SELECT *, {_TITLED.format('p')} AS party, left({_TITLED.format('s')}, 40) AS rest, CASE kind {' '.join(f"WHEN {text(k)} THEN {text(v)}" for k, v in PREFIXES)} ELSE '' END AS pre FROM c5),
+c7 AS (SELECT *, CASE WHEN party = '' AND rest = '' THEN 'Unknown' WHEN kind IN ('ATM', 'CASH', 'INTEREST', 'CHARGES') THEN CASE WHEN party = '' THEN pre ELSE pre || ' - ' || party END ELSE pre || CASE WHEN party = '' THEN rest ELSE party END END AS whole FROM c6)
+SELECT ord, trim(whole) AS cleaned, kind AS txn_type, party, ref AS payment_ref, least(99, 40 + (CASE WHEN kind <> 'OTHER' THEN 15 ELSE 0 END) + (CASE WHEN strlen(party) >= 3 THEN 15 ELSE 0 END) + (CASE WHEN strlen(party) >= 6 THEN 10 ELSE 0 END) + (CASE WHEN {' OR '.join(f"starts_with(upper(party), {text(k)})" for k, _ in VENDORS)} THEN 15 ELSE 0 END) + (CASE WHEN strlen(whole) / strlen(t) < 0.8 THEN 5 ELSE 0 END)) / 100 AS confidence, true AS shown FROM c7"""
+
+_SIGNS = "[\\s/\\-.,|:]"
+_DIGITS = f"array_to_string(list_transform(regexp_extract_all({{0}}, '{_SIGNS}+|[^\\s/\\-.,|:]+'), lambda t: CASE WHEN regexp_full_match(t, '[0-9OoIlSZBGqQAg]{{{{1,20}}}}') THEN translate(t, 'OoIlSZzBGqQAg', '0011522869949') ELSE t END), '')"
+_TERMS = "[" + ", ".join(map(text, BANK_TERMS)) + "]"
+_TERM = f"""CASE WHEN regexp_full_match(w, '[A-Za-z]{{{{4,}}}}') AND length(w) <= 15 AND NOT list_contains({_TERMS}, upper(w)) THEN coalesce(list_min(list_filter(list_transform({_TERMS}, lambda t, i: struct_pack(d := levenshtein(upper(w), t), i := i, t := t)), lambda x: x.d <= CASE WHEN length(w) <= 5 THEN 1 WHEN length(w) <= 8 THEN 2 ELSE 3 END)).t, w) ELSE w END"""
+_LINE = "array_to_string(list_transform(list_filter(regexp_split_to_array(" + _DIGITS + ", '\\s+'), lambda w: w <> ''), lambda w: " + _TERM + "), ' ')"
+RECOGNISED = f"""{TXN}, r0 AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN translate(narration, '015', 'OIS') ELSE replace(replace(narration, 'PAYMENT', 'PAYMFNT'), 'CHARGES', 'CHRGFS') END AS l0 FROM txn), r1 AS (SELECT ord, {_LINE.format('l0')} AS l1 FROM r0) SELECT ord, {_LINE.format('l1')} AS line FROM r1"""
