@@ -50,15 +50,15 @@ def first_case(cases: list[tuple[Column, Column]]) -> Column:
 
 
 def txn_hash(date: Column, narration: Column, debit: Column, credit: Column) -> Column:
-    """Polynomial hash (base 31, 32 bits, over code points) of date, narration and amounts, in lower hex."""
+    """Polynomial hash (base 31, 32 bits, over code points) of date, narration and amounts, in lower hex; null texts count as empty."""
     part = lambda x: F.coalesce(plain_number(x), F.lit("null"))
-    chars = F.split(F.concat_ws("|", date, narration, part(debit), part(credit)), "")
+    chars = F.split(F.concat_ws("|", F.coalesce(date, F.lit("")), F.coalesce(narration, F.lit("")), part(debit), part(credit)), "")
     points = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     return F.lower(F.hex(F.aggregate(points, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(4294967295)))))
 
 
 def is_noise_row(narration: Column) -> Column:
-    text = F.trim(F.lower(narration))
+    text = F.trim(F.lower(F.coalesce(narration, F.lit(""))))
     return (text != "") & (text.rlike("|".join(TOTALS)) | text.rlike("|".join(HEADERS)))
 
 
