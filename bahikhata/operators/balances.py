@@ -44,3 +44,28 @@ def opening_rows(txns: DataFrame) -> DataFrame:
     """One row an account: the balance before its first row, if that states one."""
     first = txns.groupBy("account").agg(F.min_by(F.struct("balance", F.expr(NET).alias("net")), "ord").alias("f"))
     return first.select("account", (F.col("f.balance") - F.col("f.net")).cast("decimal(18,2)").alias("balance")).where("balance is not null")
+
+
+def sided(lines: DataFrame) -> DataFrame:
+    """Adds debit and credit to lines of (file, row_idx, date, amounts, dr, cr, balance) by how the balance moved.
+
+    A file whose first dated line is later than its last runs backwards and is read from its end. A line without a balance counts as
+    zero. One amount: its mark decides, else the movement within 2 %, else it is a credit. Several: the one nearest to the
+    movement within 2 %, else the first if the balance fell and the last if it rose; none if it stood still. The first line is a credit.
+    """
+    whole = Window.partitionBy("file").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = F.coalesce(F.first("date", True).over(whole) > F.last("date", True).over(whole), F.lit(False))
+    rows = lines.withColumn("_at", F.when(back, -F.col("row_idx")).otherwise(F.col("row_idx")))
+    balance = F.coalesce("balance", F.lit(0).cast("decimal(18,2)"))
+    rows = rows.withColumn("_moved", balance - F.lag(balance).over(Window.partitionBy("file").orderBy("_at")))
+    moved, first, last = F.col("_moved"), F.get("amounts", F.lit(0)), F.element_at("amounts", -1)
+    within = lambda gap, amount: F.abs(gap) < amount * F.lit("0.02").cast("decimal(3,2)")
+    gaps = F.transform("amounts", lambda x, i: F.struct(F.abs(F.abs(moved) - x).alias("gap"), i.alias("i"), x.alias("x")))
+    best = F.array_min(gaps)
+    chosen = F.when(within(best["gap"], F.greatest(best["x"], F.lit(1))), best["x"]).when(moved < 0, first).otherwise(last)
+    one = F.size("amounts") == 1
+    down = F.when(one, F.coalesce(F.col("dr"), F.lit(False)) | (~F.coalesce(F.col("cr"), F.lit(False)) & ~within(moved - first, first) & within(moved + first, first))).otherwise(moved < 0)
+    amount = F.when(one, first).when((F.size("amounts") > 1) & moved.isNull(), first).when((F.size("amounts") > 1) & (moved != 0), chosen)
+    down = F.coalesce(down, F.lit(False))
+    rows = rows.withColumns({"_amount": F.when(amount > 0, amount).cast("decimal(18,2)"), "_down": down})
+    return rows.withColumns({"debit": F.when(F.col("_down"), F.col("_amount")), "credit": F.when(~F.col("_down"), F.col("_amount"))}).drop("_at", "_moved", "_amount", "_down")

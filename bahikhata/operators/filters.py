@@ -106,3 +106,9 @@ def audit_filter(event: Column, action: str = "", kind: str = "") -> Column:
     for words in asked:
         found = found & F.upper(event).rlike("|".join(words))
     return found
+
+
+def party_group() -> Column:
+    """SDr or SCr for a row posted to its party; '' for heads and rows without a party."""
+    side = F.when(F.col("credit").isNotNull() & F.col("debit").isNull(), "SDr").otherwise("SCr")
+    return F.when((F.coalesce("account_head", F.lit("")) == "") & (F.coalesce("vendor", F.lit("")) != ""), side).otherwise("")

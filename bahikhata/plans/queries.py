@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bahikhata.functions import amounts, dates, recognised, text
-from bahikhata.operators import analytics, balances, classify, duplicates, export, filters, groups, gst, narrations, recon, service, store
+from bahikhata.operators import analytics, balances, banks, classify, duplicates, export, filters, groups, gst, migrated, narrations, recon, service, store
 from bahikhata.plans import sql
 from bahikhata.plans.sql import TXN
-from bahikhata.sources import statements
+from bahikhata.sources import positions, statements
 from bahikhata.sources.driver_tables import money, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,3 +617,111 @@ def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F15"""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.to_date("o_orderdate").alias("t"))
     return rows.select("ord", *[dates.preset(n, F.col("t"))[e].alias(f"{n}_{e}") for n in ("today", "this_month", "last_month", "current_fy", "prev_fy") for e in ("first", "last")])
+
+
+@query(sql.BANKED)
+def bank_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as statements, each with one kind of evidence"""
+    n, code, name = F.col("c_custkey") % 9, F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.col("c_name")
+    head = (F.when(n == 0, F.concat(F.lit("HDFC BANK LTD MG ROAD IFSC Code: HDFC0"), code, F.lit(" A/c No: 5010"), code)).when(n == 1, "Statement").when(n == 2, F.concat(F.lit("STATEMENT OF Kotak-Mahindra BANK for "), name))
+            .when(n == 3, "AX1S STATEMENT").when(n == 7, "Central Bank of India, Bank of India Building").otherwise(F.concat(F.lit("Statement for "), name)))
+    body = F.when(n == 1, "visit www.icicibank.com").when(n == 4, "NEFT/HDFCBANK/998877 paid. Federal Bank, Main road").otherwise("")
+    seen = F.when(n == 6, F.array(F.concat(F.lit("NEFT YESB0"), code), F.concat(F.lit("IMPS SBIN0"), code), F.concat(F.lit("to yesb0"), code))).otherwise(F.array(F.lit("TEA")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", head.alias("header_text"), F.concat(head, F.lit(" "), body).alias("text"),
+                                                   F.when(n == 5, F.concat(F.lit("Canara_Bank_"), code, F.lit(".pdf"))).otherwise("x.pdf").alias("filename"), seen.alias("narrations"))
+    return banks.with_bank(rows).select("c_custkey", "bank_name", "confidence", "method", "needs_review", "account_no", "ifsc")
+
+
+@query(sql.SIDED)
+def chrono_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts as files, every other one backwards, with a stray number on each third line"""
+    n, amount = F.col("ord"), F.coalesce("debit", "credit")
+    marked = lambda c: (n % 5 == 0) & F.col(c).isNotNull()
+    lines = raw(spark, sf_dir).select("ord", F.col("account").cast("string").alias("file"), F.when(F.col("account") % 2 == 1, 100_000_000 - n).otherwise(n).alias("row_idx"), "date",
+                                      F.when(n % 3 == 0, F.array(amount, money(F.lit(56161)))).otherwise(F.array(amount)).alias("amounts"), marked("debit").alias("dr"), marked("credit").alias("cr"), "balance")
+    return balances.sided(lines).select("file", "ord", "debit", "credit")
+
+
+@query(f"{sql.HEADED} SELECT ord, CASE WHEN account_head = '' AND vendor <> '' THEN CASE WHEN credit IS NOT NULL THEN 'SDr' ELSE 'SCr' END ELSE '' END AS party_group FROM (SELECT * REPLACE (CASE WHEN ord % 2 = 0 THEN '' ELSE account_head END AS account_head) FROM h)")
+def party_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every other row without its head"""
+    rows = worded(spark, sf_dir).withColumn("account_head", F.when(F.col("ord") % 2 == 0, "").otherwise(F.col("account_head")))
+    return rows.select("ord", filters.party_group().alias("party_group"))
+
+
+@query("""WITH p AS (SELECT c_custkey, 'C:/in/' || CASE WHEN c_custkey % 2 = 0 THEN upper('f' || c_custkey // 2) ELSE 'f' || c_custkey // 2 END || ['.PDF', '.xlsx', '.doc', '', '.tar.csv'][c_custkey // 2 % 5 + 1] AS path FROM customer)
+SELECT c_custkey AS ord, regexp_replace(path, '^.*/', '') AS name, c_custkey // 2 % 5 IN (0, 1, 4) AS supported, row_number() OVER (PARTITION BY lower(path) ORDER BY c_custkey) > 1 AS duplicate FROM p""")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z11"""
+    half = F.floor(F.col("c_custkey") / 2)
+    name = F.concat(F.lit("f"), half.cast("string"))
+    end = F.get(F.array(*[F.lit(x) for x in (".PDF", ".xlsx", ".doc", "", ".tar.csv")]), (half % 5).cast("int"))
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("C:/in/"), F.when(F.col("c_custkey") % 2 == 0, F.upper(name)).otherwise(name), end).alias("path"))
+    return migrated.batch_plan(files, ["pdf", "xlsx", "xls", "csv"]).select("ord", "name", "supported", "duplicate")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS ord, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'global' ELSE 'c' || o_custkey END AS lc, ['unreviewed', 'classified', 'manual', 'system'][o_orderkey % 4 + 1] AS st, ['Payment', 'Sales', 'Memo'][o_orderkey % 3 + 1] AS vt FROM orders)
+SELECT ord, c_custkey AS client_id, CASE st WHEN 'classified' THEN 'Classified' WHEN 'manual' THEN 'Manual' ELSE 'Unreviewed' END AS status, CASE WHEN vt = 'Memo' THEN 'Unknown' ELSE vt END AS txn_type, CASE WHEN lc = 'global' THEN 'unsupported' WHEN c_custkey IS NULL THEN 'failed' ELSE 'imported' END AS outcome
+FROM o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 > 0) ON lc = 'c' || c_custkey""")
+def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11, Z8"""
+    key = F.col("o_orderkey")
+    one = lambda words: F.get(F.array(*[F.lit(w) for w in words]), (key % len(words)).cast("int"))
+    old = table(spark, sf_dir, "orders").select(key.alias("ord"), F.when(key % 10 == 0, "global").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("legacy_client"), F.lit("").alias("id"), F.to_date("o_orderdate").alias("date"),
+                                                F.lit("x").alias("narration"), money(F.col("o_totalprice")).alias("debit"), F.lit(None).cast("decimal(18,2)").alias("credit"), one(("unreviewed", "classified", "manual", "system")).alias("status"), one(("Payment", "Sales", "Memo")).alias("txn_type"))
+    ids = table(spark, sf_dir, "customer").where("c_custkey % 7 > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("legacy_client"), F.col("c_custkey").alias("client_id"))
+    return migrated.transactions(old, ids).select("ord", "client_id", "status", "txn_type", "outcome")
+
+
+@query(f"SELECT count(*) AS found, count_if(outcome = 'imported') AS imported, count_if(outcome = 'failed') AS failed, count_if(outcome = 'unsupported') AS unsupported FROM ({ORACLE['legacy_import']})")
+def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19"""
+    return migrated.counts(legacy_import(spark, sf_dir))
+
+
+@query(sql.CONTENT)
+def content_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files without a header"""
+    price, done = money(F.col("o_totalprice")).cast("string"), F.col("o_orderstatus") == "F"
+    file = F.col("o_custkey") % 20
+    cells = [F.date_format(F.add_months("o_orderdate", 120), "dd/MM/yyyy"), F.concat(F.lit("Order "), "o_orderpriority"), F.when(done, price).otherwise(""), F.when(~done, price).otherwise("")]
+    rows = table(spark, sf_dir, "orders").select(file.cast("string").alias("file"), F.col("o_orderkey").alias("row_idx"), F.when(file % 3 == 0, F.array(price, *cells)).otherwise(F.array(*cells, price)).alias("cells"))
+    found = statements.content_columns(rows)
+    return found.select("file", *[F.col(c).cast("long").alias(c) for c in ("date", "balance", "debit", "credit", "narration")])
+
+
+@query("""SELECT CAST(o_custkey % 20 AS VARCHAR) AS file, o_orderkey AS row_idx, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderpriority AS narration, 'V' || o_orderkey AS voucher_no, CASE WHEN o_orderstatus = 'F' THEN 'Receipt' ELSE 'Payment' END AS voucher_type FROM orders WHERE o_orderkey > 0 AND o_orderkey % 11 > 0""")
+def tally_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as voucher grids, ten years on, some without a date"""
+    done, price, key = F.col("o_orderstatus") == "F", money(F.col("o_totalprice")).cast("string"), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey > 0")
+    file = (F.col("o_custkey") % 20).cast("string").alias("file")
+    head = orders.select(file).distinct().select("file", F.lit(0).cast("long").alias("row_idx"), F.array(*[F.lit(x) for x in ("Date", "Voucher No.", "Vch Type", "Particulars", "Debit", "Credit")]).alias("cells"))
+    rows = orders.select(file, key.cast("long").alias("row_idx"), F.array(F.when(key % 11 > 0, F.date_format(F.add_months("o_orderdate", 120), "dd-MM-yyyy")).otherwise(""), F.concat(F.lit("V"), key.cast("string")), F.when(done, "Receipt").otherwise("Payment"), F.col("o_orderpriority"), F.when(done, "").otherwise(price), F.when(done, price).otherwise("")).alias("cells"))
+    return statements.tally_vouchers(head.unionByName(rows))
+
+
+@query("""WITH f AS (SELECT n_nationkey, i, (i * 60 + n_nationkey * i % 7)::DOUBLE AS x FROM nation, (SELECT unnest(range(0, 6)) AS i)), g AS (SELECT *, lag(x) OVER w AS l, lead(x) OVER w AS r FROM f WINDOW w AS (PARTITION BY n_nationkey ORDER BY x))
+SELECT CAST(n_nationkey AS VARCHAR) AS file, ['date', 'narration', '', 'debit', 'credit', 'balance'][i + 1] AS field, coalesce(round((l + x) / 2), 0) AS x_min, round((x + r) / 2) AS x_max FROM g WHERE i <> 2""")
+def col_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title row, then a header with a column of no field, for each nation; the open end is null here"""
+    key = F.col("n_nationkey")
+    words = F.array(*[F.lit(w) for w in ("Date", "Narration", "Branch", "Debit", "Credit", "Balance")])
+    items = table(spark, sf_dir, "nation").select(key.cast("string").alias("file"), F.lit(1).alias("page"), key, F.posexplode(words).alias("i", "text"))
+    x = (F.col("i") * 60 + key * F.col("i") % 7).cast("double")
+    items = items.withColumns({"x": x, "w": F.lit(10.0), "row": F.lit(3)})
+    title = items.where("i = 0").withColumns({"row": F.lit(1), "text": F.lit("Statement of account")})
+    found = positions.bounds(positions.header_of(items.unionByName(title)))
+    return found.withColumn("x_max", F.when(F.col("x_max") < 1e9, F.col("x_max")))
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS file, p_partkey // 50 AS row, p_partkey AS k, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS a FROM part)
+SELECT file, row, 'date' AS field, '05/01/2024' AS cell FROM p UNION ALL SELECT file, row, 'narration', 'PAID ' || k FROM p UNION ALL SELECT file, row, 'balance', a FROM p UNION ALL SELECT file, row, 'debit', CASE WHEN k % 2 = 0 THEN 'Rs. ' || a ELSE a END FROM p""")
+def cell_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of parts whose cells hold several items"""
+    key, amount = F.col("p_partkey"), money(F.col("p_retailprice")).cast("string")
+    at = [(10.0, F.lit("Val")), (20.0, F.lit("05/01/2024")), (30.0, F.lit("06/01/2024")), (110.0, F.lit("PAID")), (130.0, key.cast("string")), (210.0, F.when(key % 2 == 0, "Rs.").otherwise("about")), (220.0, amount), (310.0, F.lit("12.50")), (320.0, amount)]
+    items = table(spark, sf_dir, "part").select((key % 50).cast("string").alias("file"), F.lit(1).alias("page"), F.floor(key / 50).alias("row"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), t.alias("text")) for x, t in at])).alias("i"))
+    fences = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("x_min"), F.lit(b).alias("x_max")) for f, a, b in (("date", 0.0, 100.0), ("narration", 100.0, 200.0), ("debit", 200.0, 300.0), ("balance", 300.0, float("inf")))])
+    files = items.select("file").distinct().select("file", F.explode(fences).alias("b")).select("file", "b.*")
+    return positions.cell_values(items.select("file", "page", "row", "i.x", "i.text"), files).select("file", "row", "field", "cell")

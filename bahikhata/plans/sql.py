@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bahikhata.functions.text import GLUED_REFERENCE, HEADERS, PAYMENT_TYPES, REFERENCES, TOTALS
+from bahikhata.operators.bank_words import IFSC_BANKS, PHRASE_WEIGHTS, PHRASES, SHORT_NAMES
 from bahikhata.operators.narration_words import BANK_TERMS, BANK_TOKENS, JUNK, PREFIXES, SMALL_WORDS, VENDORS
 from bahikhata.operators.ledger_words import GST_RATES, GST_VENDORS, LADDER, RAILS, keyword_rows
 from bahikhata.sources.driver_tables import BANKS, NARRATIONS
@@ -100,3 +101,50 @@ _TERMS = "[" + ", ".join(map(text, BANK_TERMS)) + "]"
 _TERM = f"""CASE WHEN regexp_full_match(w, '[A-Za-z]{{{{4,}}}}') AND length(w) <= 15 AND NOT list_contains({_TERMS}, upper(w)) THEN coalesce(list_min(list_filter(list_transform({_TERMS}, lambda t, i: struct_pack(d := levenshtein(upper(w), t), i := i, t := t)), lambda x: x.d <= CASE WHEN length(w) <= 5 THEN 1 WHEN length(w) <= 8 THEN 2 ELSE 3 END)).t, w) ELSE w END"""
 _LINE = "array_to_string(list_transform(list_filter(regexp_split_to_array(" + _DIGITS + ", '\\s+'), lambda w: w <> ''), lambda w: " + _TERM + "), ' ')"
 RECOGNISED = f"""{TXN}, r0 AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN translate(narration, '015', 'OIS') ELSE replace(replace(narration, 'PAYMENT', 'PAYMFNT'), 'CHARGES', 'CHRGFS') END AS l0 FROM txn), r1 AS (SELECT ord, {_LINE.format('l0')} AS l1 FROM r0) SELECT ord, {_LINE.format('l1')} AS line FROM r1"""
+
+_ROWS_OF = ", ".join
+_PHRASE_ROWS = _ROWS_OF(f"({text(p)}, {text(bank)}, {PHRASE_WEIGHTS.get(bank, 1.0)})" for bank, phrases in PHRASES for p in phrases)
+_PHRASE = "(" + "|".join(p.replace(".", "\\.") for _, phrases in PHRASES for p in phrases) + ")"
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9.@]+', ' ', 'g'))"
+_SHORT = "[" + _ROWS_OF(f"struct_pack(s := {text(s)}, bank := {text(bank)})" for s, bank in SHORT_NAMES) + "]"
+_NEAR = "list_filter(list_transform(list_filter(regexp_split_to_array(upper({0}), '[ /\\\\\\-|,._@]'), lambda w: strlen(w) BETWEEN 3 AND 8), lambda w: list_transform(list_filter(" + _SHORT + ", lambda n: levenshtein(w, n.s) <= 1), lambda n: struct_pack(bank := n.bank, exact := n.s = w))[1]), lambda h: h IS NOT NULL)[1]"
+#: Statements made of customers: each kind of evidence, one of nine.
+STATEMENTS = """SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'HDFC BANK LTD MG ROAD IFSC Code: HDFC0' || code || ' A/c No: 5010' || code WHEN 1 THEN 'Statement' WHEN 2 THEN 'STATEMENT OF Kotak-Mahindra BANK for ' || c_name WHEN 3 THEN 'AX1S STATEMENT'
+ WHEN 7 THEN 'Central Bank of India, Bank of India Building' ELSE 'Statement for ' || c_name END AS header_text,
+ CASE c_custkey % 9 WHEN 1 THEN 'visit www.icicibank.com' WHEN 4 THEN 'NEFT/HDFCBANK/998877 paid. Federal Bank, Main road' ELSE '' END AS body, CASE WHEN c_custkey % 9 = 5 THEN 'Canara_Bank_' || code || '.pdf' ELSE 'x.pdf' END AS filename,
+ CASE WHEN c_custkey % 9 = 6 THEN ['NEFT YESB0' || code, 'IMPS SBIN0' || code, 'to yesb0' || code] ELSE ['TEA'] END AS narrations FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code FROM customer)"""
+BANKED = f"""WITH phr(phrase, bank, weight) AS (VALUES {_PHRASE_ROWS}), codes(code, bank) AS (VALUES {_ROWS_OF(f"({text(k)}, {text(v)})" for k, v in IFSC_BANKS.items())}),
+s AS (SELECT *, header_text || ' ' || body AS txt FROM ({STATEMENTS})),
+m AS (SELECT *, upper(regexp_extract(header_text, '(?i)ifsc(?:\\s*code)?\\s*[:\\-]?\\s*([A-Z]{{4}})0[A-Z0-9]{{6}}', 1)) AS lab, upper(regexp_extract(header_text, '(?i)\\b([A-Z]{{4}})0[A-Z0-9]{{6}}\\b')) AS full_code,
+ regexp_extract({_NORM.format('header_text')}, '\\b{_PHRASE}\\b', 1) AS p_head, regexp_extract({_NORM.format("regexp_replace(txt, '(?i)\\b(?:UPI|NEFT|IMPS|RTGS|ECS|NACH|ACH|POS)[A-Z]{0,3}[:\\-]?/?[A-Za-z0-9@/.\\-]{6,100}', ' ', 'g')")}, '\\b{_PHRASE}\\b', 1) AS p_text,
+ regexp_extract({_NORM.format('filename')}, '\\b{_PHRASE}\\b', 1) AS p_name, {_NEAR.format('header_text')} AS near_head, {_NEAR.format('filename')} AS near_name FROM s),
+e AS (SELECT c_custkey, 1 AS tier, 2.0 AS gate, bank, 0.98 AS conf, 'ifsc_labeled' AS how FROM m JOIN codes ON lab = code
+ UNION ALL SELECT c_custkey, 2, 0.95, 'ICICI Bank', 0.95, 'domain' FROM m WHERE contains(lower(txt), 'icicibank.com')
+ UNION ALL SELECT c_custkey, 3, 0.95, bank, 0.95 * weight, 'phrase' FROM m JOIN phr ON p_head = phrase
+ UNION ALL SELECT c_custkey, 4, 0.75, near_head.bank, CASE WHEN near_head.exact THEN 0.85 ELSE 0.72 END, CASE WHEN near_head.exact THEN 'abbrev_exact' ELSE 'abbrev_fuzzy' END FROM m WHERE near_head IS NOT NULL
+ UNION ALL SELECT c_custkey, 5, 0.82, bank, least(0.95 * weight, 0.8), 'phrase_full' FROM m JOIN phr ON p_text = phrase
+ UNION ALL SELECT c_custkey, 6, 0.70, coalesce(bank, near_name.bank), 0.65, 'filename' FROM m LEFT JOIN phr ON p_name = phrase WHERE coalesce(bank, near_name.bank) IS NOT NULL
+ UNION ALL SELECT c_custkey, 7, 0.60, bank, 0.55, 'narration_ifsc' FROM (SELECT c_custkey, upper(regexp_extract(n, '(?i)\\b([A-Z]{{4}})0[A-Z0-9]{{6}}\\b', 1)) AS c4, count(*) AS k FROM (SELECT c_custkey, unnest(narrations) AS n FROM m) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c4 = '', k DESC, c4) = 1) JOIN codes ON c4 = code WHERE k >= 2),
+-- The surest find below its gate: no lower tier can pass a gate that a surer one before it has closed.
+w AS (SELECT * FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.c_custkey = a.c_custkey AND b.tier < a.tier AND (b.conf >= a.gate OR b.conf >= a.conf)) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY conf DESC, tier) = 1)
+SELECT m.c_custkey, coalesce(bank, '') AS bank_name, CAST(coalesce(conf, 0) AS DOUBLE) AS confidence, coalesce(how, 'none') AS method, bank IS NOT NULL AND conf < 0.6 AS needs_review, CASE WHEN m.c_custkey % 9 = 0 THEN '5010XX' || right(full_code, 4) ELSE '' END AS account_no, full_code AS ifsc FROM m LEFT JOIN w USING (c_custkey)"""
+
+SIDED = f"""{TXN}, l AS (SELECT CAST(account AS VARCHAR) AS file, CASE WHEN account % 2 = 1 THEN 100000000 - ord ELSE ord END AS row_idx, ord, date, coalesce(debit, credit) AS amt, ord % 3 = 0 AS two, ord % 5 = 0 AND debit IS NOT NULL AS dr, ord % 5 = 0 AND credit IS NOT NULL AS cr, coalesce(balance, 0) AS bal FROM txn),
+d AS (SELECT file, arg_min(date, row_idx) > arg_max(date, row_idx) AS back FROM l GROUP BY 1),
+v AS (SELECT l.*, bal - lag(bal) OVER (PARTITION BY file ORDER BY CASE WHEN back THEN -row_idx ELSE row_idx END) AS mv FROM l JOIN d USING (file)),
+b AS (SELECT *, abs(abs(mv) - amt) AS g1, abs(abs(mv) - 56161) AS g2 FROM v),
+c AS (SELECT *, CASE WHEN g1 <= g2 THEN amt ELSE 56161 END AS near, least(g1, g2) AS gap FROM b),
+r AS (SELECT *, CASE WHEN NOT two THEN amt WHEN mv IS NULL THEN amt WHEN mv = 0 THEN NULL WHEN gap < greatest(near, 1) * 0.02 THEN near WHEN mv < 0 THEN amt ELSE 56161 END AS chosen,
+ coalesce(CASE WHEN two THEN mv < 0 WHEN dr THEN true WHEN cr THEN false WHEN abs(mv - amt) < amt * 0.02 THEN false ELSE abs(mv + amt) < amt * 0.02 END, false) AS down FROM c)
+SELECT file, ord, CAST(CASE WHEN down AND chosen > 0 THEN chosen END AS DECIMAL(18,2)) AS debit, CAST(CASE WHEN NOT down AND chosen > 0 THEN chosen END AS DECIMAL(18,2)) AS credit FROM r"""
+
+#: Orders as files without a header: date, text, two amount columns and one more, ten years on; every third file has its balance first.
+CONTENT = """WITH o AS (SELECT o_custkey % 20 AS f, o_orderkey, strftime(o_orderdate + INTERVAL 10 YEAR, '%d/%m/%Y') AS d, 'Order ' || o_orderpriority AS n, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p, o_orderstatus AS st FROM orders),
+c AS (SELECT f, o_orderkey, unnest(CASE WHEN f % 3 = 0 THEN [p, d, n, CASE WHEN st = 'F' THEN p ELSE '' END, CASE WHEN st <> 'F' THEN p ELSE '' END] ELSE [d, n, CASE WHEN st = 'F' THEN p ELSE '' END, CASE WHEN st <> 'F' THEN p ELSE '' END, p] END) AS v, unnest([0, 1, 2, 3, 4]) AS pos FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY f ORDER BY o_orderkey) <= 15)),
+s AS (SELECT f, pos, count(*) AS total, count_if(regexp_full_match(v, '[0-9]{2}/[0-9]{2}/[0-9]{4}')) AS dates, count_if(regexp_full_match(v, '[0-9]+\\.[0-9]{2}') AND v <> '0.00') AS amounts, avg(strlen(v)) AS width FROM c WHERE v <> '' GROUP BY ALL),
+k AS (SELECT f FROM c GROUP BY f HAVING count(DISTINCT o_orderkey) >= 3),
+d AS (SELECT f, max_by(pos, dates * 10 + pos) AS date FROM s JOIN k USING (f) WHERE dates * 2 > total GROUP BY f),
+b AS (SELECT f, max_by(pos, amounts * 10 + pos) AS balance FROM s JOIN d USING (f) WHERE amounts * 10 > total * 7 AND pos <> date GROUP BY f),
+a AS (SELECT f, list(pos ORDER BY pos) AS free FROM s JOIN d USING (f) LEFT JOIN b USING (f) WHERE amounts * 10 > total * 3 AND pos <> date AND pos <> coalesce(balance, -1) GROUP BY f),
+t AS (SELECT f, max_by(pos, width * 10 + pos) AS narration FROM s JOIN d USING (f) WHERE (total - dates - amounts) * 10 > total * 3 GROUP BY f)
+SELECT CAST(f AS VARCHAR) AS file, date, coalesce(balance, -1) AS balance, coalesce(free[1], -1) AS debit, coalesce(free[2], -1) AS credit, coalesce(narration, -1) AS narration FROM d LEFT JOIN b USING (f) LEFT JOIN a USING (f) LEFT JOIN t USING (f) WHERE len(free) > 0"""
