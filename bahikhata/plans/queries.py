@@ -673,7 +673,7 @@ def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return migrated.transactions(old, ids).select("ord", "client_id", "status", "txn_type", "outcome")
 
 
-@query(f"SELECT count(*) AS found, count_if(outcome = 'imported') AS imported, count_if(outcome = 'failed') AS failed, count_if(outcome = 'unsupported') AS unsupported FROM ({ORACLE['legacy_import']})")
+@query(f"SELECT count(*) AS found, CAST(count_if(outcome = 'imported') AS BIGINT) AS imported, CAST(count_if(outcome = 'failed') AS BIGINT) AS failed, CAST(count_if(outcome = 'unsupported') AS BIGINT) AS unsupported FROM ({ORACLE['legacy_import']})")
 def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19"""
     return migrated.counts(legacy_import(spark, sf_dir))

@@ -39,22 +39,28 @@ def header_of(items: DataFrame, first: int = 60) -> DataFrame:
     found = best.groupBy("file", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "b"))).alias("b")).join(rows, ["file", "row_idx"])
     place = lambda f: F.get("all", F.try_element_at("b", F.lit(f))["pos"])["x"]
     score = lambda f: F.try_element_at("b", F.lit(f))["score"]
-    found = found.withColumn("_used", F.array().cast("array<double>"))
+    picks = []
     for f in _FIELDS:
-        free = ~F.array_contains("_used", place(f)) & (score(f) >= 10)
+        ok = score(f) >= 10
         if f == "debitcredit":
             for exact in ("debit", "credit"):
-                free = free & ((score(f) == 100) | ~F.coalesce((score(exact) == 100) & (place(exact) == place(f)), F.lit(False)))
-        found = found.withColumn(f, F.when(free, place(f))).withColumn("_used", F.when(F.col(f).isNotNull(), F.concat("_used", F.array(f))).otherwise(F.col("_used")))
-    said = lambda f: F.lower(F.coalesce(F.get(F.filter("all", lambda i: (i["kind"] == 0) & (F.abs(i["x"] - F.col(f)) < 15)), F.lit(0))["text"], F.lit("")))
-    split = ((F.abs(F.col("credit") - F.col("debit")) < 120) & said("debit").contains("debit") & said("debit").contains("/") & said("credit").contains("credit")
-             & ~said("debit").rlike("withdrawal|deposit") & ~said("credit").rlike("withdrawal|deposit"))
-    found = found.withColumn("_one", F.coalesce(split, F.lit(False))).withColumn("debitcredit", F.when(F.col("_one"), F.least("debit", "credit")).otherwise(F.col("debitcredit")))
-    found = found.withColumns({f: F.when(~F.col("_one"), F.col(f)) for f in ("debit", "credit")})
-    good = found.where(F.col("date").isNotNull() & F.col("narration").isNotNull() & F.coalesce(*_AMOUNTS).isNotNull())
-    columns = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in _FIELDS]), lambda e: e["x"].isNotNull()))
-    fences = F.array_sort(F.array_distinct(F.transform(F.filter("all", lambda i: i["kind"] == 0), lambda i: i["x"])))
-    top = good.groupBy("file").agg(F.min_by(F.struct(F.col("row_idx").alias("header_row"), fences.alias("fences"), columns.alias("columns")), "row_idx").alias("h"))
+                ok = ok & ((score(f) == 100) | ~F.coalesce((score(exact) == 100) & (place(exact) == place(f)), F.lit(False)))
+        picks.append(F.struct(F.lit(f).alias("field"), place(f).alias("x"), F.coalesce(ok, F.lit(False)).alias("ok")))
+    taken = lambda kept, p: F.exists(kept, lambda k: k["x"] == p["x"])
+    chosen = F.aggregate(F.array(*picks), F.array().cast("array<struct<field:string,x:double>>"), lambda kept, p: F.when(
+        p["ok"] & ~taken(kept, p), F.concat(kept, F.array(F.struct(p["field"].alias("field"), p["x"].alias("x"))))).otherwise(kept))
+    found = found.select("file", "row_idx", "all", F.map_from_entries(chosen).alias("c"))
+    x_of = lambda f: F.try_element_at("c", F.lit(f))
+    own = F.filter("all", lambda i: i["kind"] == 0)
+    said = lambda f: F.lower(F.coalesce(F.get(F.filter(own, lambda i: F.abs(i["x"] - x_of(f)) < 15), F.lit(0))["text"], F.lit("")))
+    split = ((F.abs(x_of("credit") - x_of("debit")) < 120) & said("debit").rlike("^(?=.*debit)(?=.*/)(?!.*(withdrawal|deposit))")
+             & said("credit").rlike("^(?=.*credit)(?!.*(withdrawal|deposit))"))
+    one = F.map_concat(F.map_filter("c", lambda f, x: ~f.isin(*_AMOUNTS)), F.create_map(F.lit("debitcredit"), F.least(x_of("debit"), x_of("credit"))))
+    found = found.select("file", "row_idx", "all", F.when(F.coalesce(split, F.lit(False)), one).otherwise(F.col("c")).alias("columns"))
+    has = lambda f: F.map_contains_key("columns", f)
+    good = found.where(has("date") & has("narration") & (has("debitcredit") | has("debit") | has("credit")))
+    fences = F.array_sort(F.array_distinct(F.transform(own, lambda i: i["x"])))
+    top = good.groupBy("file").agg(F.min_by(F.struct(F.col("row_idx").alias("header_row"), fences.alias("fences"), "columns"), "row_idx").alias("h"))
     return top.select("file", "h.*")
 
 
