@@ -543,9 +543,9 @@ def chart_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned text items made of parts: fifty files of one page."""
+    """Positioned text items made of parts: fifty files, a page for each hundred items, so that pages stay small in any table."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select((key % 50).cast("string").alias("file"), F.lit(1).alias("page"), F.col("p_name").alias("text"), (key * 37 % 500).cast("double").alias("x"), (key * 7 % 300).cast("double").alias("y"), F.lit(10.0).alias("w"))
+    return table(spark, sf_dir, "part").select((key % 50).cast("string").alias("file"), (F.floor(key / 5000) + 1).alias("page"), F.col("p_name").alias("text"), (key * 37 % 500).cast("double").alias("x"), (key * 7 % 300).cast("double").alias("y"), F.lit(10.0).alias("w"))
 
 
 @query()
@@ -554,13 +554,13 @@ def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.clustered(parts_as_items(spark, sf_dir)).select("file", "page", "row", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["text"]), " ").alias("text"))
 
 
-@query("""SELECT CAST(p_partkey % 50 AS VARCHAR) AS file, CASE WHEN p_partkey * 37 % 500 < 120 THEN 'date' WHEN p_partkey * 37 % 500 < 380 THEN 'narration' ELSE 'balance' END AS field, string_agg(p_name, ' ' ORDER BY p_partkey * 37 % 500, p_name) AS cell FROM part GROUP BY 1, 2""")
+@query("""SELECT CAST(p_partkey % 50 AS VARCHAR) AS file, p_partkey // 5000 + 1 AS page, CASE WHEN p_partkey * 37 % 500 < 120 THEN 'date' WHEN p_partkey * 37 % 500 < 380 THEN 'narration' ELSE 'balance' END AS field, string_agg(p_name, ' ' ORDER BY p_partkey * 37 % 500, p_name) AS cell FROM part GROUP BY 1, 2, 3""")
 def col_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9"""
     items = parts_as_items(spark, sf_dir).withColumn("row", F.lit(0))
     fences = [(str(f), name, low, high) for f in range(50) for name, low, high in (("date", 0.0, 120.0), ("narration", 120.0, 380.0), ("balance", 380.0, 501.0))]
     bounds = spark.createDataFrame(fences, "file string, field string, x_min double, x_max double")
-    return statements.assigned(items, bounds).select("file", "field", "cell")
+    return statements.assigned(items, bounds).select("file", "page", "field", "cell")
 
 
 _HEADER = [(f, w) for f, ws in statements.HEADER_WORDS.items() for w in ws]
