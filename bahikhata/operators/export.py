@@ -42,17 +42,25 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def voucher_element(kind: Column, said: Column, debit: Column, credit: Column, amount: Column) -> Column:
+    """A voucher of the ledger program that debits one ledger and credits another."""
+    def entry(ledger: Column, positive: str, value: Column) -> Column:
+        return F.concat(F.lit("<ALLLEDGERENTRIES.LIST><LEDGERNAME>"), escaped(ledger), F.lit(f"</LEDGERNAME><ISDEEMEDPOSITIVE>{positive}</ISDEEMEDPOSITIVE><AMOUNT>"), value, F.lit("</AMOUNT></ALLLEDGERENTRIES.LIST>"))
+    return F.concat(F.lit('<VOUCHER VCHTYPE="'), kind, F.lit('" ACTION="Create"><DATE>'), F.coalesce(F.date_format("date", "yyyyMMdd"), F.lit("")), F.lit("</DATE><NARRATION>"), escaped(F.coalesce(said, F.lit(""))),
+                    F.lit("</NARRATION><VOUCHERTYPENAME>"), kind, F.lit("</VOUCHERTYPENAME>"), entry(debit, "Yes", F.concat(F.lit("-"), amount)), entry(credit, "No", amount), F.lit("</VOUCHER>"))
+
+
 def voucher_xml(txns: DataFrame, bank_ledger: str) -> DataFrame:
-    """One voucher element a transaction; the other leg of a contra is cash."""
+    """One voucher element a transaction: a receipt debits the bank, a contra debits it against cash, all else credits it.
+
+    Without ``bank_ledger`` the row's bank names it.
+    """
     kind = export_voucher(tally=True)
-    other = F.when(kind == "Contra", F.lit("Cash")).otherwise(posting_ledger())
+    bank = F.lit(bank_ledger) if bank_ledger else F.coalesce(F.concat(F.nullif("bank_name", F.lit("")), F.lit(" A/c")), F.lit("Bank Account"))
     amount = F.format_string("%.2f", F.coalesce("debit", "credit", F.lit(0)).cast("double"))
-    into = F.col("credit").isNotNull()
-
-    def entry(ledger: Column, debit: Column) -> Column:
-        return F.concat(F.lit("<ENTRY><LEDGER>"), escaped(ledger), F.lit("</LEDGER><DEEMEDPOSITIVE>"), F.when(debit, "Yes").otherwise("No"), F.lit("</DEEMEDPOSITIVE><AMOUNT>"), F.when(debit, F.concat(F.lit("-"), amount)).otherwise(amount), F.lit("</AMOUNT></ENTRY>"))
-    xml = F.concat(F.lit('<VOUCHER TYPE="'), kind, F.lit('"><DATE>'), F.date_format("date", "yyyyMMdd"), F.lit("</DATE><NARRATION>"), escaped(F.col("narration")), F.lit("</NARRATION>"), entry(F.lit(bank_ledger), into), entry(other, ~into), F.lit("</VOUCHER>"))
-    return txns.select("client_id", "ord", kind.alias("voucher"), xml.alias("xml"))
+    debit = F.when(kind.isin("Receipt", "Contra"), bank).otherwise(posting_ledger())
+    credit = F.when(kind == "Receipt", posting_ledger()).when(kind == "Contra", "Cash").otherwise(bank)
+    return txns.select("client_id", "ord", kind.alias("voucher"), voucher_element(kind, F.col("narration"), debit, credit, amount).alias("xml"))
 
 
 def heads(txns: DataFrame) -> DataFrame:

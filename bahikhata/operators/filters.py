@@ -76,11 +76,13 @@ def export_rows(txns: DataFrame, date_from: str, date_to: str, dateless: bool, o
 
 
 def export_voucher(tally: bool) -> Column:
+    """The three types that exports know; any other is told by the side and, for ``tally``, by cash words."""
     kind, credit = F.col("txn_type"), F.col("credit").isNotNull()
     up = F.upper("narration")
-    plain = F.when(credit, "Receipt").otherwise("Payment")
-    guess = F.when(up.contains("ATM") | up.contains("CASH WDL") | up.contains("CASH DEP"), "Contra").otherwise(plain) if tally else plain
-    return F.when(kind == "Unknown", guess).otherwise(kind)
+    guess = F.when(credit, "Receipt").otherwise("Payment")
+    if tally:
+        guess = F.when(up.contains("ATM") | up.contains("CASH WDL") | up.contains("CASH DEP"), "Contra").otherwise(F.when(credit & F.col("debit").isNull(), "Receipt").otherwise("Payment"))
+    return F.when(kind.isin("Receipt", "Payment", "Contra"), kind).otherwise(guess)
 
 
 def real_rows(txns: DataFrame) -> DataFrame:

@@ -443,11 +443,10 @@ def journal_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.journal_legs(worded(spark, sf_dir), BANK)
 
 
-@query(f"""{TXN}, x AS (SELECT *, 'Unknown' AS txn_type, printf('%.2f', CAST(coalesce(debit, credit, 0) AS DOUBLE)) AS a, replace(replace(replace(replace(replace(narration, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS nar FROM txn), y AS (SELECT *, {_TALLY} AS voucher FROM x)
- SELECT client_id, ord, voucher, '<VOUCHER TYPE="' || voucher || '"><DATE>' || strftime(date, '%Y%m%d') || '</DATE><NARRATION>' || nar || '</NARRATION><ENTRY><LEDGER>Bank A/c</LEDGER><DEEMEDPOSITIVE>' || CASE WHEN credit IS NOT NULL THEN 'Yes</DEEMEDPOSITIVE><AMOUNT>-' || a ELSE 'No</DEEMEDPOSITIVE><AMOUNT>' || a END
- || '</AMOUNT></ENTRY><ENTRY><LEDGER>' || CASE WHEN voucher = 'Contra' THEN 'Cash' ELSE 'Unclassified' END || '</LEDGER><DEEMEDPOSITIVE>' || CASE WHEN credit IS NULL THEN 'Yes</DEEMEDPOSITIVE><AMOUNT>-' || a ELSE 'No</DEEMEDPOSITIVE><AMOUNT>' || a END || '</AMOUNT></ENTRY></VOUCHER>' AS xml FROM y""")
+@query(f"""{TXN}, x AS (SELECT *, 'Unknown' AS txn_type FROM txn), y AS (SELECT *, {_TALLY} AS voucher, 'Unclassified' AS post FROM x)
+ SELECT client_id, ord, voucher, {sql.voucher('narration')} AS xml FROM y""")
 def voucher_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6, K11, X21"""
+    """K6, X21"""
     return export.voucher_xml(raw(spark, sf_dir), BANK)
 
 

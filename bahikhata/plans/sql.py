@@ -148,3 +148,16 @@ b AS (SELECT f, max_by(pos, amounts * 10 + pos) AS balance FROM s JOIN d USING (
 a AS (SELECT f, list(pos ORDER BY pos) AS free FROM s JOIN d USING (f) LEFT JOIN b USING (f) WHERE amounts * 10 > total * 3 AND pos <> date AND pos <> coalesce(balance, -1) GROUP BY f),
 t AS (SELECT f, max_by(pos, width * 10 + pos) AS narration FROM s JOIN d USING (f) WHERE (total - dates - amounts) * 10 > total * 3 GROUP BY f)
 SELECT CAST(f AS VARCHAR) AS file, date, coalesce(balance, -1) AS balance, coalesce(free[1], -1) AS debit, coalesce(free[2], -1) AS credit, coalesce(narration, -1) AS narration FROM d LEFT JOIN b USING (f) LEFT JOIN a USING (f) LEFT JOIN t USING (f) WHERE len(free) > 0"""
+
+
+def xml(x: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        x = f"replace({x}, {text(sign)}, {text(name)})"
+    return x
+
+
+def voucher(narration: str) -> str:
+    """A voucher of a row with voucher, post, date, debit and credit."""
+    amount = "printf('%.2f', CAST(coalesce(debit, credit, 0) AS DOUBLE))"
+    return f"""format('<VOUCHER VCHTYPE="{{}}" ACTION="Create"><DATE>{{}}</DATE><NARRATION>{{}}</NARRATION><VOUCHERTYPENAME>{{}}</VOUCHERTYPENAME><ALLLEDGERENTRIES.LIST><LEDGERNAME>{{}}</LEDGERNAME><ISDEEMEDPOSITIVE>Yes</ISDEEMEDPOSITIVE><AMOUNT>-{{}}</AMOUNT></ALLLEDGERENTRIES.LIST><ALLLEDGERENTRIES.LIST><LEDGERNAME>{{}}</LEDGERNAME><ISDEEMEDPOSITIVE>No</ISDEEMEDPOSITIVE><AMOUNT>{{}}</AMOUNT></ALLLEDGERENTRIES.LIST></VOUCHER>',
+ voucher, strftime(date, '%Y%m%d'), {xml(narration)}, voucher, {xml("CASE WHEN voucher IN ('Receipt', 'Contra') THEN 'Bank A/c' ELSE post END")}, {amount}, {xml("CASE voucher WHEN 'Receipt' THEN post WHEN 'Contra' THEN 'Cash' ELSE 'Bank A/c' END")}, {amount})"""

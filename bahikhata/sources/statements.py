@@ -14,13 +14,42 @@ from bahikhata.functions.text import is_noise_row
 
 # Header words of the seven columns, in the order in which columns are chosen.
 HEADER_WORDS = {
-    "date": ("date", "txn date", "transaction date", "value date", "value dt", "posting date"),
-    "balance": ("balance", "closing balance", "closing bal", "running balance"),
-    "debitcredit": ("debit/credit", "amount", "dr/cr amount"),
-    "debit": ("debit", "withdrawal", "withdrawal amt.", "withdrawals", "dr", "paid out"),
-    "credit": ("credit", "deposit", "deposit amt.", "deposits", "cr", "paid in"),
-    "narration": ("narration", "particulars", "description", "details", "remarks"),
-    "reference": ("reference", "chq/ref no.", "ref no", "cheque no", "utr"),
+    "date": (
+        "date", "dt", "transaction date", "txn date", "tran date", "trans date", "value date", "value dt", "posting date", "booking date",
+        "entry date", "transaction dt", "trans dt", "effective date", "process date",
+    ),
+    "balance": (
+        "balance", "bal", "closing balance", "running balance", "closing bal", "available balance", "balance amt", "bal amt", "balance (inr)",
+        "closing balance (inr)", "balance(inr)", "outstanding balance", "total balance", "ledger balance", "total amount", "total amt", "total bal",
+        "running total", "closing amount", "book balance", "net balance",
+    ),
+    "debitcredit": (
+        "debit/credit", "debit / credit", "debit/credit(₹)", "debit / credit(₹)", "debit/credit (₹)", "debit / credit (₹)", "debit/credit(inr)",
+        "debit / credit(inr)", "debit/credit (inr)", "debit / credit (inr)", "dr/cr", "dr / cr", "dr/cr(₹)", "dr / cr(₹)",
+    ),
+    "debit": (
+        "debit", "dr", "dr.", "withdrawal", "withdrawal amt", "withdrawal amount", "withdrawal amt.", "withdrawals", "debit amount", "dr amount",
+        "dr amt", "debit amt", "withdrawal amt.(inr)", "withdrawal amt. (inr)", "withdrawal amount (inr)", "withdrawal (dr)", "withdrawal (dr.)",
+        "withdrawal(dr)", "withdrawal(dr.)", "debit (inr)", "debit(dr)", "paid out", "amount debit", "debit amount (inr)", "w/d",
+    ),
+    "credit": (
+        "credit", "cr", "cr.", "deposit", "deposit amt", "deposit amount", "deposit amt.", "deposits", "credit amount", "cr amount", "cr amt",
+        "credit amt", "deposit amt.(inr)", "deposit amt. (inr)", "deposit amount (inr)", "deposit (cr)", "deposit (cr.)", "deposit(cr)",
+        "deposit(cr.)", "credit (inr)", "credit(cr)", "paid in", "amount credit", "credit amount (inr)",
+    ),
+    "narration": (
+        "narration", "description", "particulars", "details", "remarks", "transaction description", "transaction remarks", "transaction narration",
+        "transaction details", "tran description", "tran remarks", "transaction particulars", "transaction details/remarks", "tran particulars",
+        "trans particulars", "chq/trn details", "trn description", "particulars of transaction", "payment details", "beneficiary details",
+        "sender details",
+    ),
+    "reference": (
+        "reference", "ref no", "ref number", "ref.no.", "chq/ref no", "chq/ref. no.", "cheque / ref no", "cheque/ref no", "chq / ref number",
+        "ref / chq no", "chq./ref.no.", "chq.ref.no.", "chq./ref no.", "chq. / ref. no.", "cheque no", "cheque no.", "cheque number", "chq no",
+        "chq no.", "chq.no.", "chq. no.", "chq./txn. no.", "chq./txn.no.", "chq/txn no", "chq/txn no.", "txn no", "txn no.", "txn. no.", "txn number",
+        "chq.", "transaction id", "utr", "utr no", "utr no.", "utr number", "instrument no", "instrument no.", "instrument", "instruments", "tran id",
+        "chq / instrument no", "chq/instrument no", "ref.no", "ref no.", "ref num", "ref",
+    ),
 }
 
 

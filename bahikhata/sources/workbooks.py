@@ -13,9 +13,10 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bahikhata.functions.dates import parse_date
 from bahikhata.sources.statements import statement_rows
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -113,7 +114,12 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
 
     Cells that show a date are given as yyyy-mm-dd. Sheets and files that can't be read give the rows before the fault, or none.
     """
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unpacked, _SCHEMA)
+    return cells_of(spark.read.format("binaryFile").load(path))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """The cells of workbooks given as rows of (path, content)."""
+    return files.select("path", "content").mapInPandas(_unpacked, _SCHEMA)
 
 
 def workbook_rows(cells: DataFrame) -> DataFrame:
@@ -122,3 +128,33 @@ def workbook_rows(cells: DataFrame) -> DataFrame:
     keyed = cells.select(F.concat_ws("\n", "file", F.col("sheet").cast("string")).alias("file"), "row_idx", "cells")
     rows = statement_rows(keyed).withColumn("sheet", split(2).cast("int")).withColumn("file", split(1))
     return rows.join(rows.groupBy("file").agg(F.min("sheet").alias("sheet")), ["file", "sheet"])
+
+
+def reimported(cells: DataFrame) -> DataFrame:
+    """Transactions of the sheet "Transactions" of exported workbooks, in its order, with ids ri_0, ri_1, ...
+
+    A file needs the columns date, narration, vendor and account head, else it gives no rows. A row without date and narration is left out.
+    What the sheet leaves open: a row with a vendor or head is classified by its user, with full confidence.
+    """
+    rows = cells.where("sheet_name = 'Transactions'").select("file", "row_idx", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
+    heads = rows.groupBy("file").agg(F.min(F.struct("row_idx", "cells")).alias("_h")).select("file", F.col("_h.row_idx").alias("_at"), F.transform("_h.cells", lambda c: F.lower(c)).alias("_head"))
+    needed = F.forall(F.array(*[F.lit(n) for n in ("date", "narration", "vendor", "account head")]), lambda n: F.array_contains("_head", n))
+    rows = rows.join(heads.where(needed), "file").where("row_idx > _at")
+
+    def cell(name: str) -> Column:
+        at = F.array_position("_head", name)
+        return F.when(at > 0, F.coalesce(F.get("cells", at.cast("int") - 1), F.lit(""))).otherwise("")
+
+    def amount(name: str) -> Column:
+        return F.nullif(F.regexp_replace(cell(name), "[^0-9.-]", "").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    word, known = F.lower(cell("status")), (cell("vendor") != "") | (cell("account head") != "")
+    status = F.when(word == "suspense", "Suspense").when(word == "classified", "Classified").when(word.isin("needs_review", "review"), "NeedsReview").otherwise(F.when(known, "Classified").otherwise("Unreviewed"))
+    kind = F.initcap(F.lower(cell("type")))
+    rows = rows.where((cell("date") != "") | (cell("narration") != "")).withColumn("status", status)
+    done = F.col("status") == "Classified"
+    n = F.row_number().over(Window.partitionBy("file").orderBy("row_idx")) - 1
+    return rows.select(
+        "file", F.concat(F.lit("ri_"), n.cast("string")).alias("id"), parse_date(cell("date")).alias("date"), cell("narration").alias("narration"), cell("reference").alias("reference"), amount("debit").alias("debit"), amount("credit").alias("credit"),
+        amount("balance").alias("balance"), cell("vendor").alias("vendor"), cell("account head").alias("account_head"), F.when(kind.isin("Payment", "Receipt", "Contra", "Journal"), kind).otherwise("Payment").alias("txn_type"), "status",
+        F.coalesce(cell("confidence").try_cast("double"), F.when(done, 1.0).otherwise(0.0)).alias("confidence"), F.when(done, "user").otherwise("").alias("classification_source"),
+        F.filter(F.transform(F.split(cell("tags"), ";"), lambda t: F.trim(t)), lambda t: t != "").alias("tags"), cell("bank name").alias("bank_name"), cell("account no").alias("account_no"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from bahikhata.plans.queries import ORACLE, QUERIES
+from bahikhata.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
