@@ -1,6 +1,6 @@
 """All registered queries of the ledger side."""
 
-from bahikhata.plans import exports, queries
+from bahikhata.plans import exports, queries, stores
 
-MODULES = (queries, exports)
+MODULES = (queries, exports, stores)
 QUERIES, ORACLE = queries.QUERIES, queries.ORACLE
