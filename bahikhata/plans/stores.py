@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bahikhata.operators import clients, payments
 from bahikhata.plans.queries import money, query, table
+from bahikhata.sources import lines, positions
 
 _EVENTS = ("payment.captured", "payment_link.paid", "payment.failed", "subscription.activated", "subscription.charged", "subscription.cancelled", "subscription.halted", "refund.created", "refund.processed", "payment.dispute.created", "payment.dispute.closed", "order.paid")
 _STATES = ("pending", "succeeded", "failed", "refunded", "disputed")
@@ -114,3 +115,27 @@ def dump_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1"""
     return clients.dump_issues(clients.dump_entries(dumps(spark, sf_dir)))
+
+
+@query("""SELECT CAST(o_custkey % 20 AS VARCHAR) AS file, o_orderkey * 10 AS row_idx, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS date, CASE WHEN o_orderkey % 7 = 0 THEN 'TRANSACTION' ELSE 'Order ' || o_orderpriority || ' PAID' END AS narration, CASE WHEN o_orderkey % 4 > 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '7') END AS reference,
+ CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderkey + 1.25 AS DECIMAL(18,2)) AS balance FROM orders WHERE o_orderkey % 13 > 0""")
+def multiline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as up to ten lines: one or two dates, texts, numbers, amounts, a heading and a footer"""
+    key, price = F.col("o_orderkey"), money(F.col("o_totalprice")).cast("string")
+    day = F.date_format(F.add_months("o_orderdate", 120), "dd/MM/yyyy")
+    said = key % 7 > 0
+    closing = (key + F.lit(1.25)).cast("decimal(18,2)").cast("string")
+    texts = (day, F.when(key % 3 == 0, day), F.when(key % 4 > 0, F.lpad(key.cast("string"), 12, "7")), F.lit("Debit"), F.when(key % 2 == 0, F.concat(closing, F.lit("Cr"))), F.when(said, F.concat(F.lit("Order "), "o_orderpriority")),
+             F.when(key % 13 > 0, F.concat(F.when(key % 5 == 0, "Rs. ").otherwise(""), price)), F.when(said, "PAID"), F.when(key % 2 == 1, closing), F.lit("Page 2 of 9"))
+    each = F.posexplode(F.array(*texts)).alias("i", "line")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("string").alias("file"), key, each).where("line is not null").select("file", (key * 10 + F.col("i")).alias("row_idx"), "line")
+    return lines.rejoined(rows).select("file", "row_idx", "date", "narration", "reference", F.col("amounts")[0].alias("amount"), F.col("amounts")[1].alias("balance"))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS file, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['date', 'narration', 'debit', 'credit', 'balance'] ELSE ['date', 'narration', 'debit', 'balance'] END) AS field, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [10, 100, 300, 400, 500] ELSE [10, 100, 300, 500] END)::DOUBLE AS x FROM nation WHERE n_nationkey % 5 > 0""")
+def inferred_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as tables of six rows without a header; each fifth has no dates"""
+    key = F.col("n_nationkey")
+    cells = F.array(*[F.struct(F.lit(x).alias("x"), t.alias("text")) for x, t in ((12.0, F.when(key % 5 > 0, "05/01/2024").otherwise("none")), (98.0, F.concat(F.lit("PAID TO "), F.col("n_name"))), (301.0, F.lit("1,200.00")), (402.0, F.when(key % 2 == 0, "Rs.75.5")), (499.0, F.when(key % 3 == 0, "2,000.00Cr").otherwise("2,000.00")))])
+    items = table(spark, sf_dir, "nation").select(key.cast("string").alias("file"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("row"), F.explode(cells).alias("c")).select("file", "row", "c.x", F.lit(10.0).alias("w"), "c.text").where("text is not null")
+    return positions.inferred_columns(items).select("file", F.explode("columns").alias("field", "x"))

@@ -85,3 +85,42 @@ def cell_values(items: DataFrame, fences: DataFrame) -> DataFrame:
     hit = items.join(fences, "file").where((F.col("x") >= F.col("x_min")) & (F.col("x") < F.col("x_max")))
     rows = hit.groupBy("file", "page", "row", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]).alias("texts"))
     return rows.select("file", "page", "row", "field", let(F.col("texts"), lambda t: cell_value(F.col("field"), t)).alias("cell"))
+
+
+_DATE = r"^(?=.{6,10}$)[0-9]*[/-][0-9]*[/-][0-9]{2,}$"
+_SIGNED = r"(?i)[0-9]\s*(cr|dr)$"
+_PLAIN = r"^(?:(?i:rs)[A-Za-z.]*\s*)?-*[0-9,]+\.[0-9]{1,2}$"
+
+
+def inferred_columns(items: DataFrame, first: int = 40, most: int = 12) -> DataFrame:
+    """(file, columns) of tables without a header row: a map from field to the x of its column, in steps of ten points.
+
+    Of the ``first`` rows up to ``most`` that begin with a date vote, two at least: the leftmost column with two dates is the date's; the rightmost
+    with a Cr or Dr after its figures, else the rightmost of plain amounts, the balance's; of the other amount columns the last two are debit and
+    credit, a single one debit. The narration is the leftmost column of two longer texts before the amounts, the reference the
+    leftmost of figures too long for an amount behind it. Files for which this doesn't work out give no row.
+    """
+    rows = items.where(F.col("row") < first).select("file", "row", F.col("x").cast("double").alias("x"), F.trim("text").alias("t"))
+    lead = rows.groupBy("file", "row").agg(F.min_by("t", F.struct("x", "t")).alias("lead")).where(F.col("lead").rlike(_DATE))
+    lead = lead.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("row"))).where(F.col("_n") <= most)
+    lead = lead.join(lead.groupBy("file").agg(F.count("*").alias("_rows")).where("_rows >= 2"), "file", "left_semi").select("file", "row")
+    t = F.col("t")
+    figures = F.length(F.regexp_replace(F.substring_index(F.replace(t, F.lit(","), F.lit("")), ".", 1), "[^0-9]", ""))
+    kind = F.when(t.rlike(_DATE), "date").when(t.rlike(_SIGNED), "signed").when(t.rlike(_PLAIN), F.when(figures <= 10, "amount").otherwise("long")).when(F.octet_length(t) > 5, "text")
+    at = (F.round(F.col("x") / 10) * 10).alias("at")
+    votes = rows.join(lead, ["file", "row"]).where("t <> ''").groupBy("file", at).agg(*[F.count_if(kind == k).alias(k) for k in ("date", "signed", "amount", "long", "text")])
+    # At most a page's width of columns a file.
+    file = votes.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "date", "signed", "amount", "long", "text"))).alias("v")).where(F.size("v") >= 2)
+    xs = lambda keep: F.transform(F.filter("v", keep), lambda b: b["at"])
+    file = file.withColumn("date", F.get(xs(lambda b: b["date"] >= 2), F.lit(0))).where("date is not null")
+    file = file.withColumn("amounts", xs(lambda b: (b["amount"] >= 1) & (b["long"] == 0) & (b["at"] > F.col("date"))))
+    file = file.withColumn("balance", F.coalesce(F.try_element_at(xs(lambda b: b["signed"] >= 1), F.lit(-1)), F.try_element_at("amounts", F.lit(-1)))).where("balance is not null")
+    file = file.withColumn("moved", F.filter("amounts", lambda x: x != F.col("balance"))).where("size(moved) > 0")
+    two = F.size("moved") >= 2
+    file = file.withColumns({"debit": F.try_element_at("moved", F.when(two, -2).otherwise(-1)), "credit": F.when(two, F.try_element_at("moved", F.lit(-1)))})
+    file = file.withColumn("edge", F.least("debit", "credit", "balance"))
+    file = file.withColumn("narration", F.get(xs(lambda b: (b["text"] >= 2) & (b["at"] > F.col("date")) & (b["at"] < F.col("edge"))), F.lit(0)))
+    behind = F.coalesce("narration", "date")
+    file = file.withColumn("reference", F.get(xs(lambda b: (b["long"] >= 1) & (b["at"] > behind) & (b["at"] < F.col("edge"))), F.lit(0)))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in ("date", "narration", "reference", "debit", "credit", "balance")])
+    return file.select("file", F.map_filter(F.map_from_entries(fields), lambda f, x: x.isNotNull()).alias("columns"))

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from bahikhata.operators import balances, banks, migrated
-from bahikhata.sources import positions, workbooks
+from bahikhata.sources import lines, positions, workbooks
 
 
 def test_banks(spark):
@@ -57,6 +57,17 @@ def test_cell_values(spark):
     assert got == {(0, "date"): "05/01/2024", (0, "balance"): "(-) 4,85,878.84", (1, "balance"): "7.25", (1, "date"): "x"}
 
 
+def test_columns_without_header(spark):
+    def page(file, columns, n):
+        return [(file, 1, r, x, 10.0, t) for r in range(n) for x, t in columns]
+    five = ((12.0, "05/01/2024"), (103.0, "NEFT PAYMENT"), (201.0, "123456789012.00"), (300.0, "Rs.500.25"), (402.0, "1,000.00"), (498.0, "2,295.02Cr"))
+    plain = ((12.0, "5-1-24"), (103.0, "PAID TO A"), (300.0, "500.00"), (498.0, "700.00"))
+    rows = page("a", five, 3) + page("b", plain, 2) + page("one", plain, 1) + page("only balance", (plain[0], plain[1], plain[3]), 3) + page("undated", plain[1:], 3)
+    got = {r.file: r.columns for r in positions.inferred_columns(items(spark, rows)).collect()}
+    assert got == {"a": {"date": 10.0, "narration": 100.0, "reference": 200.0, "debit": 300.0, "credit": 400.0, "balance": 500.0}, "b": {"date": 10.0, "narration": 100.0, "debit": 300.0, "balance": 500.0}}
+    assert positions.inferred_columns(items(spark, rows).limit(0)).count() == 0
+
+
 def test_reversed_statement(spark):
     d = Decimal
     rows = [("up", 1, date(2024, 1, 1), [d(100)], False, False, d(100)), ("up", 2, date(2024, 1, 2), [d(30)], False, False, d(70)), ("up", 3, None, [d(5), d(20)], False, False, d(90)), ("up", 4, date(2024, 1, 3), [d(7)], True, False, None),
@@ -98,3 +109,10 @@ def test_workbooks(spark, tmp_path):
     got = workbooks.workbook_rows(cells).orderBy("row_idx").collect()
     d = Decimal
     assert [(r.sheet, r.date, r.narration, r.debit, r.credit, r.balance) for r in got] == [(1, date(2024, 1, 1), "SALARY", None, d("500.50"), d("1500.50")), (1, date(2024, 1, 2), "RENT", d("200.00"), None, d("1300.50"))]
+
+
+def test_lines_of_one_field(spark):
+    said = ["Statement", "01/01/2024", "PAID", "9", "12.50", "100.00", "02/01/2024", "02/01/2024", "1,234,567", "7654321", "22,95,856.02Cr", "Particulars", "UPI A", "Page No2", "Rs.75", "UPI B", "Call us at 1", "03/01/2024", "5.00", "04/01/2024", "0.00", "1.00", "2.00"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(said)] + [("g", 0, "text"), ("g", 1, None), ("g", 2, "")], "file string, row_idx int, line string")
+    got = [(str(r.date), r.narration, r.reference, [float(a) for a in r.amounts]) for r in lines.rejoined(df).orderBy("row_idx").collect()]
+    assert got == [("2024-01-01", "PAID", None, [12.5, 100.0]), ("2024-01-02", "UPI A UPI B", "1234567", [75.0, 2295856.02]), ("2024-01-04", "TRANSACTION", None, [1.0, 2.0])]
