@@ -16,6 +16,7 @@ from bahikhata.functions.text import GLUED_REFERENCE, combined, contains_any, fi
 from bahikhata.operators.ledger_words import LADDER, RAILS
 
 RULE_GLOBAL, RULE_CLIENT, KEYWORD = 0.6, 0.9, 0.45
+MOST_RULES = 20_000
 
 # Words of a narration that are no part of a name, and banks' short names.
 SKIP = set("""NEFT RTGS IMPS UPI INFT NACH ECS ACH BBPS CR DR CREDIT DEBIT INWARD OUTWARD BY TO FROM VIA FOR PER OF AT ON IN REF UTR TXN NO NUMBER
@@ -126,11 +127,13 @@ def first_rule(txns: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
     """Adds ``rule``: of the client's and the global rules whose pattern the text holds, the first by priority and id.
 
     Rules are a small dimension; they are gathered by client into one array, so the match is a scan of that
-    array in the row's own task.
+    array in the row's own task. More than MOST_RULES global rules, or rules of one client, are an error, not a cut.
     """
     entry = F.struct((-F.col("priority")).alias("k"), "id", F.col("client_id").alias("of"), F.upper("pattern").alias("pattern"), F.col("vendor").alias("vendor"), F.col("account_head").alias("account_head"), F.col("txn_type").alias("txn_type"))
     live = rules.where(F.coalesce(F.col("pattern"), F.lit("")) != "")
     by_client = live.groupBy(F.col("client_id").alias("_of")).agg(F.collect_list(entry).alias("_own"))
+    too_many = F.raise_error(F.concat(F.lit("too many rules of client "), F.col("_of").cast("string"))).cast(by_client.schema["_own"].dataType)
+    by_client = by_client.withColumn("_own", F.when(F.size("_own") > MOST_RULES, too_many).otherwise(F.col("_own")))
     everyone = by_client.where("_of = 0").select(F.lit(True).alias("_all"), F.col("_own").alias("_global"))
     empty = F.array().cast(by_client.schema["_own"].dataType)
     rows = txns.join(by_client.where("_of <> 0"), F.col("client_id") == F.col("_of"), "left").withColumn("_any", F.lit(True)).join(everyone, F.col("_any") == F.col("_all"), "left")
