@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bahikhata.llm import classifier, html, licenses, media, middle, mixing, outliers, packing, sharding, simhash, token_files, turns
+from bahikhata.llm import classifier, html, licenses, media, middle, mixing, outliers, packing, sharding, simhash, sketches, token_files, turns
 from bahikhata.llm.common import table
 from bahikhata.llm.tokens import public
 
@@ -51,6 +51,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_version_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_classifier": op9_classifier,
     "op10_sharding": op10_sharding,
+    "op11_version_sketches": op11_version_sketches,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_conversation_repair": op13_conversation_repair,
 }
