@@ -24,13 +24,14 @@ def rejoined(lines: DataFrame) -> DataFrame:
 
     A line that is a date begins a transaction, unless nothing but dates and numbers of reference came since the last: then it is its value date.
     Of other lines, figures with Cr or Dr are the balance (the last counts), six or more bare digits a reference (the first counts), lines of over 80 %
-    digits amounts of more than 0 and less than 2,000,000,000, all else narration. Headings, notices, page marks and lines of one or two
-    bytes are left out, and so are transactions of fewer than two amounts and what stands before the first date.
+    digits amounts of more than 0 and less than 2,000,000,000, all else narration. Of lines that are neither figures nor a date, headings,
+    notices, page marks and channel codes are left out; so are lines of one or two bytes, transactions of fewer than two amounts and what stands before the
+    first date.
     """
     t = F.col("t")
     rows = lines.select("file", "row_idx", F.trim("line").alias("t")).withColumn("l", F.lower("t"))
     page = F.contains("l", F.lit("page")) & F.contains("l", F.lit("of"))
-    noise = (F.octet_length("l") <= 2) | page | F.col("l").rlike("^(" + "|".join(s.replace(".", r"\.") for s in STARTS) + ")") | F.contains("l", F.lit("?identity")) | F.col("l").rlike("|".join(n.replace(".", r"\.") for n in NOTICES)) | F.col("l").isin(*HEADINGS)
+    notice = page | F.col("l").rlike("^(" + "|".join(s.replace(".", r"\.") for s in STARTS) + ")") | F.contains("l", F.lit("?identity")) | F.col("l").rlike("|".join(n.replace(".", r"\.") for n in NOTICES)) | F.col("l").isin(*HEADINGS)
     bare = F.trim(F.regexp_replace(t, r"(?i)^rs\.?", ""))
     solid = F.regexp_replace(bare, r"\s", "")
     plain = F.replace(bare, F.lit(","), F.lit(""))
@@ -39,7 +40,9 @@ def rejoined(lines: DataFrame) -> DataFrame:
     signed = F.when(t.rlike(r"(?i)^[0-9,.]+\s*(cr|dr)$"), fit(number(F.replace(F.regexp_replace(t, r"(?i)\s*(cr|dr)$", ""), F.lit(","), F.lit("")))))
     figures = F.length(F.regexp_replace(solid, "[^0-9,.]", "")) > 0.8 * F.length(solid)
     kind = F.when(F.col("date").isNotNull(), "date").when(F.col("balance").isNotNull(), "balance").when(F.replace(t, F.lit(","), F.lit("")).rlike("^[0-9]{6,}$"), "reference").when(figures, F.when(fit(number(plain)).isNotNull(), "amount").otherwise("none")).otherwise("text")
-    rows = rows.where(~noise).withColumns({"date": parse_date(t), "balance": signed}).withColumns({"kind": kind, "amount": fit(number(plain))})
+    rows = rows.where(F.octet_length("l") > 2).withColumns({"date": parse_date(t), "balance": signed})
+    # Figures and dates first: an amount of 11111 isn't the channel code that begins so.
+    rows = rows.where(F.col("date").isNotNull() | F.col("balance").isNotNull() | figures | ~notice).withColumns({"kind": kind, "amount": fit(number(plain))})
     order = Window.partitionBy("file").orderBy("row_idx")
     before = F.last(F.when(~F.col("kind").isin("reference", "none"), F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("begins", (F.col("kind") == "date") & ~F.coalesce(before == "date", F.lit(False)))
