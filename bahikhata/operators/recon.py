@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bahikhata.functions.text import jaccard, tokens
+from bahikhata.operators.stages import kept
 
 
 @dataclass(frozen=True)
@@ -62,16 +62,13 @@ def greedy(pairs: DataFrame) -> DataFrame:
     Each round keeps the pairs that are best for both of their sides and drops what they used; the rest goes on.
     Every round decides at least the best pair left, in practice most; it ends in a checkpoint.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='bahikhata-')}")
-    left, chosen = pairs.checkpoint(), None
+    left, chosen = kept(pairs), None
     while not left.isEmpty():
         order = [F.desc("score"), "b", "v"]
         ranked = left.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(*order))).withColumn("rv", F.row_number().over(Window.partitionBy("v").orderBy(*order)))
-        best = ranked.where("rb = 1 and rv = 1").select("b", "v", "score").checkpoint()
+        best = kept(ranked.where("rb = 1 and rv = 1").select("b", "v", "score"))
         chosen = best if chosen is None else chosen.unionByName(best)
-        left = left.join(best.select("b"), "b", "left_anti").join(best.select("v"), "v", "left_anti").checkpoint()
+        left = kept(left.join(best.select("b"), "b", "left_anti").join(best.select("v"), "v", "left_anti"))
     return chosen if chosen is not None else pairs
 
 

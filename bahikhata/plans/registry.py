@@ -1,6 +1,6 @@
 """All registered queries of the ledger side."""
 
-from bahikhata.plans import exports, queries, stores
+from bahikhata.plans import exports, pages, queries, stores
 
-MODULES = (queries, exports, stores)
+MODULES = (queries, exports, stores, pages)
 QUERIES, ORACLE = queries.QUERIES, queries.ORACLE

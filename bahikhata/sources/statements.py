@@ -182,14 +182,13 @@ def tally_vouchers(cells: DataFrame) -> DataFrame:
 
 def clustered(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """(file, page, row, items): text items grouped to rows; a row starts where y leaves its first item's by more than the tolerance."""
-    page = items.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "text"))).alias("all"))
-    start = F.struct(F.lit(-1e18).alias("y"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
-
-    def put(seen: Column, item: Column) -> Column:
-        new = F.abs(item["y"] - seen["y"]) > tolerance
-        row = F.when(new, seen["row"] + 1).otherwise(seen["row"])
-        return F.struct(F.when(new, item["y"]).otherwise(seen["y"]).alias("y"), row.alias("row"), F.concat(seen["rows"], F.array(row)).alias("rows"))
-    rows = page.select("file", "page", F.explode(F.arrays_zip(F.aggregate("all", start, put)["rows"].alias("row"), F.col("all").alias("item"))).alias("z")).select("file", "page", "z.row", "z.item")
+    page = items.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "x", "w", "text"))).alias("all"))
+    # A page's array grows by one for each row of it, not for each item.
+    new = lambda seen, y: F.coalesce(F.abs(y - F.try_element_at(seen, F.lit(-1))) > tolerance, F.lit(True))
+    starts = F.aggregate("all", F.array().cast("array<double>"), lambda seen, i: F.when(new(seen, i["y"]), F.concat(seen, F.array(i["y"]))).otherwise(seen))
+    page = page.select("file", "page", "all", starts.alias("starts"))
+    rows = page.select("file", "page", "starts", F.explode("all").alias("item"))
+    rows = rows.withColumn("row", F.size(F.filter("starts", lambda s: s <= F.col("item.y"))) - 1)
     return rows.groupBy("file", "page", "row").agg(F.array_sort(F.collect_list(F.struct(F.col("item.x").alias("x"), F.col("item.text").alias("text"), F.col("item.w").alias("w")))).alias("items"))
 
 
