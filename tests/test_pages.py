@@ -7,8 +7,9 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bahikhata.operators import repairs
 from bahikhata.operators.scans import scanned
-from bahikhata.sources import pages
+from bahikhata.sources import fixed, pages
 
 TYPED = "file string, row long, header_row long, day date, narration string, reference string, balance decimal(18,2), only boolean, debit decimal(18,2), credit decimal(18,2)"
 
@@ -121,3 +122,53 @@ def test_scans_equal_windows(spark):
     want = rows.select("g", "at", F.coalesce(F.sum("v").over(before), F.lit(0)).alias("s"), F.last("v", True).over(before).alias("l"))
     got = scanned(rows, ["g"], "at", sums={"s": F.col("v")}, lasts={"l": F.col("v")}, stretch=97).select("g", "at", "s", "l")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def chain(rows, opening):
+    running, out = opening, []
+    for debit, credit, balance in rows:
+        *now, what = repairs.step(running, debit, credit, balance)
+        running = now[2]
+        out.append((*now, what))
+    return out
+
+
+def test_misread_digits(spark):
+    """One pass over a file against stretches of seven rows, with errors that nothing explains and rows without a balance."""
+    rng = random.Random(4)
+    files = {}
+    for f in range(6):
+        balance, rows = 5_000_000, []
+        for _ in range(100):
+            amount, up = rng.randrange(100, 999_999), rng.random() < 0.5
+            balance += amount if up else -amount
+            seen = amount
+            if rng.random() < 0.2:
+                digits = list(str(amount))
+                digits[rng.randrange(len(digits))] = rng.choice("0123456789")
+                seen = int("".join(digits))
+            rows.append((None if up else seen, seen if up else None, None if rng.random() < 0.03 * (f % 3) else balance + (rng.choice([300, 70_000_000]) if rng.random() < 0.05 else 0)))
+        files[str(f)] = rows
+    dec = lambda x: None if x is None else Decimal(x) / 100
+    df = spark.createDataFrame([(f, i * 3, *map(dec, r)) for f, rows in files.items() for i, r in enumerate(rows)], "file string, row long, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2)")
+    openings = spark.createDataFrame([(f, dec(5_000_000)) for f in "0123"] + [("4", None)], "file string, opening decimal(18,2)")
+    got = {(r.file, r.row): (r.debit, r.credit, r.balance, r.repaired) for r in repairs.repaired(df, openings, stretch=21).collect()}
+    want = {(f, i * 3): (*map(dec, r[:3]), r[3]) for f, rows in files.items() for i, r in enumerate(chain(rows, 5_000_000 if f in "0123" else None))}
+    assert got == want and {w[3] for w in want.values()} == {"", "amount", "balance"}
+    assert repairs.recovered(206_000, 256_000) and not repairs.recovered(74_965_700, 14_965_700) and not repairs.recovered(56_000, 256_000) and not repairs.recovered(50_000, -50_000)
+
+
+def test_fixed_width_by_hand(spark):
+    head = "Date        Narration             Chq     Withdrawal        Deposit       Balance"
+    lines = ["Some Bank", head, "-" * 60, "01-01-2024  Opening Balance                                           1,000.00Cr", "01-01-2024  SALARY                                       500.00       1,500.00Cr",
+             "02/01/2024  ATM WDL                       200.00                      1,300.00Cr", "02/01/2024  MISPLACED                                    100.00       1,200.00 Dr", "99/99/2024  NO DAY  5.00  1.00Cr", "03-01-2024  NO AMOUNT  1,200.00Cr",
+             "03-01-2024  CHQ 12.00                     300.00                        900.00Cr", "31-01-2024  Closing Balance 900.00Cr"]
+    one = ["Date Details Amount Balance", "01-01-2024 UPI-CR/123456789/X 5.00 105.00Cr", "02-01-2024 PAID 123456789012.55 7.50 97.50Cr", "03-01-2024 SOMETHING 2.50 100.00Cr", "x", "y"]
+    ragged = [(f, 1, t, float(x), i * 12.0, 5.0) for f, rows in (("a", lines), ("b", one)) for i, t in enumerate(rows) for x in (10,)]
+    ragged += [("c", 1, t, float(x), i * 12.0, 5.0) for i, t in enumerate(lines) for x in (10, 200)]
+    txns, stated = fixed.transactions(pages.placed(spark.createDataFrame(ragged, ITEM)))
+    money = lambda x: None if x is None else float(x)
+    got = [(r.file, r.narration, r.reference, money(r.debit), money(r.credit), money(r.balance)) for r in txns.orderBy("file", "row").collect()]
+    assert got == [("a", "SALARY", "", None, 500.0, 1500.0), ("a", "ATM WDL", "", 200.0, None, 1300.0), ("a", "MISPLACED", "", 100.0, None, 1200.0), ("a", "CHQ", "12", 300.0, None, 900.0),
+                   ("b", "UPI-CR/123456789/X", "123456789", None, 5.0, 105.0), ("b", "PAID 123456789012.55", "", 7.5, None, 97.5), ("b", "SOMETHING", "", None, 2.5, 100.0)]
+    assert [(r.file, money(r.opening), money(r.closing)) for r in stated.collect()] == [("a", 1000.0, 900.0)]
