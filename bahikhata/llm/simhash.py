@@ -7,6 +7,9 @@ segments. The first two steps make the join key (segment k equal, segment k + 1
 candidate already agrees in 25 bits or more; the chains of three and four segments prune the rest before the
 full Hamming test. The filter is exact: no link is lost.
 
+Components need fewer links than there are. First each fingerprint is held against the least one under each key that it looks at, which makes a
+star of a group of near copies; then only fingerprints of different components are held against each other, under keys of several.
+
 Cases: a null or empty text, or one without a word, has fingerprint 0 and is linked like any other. Equal
 fingerprints form one class and are joined once, so copies are never expanded into pairs. Null and repeated
 doc_ids are kept as rows; component_id ignores nulls. An empty table gives an empty result.
@@ -68,8 +71,8 @@ def _ring_key(k: int, first: Column, second: Column) -> Column:
     return F.lit(k << 26) + F.shiftleft(first, 13) + second
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of the distinct fingerprints ``fp`` that differ in 1 to LIMIT bits."""
+def _keys(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, a): the ring keys under which a fingerprint stands, and (key, b): those under which it must look, one differing bit allowed in the second segment."""
     fp = F.col("fp")
     stored, asked = [], []
     for k in range(5):
@@ -77,8 +80,11 @@ def links(classes: DataFrame) -> DataFrame:
         first, second = _segment(fp, k), _segment(fp, n)
         stored.append(_ring_key(k, first, second))
         asked += [_ring_key(k, first, second.bitwiseXOR(F.lit(flip))) for flip in (0, *(1 << i for i in range(WIDTHS[n])))]
-    index = classes.select(fp.alias("a"), F.explode(F.array(*stored)).alias("key"))
-    probe = classes.select(fp.alias("b"), F.explode(F.array(*asked)).alias("key"))
+    return classes.select(F.explode(F.array(*stored)).alias("key"), fp.alias("a")), classes.select(F.explode(F.array(*asked)).alias("key"), fp.alias("b"))
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    """Pairs (key, a, b) whose chain of segments stays within the budgets, and which then differ in 1 to LIMIT bits."""
     differ = F.col("a").bitwiseXOR(F.col("b"))
     masks = [sum(((1 << WIDTHS[j % 5]) - 1) << STARTS[j % 5] for j in (k, k + 1, k + 2)) for k in range(5)]
     longer = [m | ((1 << WIDTHS[(k + 3) % 5]) - 1) << STARTS[(k + 3) % 5] for k, m in enumerate(masks)]
@@ -86,8 +92,35 @@ def links(classes: DataFrame) -> DataFrame:
     start = F.shiftright(F.col("key"), 26).cast("int") + 1
     chains = [F.bit_count(differ.bitwiseAND(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in xs]), start))) <= most
               for xs, most in zip(signed, (2, 3))]
-    return (probe.join(index.hint("shuffle_hash"), "key").where(F.col("a") < F.col("b"))
-            .where(chains[0]).where(chains[1]).where(F.bit_count(differ) <= LIMIT).select("a", "b").distinct())
+    return pairs.where(F.col("a") != F.col("b")).where(chains[0]).where(chains[1]).where(F.bit_count(differ) <= LIMIT).select("a", "b").distinct()
+
+
+def to_least(classes: DataFrame) -> DataFrame:
+    """(a, b): links from each fingerprint to the least one under each of the keys it looks at; a fingerprint gives a bounded number of candidates.
+
+    A group of near copies, in which all are within reach of the least, comes out as a star and not as all its pairs.
+    """
+    index, probe = _keys(classes)
+    return _linked(probe.join(index.groupBy("key").agg(F.min("a").alias("a")), "key"))
+
+
+def between(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the links between different components of ``roots`` (node, root) that ``to_least`` didn't show.
+
+    Only keys of several fingerprints are left. Under each of them those of the component that has most don't look at each other; all others
+    are held against all, from both sides.
+    """
+    index, probe = _keys(classes)
+    of = classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"))
+    crowded = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    stored, _ = written(index.join(crowded, "key").join(of, F.col("a") == F.col("_fp")).select("key", "a", F.col("_root").alias("root_a")), "simhash-crowded", thin=True)
+    sizes = stored.groupBy("key", "root_a").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "root_a"))["root_a"].alias("most"), F.count("*").alias("roots"))
+    inside = F.col("_root") == F.col("most")
+    sides = F.when(inside, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    asked = probe.join(most, "key").join(of, F.col("b") == F.col("_fp")).where(~inside | (F.col("roots") > 1)).select("key", "b", F.col("_root").alias("root_b"), F.explode(sides).alias("side"))
+    held = stored.join(most.select("key", "most"), "key").select("key", "a", "root_a", (F.col("root_a") != F.col("most")).cast("int").alias("side"))
+    return _linked(asked.join(held, ["key", "side"]).where("root_a <> root_b").select("key", "a", "b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -123,11 +156,24 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def linked_roots(classes: DataFrame) -> DataFrame:
+    """(node, root): the smallest fingerprint that can be reached by links of up to LIMIT bits, of the distinct fingerprints ``fp`` that have any."""
+    classes, _ = written(classes, "simhash-distinct", thin=True)
+    first, _ = written(components(to_least(classes)), "simhash-stars", thin=True)
+    rest = between(classes, first)
+    at = lambda c: first.select(F.col("node").alias(f"_n_{c}"), F.col("root").alias(f"_r_{c}"))
+    joined = rest.join(at("a"), F.col("a") == F.col("_n_a"), "left").join(at("b"), F.col("b") == F.col("_n_b"), "left")
+    second = components(joined.select(F.coalesce("_r_a", "a").alias("a"), F.coalesce("_r_b", "b").alias("b"))).select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    every = first.select("node", "root").unionByName(first.select(F.col("root").alias("node"), "root")).distinct()
+    moved = every.join(second, F.col("root") == F.col("_from"), "full")
+    return moved.select(F.coalesce("node", "_from").alias("node"), F.coalesce("_to", "root").alias("root")).where("node <> root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (bigint), root (smallest fp of its component), component_id (smallest doc_id)."""
     fps, _ = written(fingerprints(docs, id_col, text_col), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp")))
+    roots = linked_roots(classes.select("fp"))
     of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of, _ = written(of, "simhash-classes", thin=True)
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"))

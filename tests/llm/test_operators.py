@@ -50,21 +50,60 @@ def brute_components(prints):
 
 
 def test_simhash_against_brute_force(spark, small):
-    docs = table(spark, small, "documents").limit(400).cache()
+    docs = table(spark, small, "documents")
     rows = docs.collect()
     prints = [(r.doc_id, brute_fingerprint(r.text)) for r in rows]
     want = {d: (f"{f:016x}", c) for (d, f), c in zip(prints, brute_components(prints))}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.digest(docs).collect()} == want
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def roots_by_hand(prints):
+    """{fp: smallest reachable}, all pairs held against each other with numpy."""
+    bits = np.array([x & (1 << 64) - 1 for x in prints], np.uint64)
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(bits[i + 1:] ^ bits[i]) <= 4).tolist():
+            parent[find(i + 1 + j)] = find(i)
+    least = {}
+    for i, x in enumerate(prints):
+        least[find(i)] = min(least.get(find(i), x), x)
+    return {x: least[find(i)] for i, x in enumerate(prints)}
+
+
 def test_simhash_links_miss_none(spark):
+    """Stars, chains, and groups that crowd each other's keys, against all pairs."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4, 5, 6)]
-    prints = sorted({int(x) for x in base} | set(near))
-    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
-    want = {tuple(sorted((a[0], b[0]))) for i, a in enumerate(signed) for b in signed[:i] if bin((a[0] ^ b[0]) & (1 << 64) - 1).count("1") <= 4}
-    assert {(r.a, r.b) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()} == want
+    crowd = [int(base[0]) ^ sum(1 << int(k) for k in rng.choice(26, n, replace=False)) for n in (3, 4, 5, 6, 7, 8, 9) for _ in range(60)]
+    chain = [int(base[1])]
+    for _ in range(80):
+        chain.append(chain[-1] ^ sum(1 << int(k) for k in rng.choice(64, 4, replace=False)))
+    prints = sorted({signed(x) for x in {int(x) for x in base} | set(near) | set(crowd) | set(chain)})
+    want = {x: r for x, r in roots_by_hand(prints).items() if x != r}
+    assert {r.node: r.root for r in simhash.linked_roots(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()} == want
+
+
+def test_simhash_near_copies_make_linear_links(spark):
+    rng = np.random.default_rng(8)
+    centre, prints = 0x0123456789ABCDEF, set()
+    while len(prints) < 2000:
+        prints.add(signed(centre ^ sum(1 << int(k) for k in rng.choice(64, 2, replace=False))))
+    classes = spark.createDataFrame([(x,) for x in prints], "fp long")
+    links = simhash.to_least(classes).count()
+    assert links < 75 * len(prints)
+    roots = simhash.linked_roots(classes).collect()
+    assert len(roots) == len(prints) - 1 and {r.root for r in roots} == {min(prints)}
 
 
 def test_simhash_odd_rows(odd, none):
