@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bahikhata.operators.scans import scanned
+
 NET = "coalesce(credit, cast(0 as decimal(18,2))) - coalesce(debit, cast(0 as decimal(18,2)))"
 
 
@@ -53,11 +55,11 @@ def sided(lines: DataFrame) -> DataFrame:
     zero. One amount: its mark decides, else the movement within 2 %, else it is a credit. Several: the one nearest to the
     movement within 2 %, else the first if the balance fell and the last if it rose; none if it stood still. The first line is a credit.
     """
-    whole = Window.partitionBy("file").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    back = F.coalesce(F.first("date", True).over(whole) > F.last("date", True).over(whole), F.lit(False))
-    rows = lines.withColumn("_at", F.when(back, -F.col("row_idx")).otherwise(F.col("row_idx")))
+    at = F.when(F.col("date").isNotNull(), F.col("row_idx"))
+    ends = lines.groupBy("file").agg((F.min_by("date", at) > F.max_by("date", at)).alias("_back"))
+    rows = lines.join(ends, "file").withColumn("_at", F.when(F.coalesce("_back", F.lit(False)), -F.col("row_idx")).otherwise(F.col("row_idx"))).drop("_back")
     balance = F.coalesce("balance", F.lit(0).cast("decimal(18,2)"))
-    rows = rows.withColumn("_moved", balance - F.lag(balance).over(Window.partitionBy("file").orderBy("_at")))
+    rows = scanned(rows, ["file"], "_at", lasts={"_before": balance}).withColumn("_moved", balance - F.col("_before")).drop("_before")
     moved, first, last = F.col("_moved"), F.get("amounts", F.lit(0)), F.element_at("amounts", -1)
     within = lambda gap, amount: F.abs(gap) < amount * F.lit("0.02").cast("decimal(3,2)")
     gaps = F.transform("amounts", lambda x, i: F.struct(F.abs(F.abs(moved) - x).alias("gap"), i.alias("i"), x.alias("x")))

@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 STRETCH = 4096
 
 
-def scanned(rows: DataFrame, group: list[str], order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
-    """Adds for each name in ``sums`` the sum of its column over the rows of ``group`` before this one, and for each in ``lasts`` the last value there that isn't null.
+def scanned(rows: DataFrame, group: list[str], order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, stretch: int | Column = STRETCH) -> DataFrame:
+    """Adds what the rows of ``group`` before each row come to: for each name in ``sums`` the sum of its column, in ``lasts`` the last value that isn't null, in ``mins`` the least.
 
-    ``order`` is a whole number, unique in its group. Groups are cut into stretches of it; windows run inside a stretch, and one row a stretch
-    carries what the stretches before it come to, so a group of any length is spread. Columns of ``group`` have no nulls.
+    ``order`` is a whole number, unique in its group. Groups are cut into stretches of so many places, or by a column that rises with the order; windows run
+    inside a stretch, and one row a stretch carries what the stretches before it come to, so a group of any length is spread. Columns of
+    ``group`` have no nulls.
     """
-    sums, lasts = sums or {}, lasts or {}
-    rows = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
-    rows = rows.withColumns({f"_of_{name}": c for name, c in {**sums, **lasts}.items()})
+    sums, lasts, mins = sums or {}, lasts or {}, mins or {}
+    names = [*sums, *lasts, *mins]
+    rows = rows.withColumn("_stretch", F.floor(F.col(order) / stretch) if isinstance(stretch, int) else stretch)
+    rows = rows.withColumns({f"_of_{n}": c for n, c in {**sums, **lasts, **mins}.items()})
+
+    def over(prefix: str, window: Window) -> dict[str, Column]:
+        return {**{n: F.sum(prefix + n).over(window) for n in sums}, **{n: F.last(prefix + n, True).over(window) for n in lasts}, **{n: F.min(prefix + n).over(window) for n in mins}}
     inside = Window.partitionBy(*group, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*group, "_stretch").agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums],
-                                                  *[F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), F.col(order))).alias(f"_all_{n}") for n in lasts])
     before = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*group, "_stretch", *[F.sum(f"_all_{n}").over(before).alias(f"_all_{n}") for n in sums], *[F.last(f"_all_{n}", True).over(before).alias(f"_all_{n}") for n in lasts])
-    rows = rows.withColumns({**{f"_in_{n}": F.sum(f"_of_{n}").over(inside) for n in sums}, **{f"_in_{n}": F.last(f"_of_{n}", True).over(inside) for n in lasts}})
-    rows = rows.join(carried, [*group, "_stretch"])
-    rows = rows.withColumns({**{n: F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_all_{n}", F.lit(0)) for n in sums}, **{n: F.coalesce(f"_in_{n}", f"_all_{n}") for n in lasts}})
-    return rows.drop("_stretch", *[f"_{k}_{n}" for k in ("of", "in", "all") for n in (*sums, *lasts)])
+    whole = {**{n: F.sum(f"_of_{n}") for n in sums}, **{n: F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), F.col(order))) for n in lasts}, **{n: F.min(f"_of_{n}") for n in mins}}
+    totals = rows.groupBy(*group, "_stretch").agg(*[c.alias(f"_all_{n}") for n, c in whole.items()])
+    carried = totals.select(*group, "_stretch", *[c.alias(f"_all_{n}") for n, c in over("_all_", before).items()])
+    rows = rows.withColumns({f"_in_{n}": c for n, c in over("_of_", inside).items()}).join(carried, [*group, "_stretch"])
+    rows = rows.withColumns({**{n: F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_all_{n}", F.lit(0)) for n in sums}, **{n: F.coalesce(f"_in_{n}", f"_all_{n}") for n in lasts}, **{n: F.least(f"_in_{n}", f"_all_{n}") for n in mins}})
+    return rows.drop("_stretch", *[f"_{k}_{n}" for k in ("of", "in", "all") for n in names])

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, worked out once and checkpointed in spark.checkpoint.dir; where that is unset and Spark is local (tests), in a folder of our own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and Spark is local (tests), a folder of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='bahikhata-')}")
+        where = _OWN[-1]
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            if not _OWN:
-                _OWN.append(f"file://{tempfile.mkdtemp(prefix='bahikhata-')}")
-            where = _OWN[-1]
         spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out once and checkpointed."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

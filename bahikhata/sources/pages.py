@@ -17,27 +17,18 @@ from bahikhata.functions.text import is_noise_row
 from bahikhata.operators.scans import scanned
 from bahikhata.operators.stages import kept
 from bahikhata.sources import positions
+from bahikhata.sources.cells import CLOSING_WORDS, OPENING_WORDS, holds, typed
 from bahikhata.sources.statements import clustered
 
 # Words that stand on a row of their own before the row they belong to, the same with "-" or "/" behind, and those that end the transactions.
 TYPE_CODES = ("UPI", "NEFT", "IMPS", "RTGS", "CHQ", "CASH", "ATM", "POS", "ECS", "EMI", "SWP", "RFD", "REV", "CLG", "NACH", "TRF", "FT", "DD", "SI")
 OPEN_TYPE_CODES = ("UPI", "NEFT", "IMPS", "RTGS", "CHQ", "CASH", "ATM", "POS", "ECS", "EMI", "TRF", "NACH", "DD")
 ENDINGS = ("statement of fixed deposit", "fixed deposit a/c", "summary of tds")
-OPENING_WORDS = ("opening", "brought forward", "b/f", "b/d")
-CLOSING_WORDS = ("closing", "c/f", "carried forward")
 # Words of narrations that say the side, a list for each pattern of words that must all be there.
 DEBIT_WORDS = (("upi-dr",), ("upi dr",), ("/dr/",), ("-dr/",), ("-dr-",), ("neft", "dr"), ("rtgs", "dr"), ("cash wd",), ("atm wd",))
 CREDIT_WORDS = (("upi-cr",), ("upi cr",), ("/cr/",), ("-cr/",), ("-cr-",), ("neft", "cr"), ("rtgs", "cr"), ("interest",), ("refund",), ("reversal",), ("salary",))
 
 _FIELDS = ("date", "narration", "reference", "debit", "credit", "balance", "debitcredit")
-_MONEY = "decimal(18,2)"
-
-
-def holds(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        found = found | F.contains(text, F.lit(w))
-    return found
 
 
 def says(text: Column, patterns: tuple[tuple[str, ...], ...]) -> Column:
@@ -102,32 +93,6 @@ def stitched(rows: DataFrame) -> DataFrame:
     return pairs.select("file", F.explode(F.when(F.coalesce(fits, F.lit(False)), F.array(one)).otherwise(apart)).alias("z")).select("file", "z.*")
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """(file, row, header_row, day, narration, reference, debit, credit, balance, only): text cells as values.
-
-    A combined column's sign says the side; an amount in the debit column with Cr behind it, or with + where there is no credit column, is a credit, and one in the
-    credit column with Dr a debit. ``only`` says that nothing but a balance could be read as an amount.
-    """
-    said, debit, credit = F.trim("debitcredit"), F.col("debit"), F.col("credit")
-    one = parse_amount(said)
-    down = (one < 0) | F.regexp_replace(said, "[₹ ,]", "").startswith("-")
-    dr = F.when(said != "", F.when(down, F.abs(one))).otherwise(parse_amount(debit))
-    cr = F.when(said != "", F.when(~down, one)).otherwise(parse_amount(credit))
-    rows = rows.select("file", "row", "header_row", parse_date(F.col("date")).alias("day"), F.trim("narration").alias("narration"), F.trim("reference").alias("reference"), parse_amount(F.col("balance")).alias("balance"),
-                       dr.alias("dr"), cr.alias("cr"), debit.alias("dr_text"), credit.alias("cr_text"), F.coalesce("two_sided", F.lit(False)).alias("two_sided"))
-    both = F.lower(F.trim(F.concat("dr_text", "cr_text")))
-    neither = F.col("dr").isNull() & F.col("cr").isNull()
-    loose = parse_amount(F.regexp_replace(both, "^[drc ]+|[drc ]+$", ""))
-    d = F.when(neither & F.contains(both, F.lit("dr")), loose).otherwise(F.when(F.col("cr").isNull(), F.abs("dr")).otherwise(F.col("dr")))
-    c = F.when(neither & ~F.contains(both, F.lit("dr")) & F.contains(both, F.lit("cr")), loose).otherwise(F.when(F.col("dr").isNull(), F.abs("cr")).otherwise(F.col("cr")))
-    rows = rows.withColumns({"only": neither, "d": d, "c": c})
-    plus = F.regexp_replace("dr_text", "[₹ ,]", "").startswith("+") & ~F.col("two_sided")
-    alone = lambda a, b: F.col(a).isNotNull() & F.col(b).isNull()
-    up = alone("d", "c") & (plus | F.lower(F.rtrim("dr_text")).rlike(r"cr\.?$"))
-    out = alone("c", "d") & F.lower(F.rtrim("cr_text")).rlike(r"dr\.?$")
-    return rows.select("file", "row", "header_row", "day", "narration", "reference", "balance", "only", F.when(up, None).when(out, F.col("c")).otherwise(F.col("d")).cast(_MONEY).alias("debit"), F.when(out, None).when(up, F.col("d")).otherwise(F.col("c")).cast(_MONEY).alias("credit"))
-
-
 def transactions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The transactions (file, row, header_row, date, narration, reference, debit, credit, balance) of ``typed`` rows, and (file, opening, closing).
 

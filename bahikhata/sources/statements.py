@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from bahikhata.functions.amounts import parse_amount
 from bahikhata.functions.dates import parse_date
 from bahikhata.functions.text import is_noise_row
+from bahikhata.operators.scans import scanned
+from bahikhata.operators.stages import kept
+from bahikhata.sources.cells import CLOSING_WORDS, OPENING_WORDS, holds, typed
 
 # Header words of the seven columns, in the order in which columns are chosen.
 HEADER_WORDS = {
@@ -53,15 +56,6 @@ HEADER_WORDS = {
 }
 
 
-def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_idx, cells) of ragged delimited files; a file is read whole, so its order is its own."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\\ufeff", "").alias("value"))
-    rows = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("row_idx", "line")).where("line <> ''")
-    fields = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    clean = F.transform(fields, lambda c: F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
-    return rows.select("file", "row_idx", clean.alias("cells"))
-
-
 def header_scores(cells: DataFrame) -> DataFrame:
     """(file, row_idx, pos, field, score) of header cells: equal 100, starts 60, ends 40, holds 20, is held 10."""
     words = [F.struct(F.lit(f).alias("field"), F.lit(w).alias("word")) for f, ws in HEADER_WORDS.items() for w in ws]
@@ -132,29 +126,56 @@ def files_without_rows(cells: DataFrame) -> DataFrame:
 
 
 def statement_rows(cells: DataFrame) -> DataFrame:
-    """Transactions of the files: typed columns, noise dropped, continuation lines joined to the row before.
+    """(file, row_idx, date, narration, reference, debit, credit, balance) of sheets of cells, in their order."""
+    return sheets(cells)[0]
+
 
-    A row with a date and an amount begins a transaction; a row with narration alone continues the last one (a running
-    count of beginnings groups them).
+def sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The transactions of ``statement_rows``, and (file, opening, closing).
+
+    A dated row with an amount is a transaction; an undated row with a narration and no amount goes on with the one before. The first row of a balance alone
+    that says closing is the closing balance, the first that says opening or nothing the opening one; where there is none, a row above the header that
+    names it is. Totals and headings are left out.
     """
-    at = cells.join(content_columns(cells), "file").where(F.col("row_idx") > F.col("header_row"))
-    of = lambda c: F.when(F.col(c) >= 0, F.coalesce(F.get("cells", F.col(c)), F.lit(""))).otherwise("")
-    both = parse_amount(F.regexp_replace(of("debitcredit"), r"^\+", ""))
-    rows = at.select("file", "row_idx", parse_date(of("date")).alias("date"), of("narration").alias("narration"), of("reference").alias("reference"), parse_amount(of("balance")).alias("balance"),
-                     F.coalesce(F.abs(parse_amount(of("debit"))), F.when(both < 0, -both)).alias("debit"), F.coalesce(F.abs(parse_amount(of("credit"))), F.when(both > 0, both)).alias("credit"))
-    rows = rows.where(~is_noise_row(F.col("narration"))).withColumn("begins", F.col("date").isNotNull() & F.coalesce("debit", "credit").isNotNull())
-    rows = rows.withColumn("txn", F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file").orderBy("row_idx"))).where("txn > 0 and (begins or (date is null and debit is null and credit is null))")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "narration"))), lambda x: x["narration"]), " ")
-    first = lambda c: F.min_by(c, "row_idx").alias(c)
-    return rows.groupBy("file", "txn").agg(F.min("row_idx").alias("row_idx"), first("date"), F.trim(lines).alias("narration"), first("reference"), first("debit"), first("credit"), first("balance")).drop("txn")
-
-
-def ledgers(spark: SparkSession, path: str) -> DataFrame:
-    """(name, group) of ledger lists with the columns Name and Under or Group."""
-    rows = spark.read.option("header", True).csv(path)
-    names = {c.strip().lower(): c for c in rows.columns}
-    group = names.get("under") or names.get("group")
-    return rows.select(F.trim(names["name"]).alias("name"), F.trim(group).alias("group") if group else F.lit("").alias("group")).where("name <> ''")
+    cells = kept(cells)
+    columns = kept(content_columns(cells))
+    at = cells.join(columns, "file")
+    of = lambda c: F.when(F.col(c) >= 0, F.coalesce(F.get("cells", F.col(c)), F.lit(""))).otherwise("").alias(c)
+    below = at.where(F.col("row_idx") > F.col("header_row"))
+    rows = kept(typed(below.select("file", F.col("row_idx").cast("long").alias("row"), "header_row", (F.col("credit") >= 0).alias("two_sided"), *[of(c) for c in HEADER_WORDS])))
+    text, low = F.col("narration"), F.lower("narration")
+    bare = F.col("only") & F.col("balance").isNotNull()
+    closing = bare & holds(low, CLOSING_WORDS)
+    # Rows that state a balance are few; one that could state both is the closing one, if none was before.
+    stating = rows.where(closing | (bare & ((text == "") | holds(low, OPENING_WORDS)))).select("file", "row", "balance", closing.alias("ends"), ((text == "") | holds(low, OPENING_WORDS)).alias("starts"))
+    end = stating.where("ends").groupBy("file").agg(F.min(F.struct("row", "balance")).alias("end"))
+    start = stating.where("starts").join(end, "file", "left").where("end is null or row <> end.row").groupBy("file").agg(F.min(F.struct("row", "balance")).alias("start"))
+    stated = end.join(start, "file", "full")
+    rows = rows.join(stated.select("file", F.col("end.row").alias("_end"), F.col("start.row").alias("_start")), "file", "left").where("not (row <=> _end) and not (row <=> _start)")
+    rows = rows.where(~is_noise_row(text)).withColumn("begins", F.col("day").isNotNull() & F.coalesce("debit", "credit").isNotNull())
+    rows = rows.where(F.col("begins") | (F.col("day").isNull() & F.col("only") & (text != "")))
+    rows = scanned(rows, ["file"], "row", sums={"txn": F.col("begins").cast("int")}).withColumn("txn", F.col("txn") + F.col("begins").cast("int")).where("txn > 0")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "narration"))), lambda x: x["narration"]), " ")
+    first = lambda c, name: F.min_by(c, "row").alias(name)
+    found = rows.groupBy("file", "txn").agg(F.min("row").alias("row_idx"), first("day", "date"), F.trim(lines).alias("narration"), *[first(c, c) for c in ("reference", "debit", "credit", "balance")]).drop("txn")
+    above = at.where(F.col("row_idx") < F.col("header_row")).select("file", "row_idx", F.lower(F.array_join("cells", " ")).alias("line"), F.filter(F.transform("cells", parse_amount), lambda a: a > 0).alias("amounts")).where("size(amounts) > 0")
+    named = lambda w: F.col("line").rlike(rf"\b{w}\s+bal")
+    head = above.where(named("opening") | named("closing")).groupBy("file").agg(*[F.min_by(F.element_at("amounts", i), F.when(named(w), F.col("row_idx"))).alias(w) for w, i in (("opening", 1), ("closing", -1))])
+    balances = stated.join(head, "file", "full").select("file", F.coalesce("start.balance", "opening").alias("opening"), F.coalesce("end.balance", "closing").alias("closing"))
+    return found, balances
+
+
+def ledgers(cells: DataFrame) -> DataFrame:
+    """(file, name, group) of ledger lists given as cells. Each file's first row names its own columns: Name, and Under or Group if there is one; a file without
+    a name column gives no rows."""
+    head = cells.groupBy("file").agg(F.min(F.struct("row_idx", "cells")).alias("h")).select("file", F.col("h.row_idx").alias("_at"), F.transform("h.cells", lambda c: F.lower(F.trim(c))).alias("_head"))
+    rows = cells.join(head, "file").where("row_idx > _at")
+
+    def cell(*names: str) -> Column:
+        places = [F.nullif(F.array_position("_head", n), F.lit(0)) for n in names]
+        place = F.coalesce(*places) if len(places) > 1 else places[0]
+        return F.trim(F.get("cells", (place - 1).cast("int")))
+    return rows.select("file", cell("name").alias("name"), F.coalesce(cell("under", "group"), F.lit("")).alias("group")).where("name <> ''")
 
 
 def rules_json(spark: SparkSession, path: str) -> DataFrame:
@@ -196,18 +217,3 @@ def assigned(items: DataFrame, bounds: DataFrame) -> DataFrame:
     """Items put into the field whose range of x holds them: a range join against a few fences a file, joined in order of x."""
     hit = items.join(bounds, "file").where((F.col("x") >= F.col("x_min")) & (F.col("x") < F.col("x_max")))
     return hit.groupBy("file", "page", "row", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("cell"))
-
-
-def ocr_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Date-led lines of recognised text: date, narration, amount, balance; the last amount is the balance."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("row_idx", "line"))
-    day = F.regexp_extract("line", r"^\s*([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4})\s", 1)
-    found = F.transform(F.regexp_extract_all("line", F.lit(r"([0-9][0-9,]*\.[0-9]{2})"), F.lit(1)), lambda a: F.replace(a, F.lit(","), F.lit("")).cast("decimal(18,2)"))
-    rows = rows.withColumn("date", parse_date(day)).withColumn("amounts", found).where("date is not null and size(amounts) >= 1")
-    narration = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*\S+\s+", ""), r"\s+[0-9][0-9,]*\.[0-9]{2}.*$", ""))
-    rows = rows.select("file", "row_idx", "date", narration.alias("narration"), F.when(F.size("amounts") > 1, F.get("amounts", F.lit(0))).alias("amount"), F.element_at("amounts", -1).alias("balance"))
-    before = F.lag("balance").over(Window.partitionBy("file").orderBy("row_idx"))
-    moved = F.col("balance") - before
-    near = lambda d: F.abs(d) <= F.col("amount") * F.lit("0.02").cast("decimal(3,2)")
-    return rows.withColumn("direction", F.when(near(moved - F.col("amount")), "credit").when(near(moved + F.col("amount")), "debit"))

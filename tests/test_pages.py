@@ -119,8 +119,8 @@ def test_pages_without_a_header(spark):
 def test_scans_equal_windows(spark):
     rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("at"), F.when(F.col("id") % 11 < 2, F.col("id")).alias("v")).repartition(5)
     before = Window.partitionBy("g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    want = rows.select("g", "at", F.coalesce(F.sum("v").over(before), F.lit(0)).alias("s"), F.last("v", True).over(before).alias("l"))
-    got = scanned(rows, ["g"], "at", sums={"s": F.col("v")}, lasts={"l": F.col("v")}, stretch=97).select("g", "at", "s", "l")
+    want = rows.select("g", "at", F.coalesce(F.sum("v").over(before), F.lit(0)).alias("s"), F.last("v", True).over(before).alias("l"), F.min("v").over(before).alias("m"))
+    got = scanned(rows, ["g"], "at", sums={"s": F.col("v")}, lasts={"l": F.col("v")}, mins={"m": F.col("v")}, stretch=97).select("g", "at", "s", "l", "m")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 

@@ -120,6 +120,6 @@ def test_lines_of_one_field(spark):
 
 def test_amounts_that_begin_like_a_channel_code(spark, tiny):
     """Orders 1007 and 11110: amounts of 11111 and more are amounts, with and without Cr; a channel code is left out."""
-    said = ["01/01/2024", "PAID", "111115.72", "11111-CentralData", "1008.25", "02/01/2024", "PAID", "78.05", "11111.25Cr", "03/01/2024", "11111", "1,11,118", "Page 1 of 2"]
+    said = ["01/01/2024", "PAID", "111115.72", "11111-CentralData", "1008.25", "02/01/2024", "PAID", "78.05", "11111.25Cr", "03/01/2024", "11111", "1,11,118.00", "Page 1 of 2"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(said)], "file string, row_idx int, line string")
     assert [[float(a) for a in r.amounts] for r in lines.rejoined(df).orderBy("row_idx").collect()] == [[111115.72, 1008.25], [78.05, 11111.25], [11111.0, 111118.0]]
