@@ -95,30 +95,37 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("a") != F.col("b")).where(chains[0]).where(chains[1]).where(F.bit_count(differ) <= LIMIT).select("a", "b").distinct()
 
 
-def to_least(classes: DataFrame) -> DataFrame:
-    """(a, b): links from each fingerprint to the least one under each of the keys it looks at; a fingerprint gives a bounded number of candidates.
+def matched(classes: DataFrame) -> DataFrame:
+    """(key, b, a, n): each fingerprint with each key that it looks at and that others stand under, the least of these, and how many stand there. Written."""
+    index, probe = _keys(classes)
+    met = probe.join(index.groupBy("key").agg(F.min("a").alias("a"), F.count("*").alias("n")), "key")
+    return written(met.where("n > 1 or a <> b").select("key", "b", "a", "n"), "simhash-matched", thin=True)[0]
+
+
+def to_least(met: DataFrame) -> DataFrame:
+    """(a, b): links from each fingerprint to the least one under each of its keys; a fingerprint gives a bounded number of candidates.
 
     A group of near copies, in which all are within reach of the least, comes out as a star and not as all its pairs.
     """
-    index, probe = _keys(classes)
-    return _linked(probe.join(index.groupBy("key").agg(F.min("a").alias("a")), "key"))
+    return _linked(met)
 
 
-def between(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def between(classes: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): the links between different components of ``roots`` (node, root) that ``to_least`` didn't show.
 
     Only keys of several fingerprints are left. Under each of them those of the component that has most don't look at each other; all others
     are held against all, from both sides.
     """
-    index, probe = _keys(classes)
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"))
-    crowded = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    stored, _ = written(index.join(crowded, "key").join(of, F.col("a") == F.col("_fp")).select("key", "a", F.col("_root").alias("root_a")), "simhash-crowded", thin=True)
+    crowded = met.where("n > 1")
+    named = roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    stored = _keys(classes)[0].join(crowded.select("key").distinct(), "key").join(named, F.col("a") == F.col("_fp"), "left")
+    stored, _ = written(stored.select("key", "a", F.coalesce("_root", "a").alias("root_a")), "simhash-crowded", thin=True)
     sizes = stored.groupBy("key", "root_a").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "root_a"))["root_a"].alias("most"), F.count("*").alias("roots"))
-    inside = F.col("_root") == F.col("most")
+    asked = crowded.select("key", "b").join(most, "key").join(named, F.col("b") == F.col("_fp"), "left").withColumn("root_b", F.coalesce("_root", "b"))
+    inside = F.col("root_b") == F.col("most")
     sides = F.when(inside, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    asked = probe.join(most, "key").join(of, F.col("b") == F.col("_fp")).where(~inside | (F.col("roots") > 1)).select("key", "b", F.col("_root").alias("root_b"), F.explode(sides).alias("side"))
+    asked = asked.where(~inside | (F.col("roots") > 1)).select("key", "b", "root_b", F.explode(sides).alias("side"))
     held = stored.join(most.select("key", "most"), "key").select("key", "a", "root_a", (F.col("root_a") != F.col("most")).cast("int").alias("side"))
     return _linked(asked.join(held, ["key", "side"]).where("root_a <> root_b").select("key", "a", "b"))
 
@@ -159,14 +166,16 @@ def components(pairs: DataFrame) -> DataFrame:
 def linked_roots(classes: DataFrame) -> DataFrame:
     """(node, root): the smallest fingerprint that can be reached by links of up to LIMIT bits, of the distinct fingerprints ``fp`` that have any."""
     classes, _ = written(classes, "simhash-distinct", thin=True)
-    first, _ = written(components(to_least(classes)), "simhash-stars", thin=True)
-    rest = between(classes, first)
+    met = matched(classes)
+    first, _ = written(components(to_least(met)), "simhash-stars", thin=True)
+    rest = between(classes, met, first)
     at = lambda c: first.select(F.col("node").alias(f"_n_{c}"), F.col("root").alias(f"_r_{c}"))
     joined = rest.join(at("a"), F.col("a") == F.col("_n_a"), "left").join(at("b"), F.col("b") == F.col("_n_b"), "left")
     second = components(joined.select(F.coalesce("_r_a", "a").alias("a"), F.coalesce("_r_b", "b").alias("b"))).select(F.col("node").alias("_from"), F.col("root").alias("_to"))
-    every = first.select("node", "root").unionByName(first.select(F.col("root").alias("node"), "root")).distinct()
-    moved = every.join(second, F.col("root") == F.col("_from"), "full")
-    return moved.select(F.coalesce("node", "_from").alias("node"), F.coalesce("_to", "root").alias("root")).where("node <> root")
+    second, _ = written(second, "simhash-joined", thin=True)
+    # The first links' members follow their root; roots and fingerprints without first links move themselves.
+    members = first.join(second, F.col("root") == F.col("_from"), "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return members.unionByName(second.select(F.col("_from").alias("node"), F.col("_to").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
