@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,19 +126,21 @@ def locked(status: Column, source: Column, confidence: Column) -> Column:
 def first_rule(txns: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
     """Adds ``rule``: of the client's and the global rules whose pattern the text holds, the first by priority and id.
 
-    Rules are a small dimension; they are gathered by client into one array, so the match is a scan of that
-    array in the row's own task. More than MOST_RULES global rules, or rules of one client, are an error, not a cut.
+    Rules are a small dimension; a client's are gathered and put in order once, those of all once for the whole query, so the match is a search of two
+    arrays in the row's own task. More than MOST_RULES global rules, or rules of one client, are an error, not a cut.
     """
     entry = F.struct((-F.col("priority")).alias("k"), "id", F.col("client_id").alias("of"), F.upper("pattern").alias("pattern"), F.col("vendor").alias("vendor"), F.col("account_head").alias("account_head"), F.col("txn_type").alias("txn_type"))
     live = rules.where(F.coalesce(F.col("pattern"), F.lit("")) != "")
-    by_client = live.groupBy(F.col("client_id").alias("_of")).agg(F.collect_list(entry).alias("_own"))
-    too_many = F.raise_error(F.concat(F.lit("too many rules of client "), F.col("_of").cast("string"))).cast(by_client.schema["_own"].dataType)
-    by_client = by_client.withColumn("_own", F.when(F.size("_own") > MOST_RULES, too_many).otherwise(F.col("_own")))
-    everyone = by_client.where("_of = 0").select(F.lit(True).alias("_all"), F.col("_own").alias("_global"))
-    empty = F.array().cast(by_client.schema["_own"].dataType)
-    rows = txns.join(by_client.where("_of <> 0"), F.col("client_id") == F.col("_of"), "left").withColumn("_any", F.lit(True)).join(everyone, F.col("_any") == F.col("_all"), "left")
-    found = F.filter(F.array_sort(F.concat(F.coalesce("_own", empty), F.coalesce("_global", empty))), lambda r: F.contains(text, r["pattern"]))
-    return rows.withColumn("rule", F.get(found, F.lit(0))).drop("_own", "_of", "_any", "_all", "_global")
+
+    def in_order(grouped: GroupedData, whose: Column) -> DataFrame:
+        found = grouped.agg(F.collect_list(entry).alias("_rules"))
+        too_many = F.raise_error(F.concat(F.lit("too many rules of client "), whose)).cast(found.schema["_rules"].dataType)
+        return found.withColumn("_rules", F.when(F.size("_rules") > MOST_RULES, too_many).otherwise(F.array_sort("_rules")))
+    own = in_order(live.where("client_id <> 0").groupBy(F.col("client_id").alias("_of")), F.col("_of").cast("string")).withColumnRenamed("_rules", "_own")
+    everyone = in_order(live.where("client_id = 0").groupBy(), F.lit("0")).select("_rules").scalar()
+    rows = txns.join(own, F.col("client_id") == F.col("_of"), "left").withColumn("_everyone", everyone)
+    first = lambda found: F.get(F.filter(found, lambda r: F.contains(text, r["pattern"])), F.lit(0))
+    return rows.withColumn("rule", F.least(first(F.col("_own")), first(F.col("_everyone")))).drop("_own", "_of", "_everyone")
 
 
 def classified(txns: DataFrame, rules: DataFrame, bank_ledger: str = "Bank A/c") -> DataFrame:

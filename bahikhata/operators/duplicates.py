@@ -54,3 +54,12 @@ def like_narrations(txns: DataFrame) -> DataFrame:
     judged = bucket.groupBy("account", "date", "amount", "out").agg(order.alias("_rows")).where("size(_rows) > 1")
     found = judged.select(F.explode(F.aggregate("_rows", start, judge)["out"]).alias("ord")).unionByName(again).select(F.col("ord").alias("_o"))
     return rows.join(found, F.col("ord") == F.col("_o"), "left").withColumn("dup_like", F.col("_o").isNotNull()).drop("_o")
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """dup_flag and the tag DUP, once, for rows that any pass has flagged."""
+    hit = F.lit(False)
+    for c in ("dup_hash", "dup_ref", "dup_like"):
+        hit = hit | F.col(c) if c in rows.columns else hit
+    tags = F.when(hit & ~F.array_contains("tags", "DUP"), F.array_append("tags", "DUP")).otherwise(F.col("tags"))
+    return rows.withColumns({"dup_flag": F.col("dup_flag") | hit, "tags": tags})

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from bahikhata.operators.filters import export_voucher, posting_ledger
 
 
-def numbered(txns: DataFrame, prefix: str) -> DataFrame:
+def numbered(txns: DataFrame, prefix: str, source: DataFrame | None = None) -> DataFrame:
     """Adds journal_no, counted within each client in statement order.
 
-    Counted by stretches of ord and added up, so a client of any size spreads over many tasks.
+    Counted by stretches of ord and added up, so a client of any size spreads over many tasks. The counts are made on ``source``, which has
+    the same rows of (client_id, ord) and may be cheaper to read than ``txns``.
     """
     rows = txns.withColumn("_part", F.floor(F.col("ord") / 100_000))
-    sums = rows.groupBy("client_id", "_part").agg(F.count("*").alias("_rows"))
+    sums = (txns if source is None else source).withColumn("_part", F.floor(F.col("ord") / 100_000)).groupBy("client_id", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("client_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("client_id", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     n = F.col("_base") + F.row_number().over(Window.partitionBy("client_id", "_part").orderBy("ord"))
     return rows.join(sums, ["client_id", "_part"]).withColumn("journal_no", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0"))).drop("_part", "_base")
 
 
-def journal_legs(txns: DataFrame, bank_ledger: str, prefix: str = "BSP-") -> DataFrame:
+def journal_legs(txns: DataFrame, bank_ledger: str, prefix: str = "BSP-", source: DataFrame | None = None) -> DataFrame:
     """Two legs a transaction: a receipt debits the bank, anything else credits it."""
-    rows = numbered(txns, prefix).withColumn("amount", F.coalesce("debit", "credit", F.lit(0)).cast("double")).withColumn("receipt", export_voucher(tally=False) == "Receipt")
+    rows = numbered(txns, prefix, source).withColumn("amount", F.coalesce("debit", "credit", F.lit(0)).cast("double")).withColumn("receipt", export_voucher(tally=False) == "Receipt")
 
     def leg(no: int, ledger: Column, kind: str, debit: Column) -> Column:
         return F.struct(F.lit(no).cast("long").alias("leg"), ledger.alias("ledger"), F.lit(kind).alias("account_type"), F.when(debit, F.col("amount")).otherwise(0.0).alias("dr"), F.when(debit, 0.0).otherwise(F.col("amount")).alias("cr"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bahikhata.operators.ledger_words import keyword_rows
+from bahikhata.operators.ledger_words import LADDER, keyword_rows
 
 
 def best_group(head: Column) -> Column:
@@ -18,10 +20,34 @@ def best_group(head: Column) -> Column:
     return F.when(top["score"] > 0, top["group"])
 
 
-def with_group(txns: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Adds ``ledger_group``. Heads are matched once each; ``overrides`` (head, group) come first."""
-    heads = txns.select("account_head").distinct().select(F.col("account_head").alias("_head"), best_group(F.col("account_head")).alias("_group"))
-    rows = txns.join(heads, F.col("account_head").eqNullSafe(F.col("_head")), "left")
+@cache
+def ladder_groups() -> dict[str, str]:
+    """The groups of the keyword ladder's heads, by the rule of ``best_group``; heads that meet no word are left out."""
+    out = {}
+    for head in {v[0] for v in LADDER} | {"Sundry Debtors", "Sundry Creditors"}:
+        totals: dict[tuple[int, str], int] = {}
+        for word, weight, group, order in keyword_rows():
+            totals[order, group] = totals.get((order, group), 0) + (weight if word in head.lower().strip() else 0)
+        (order, group), score = max(totals.items(), key=lambda x: (x[1], -x[0][0]))
+        if score > 0:
+            out[head] = group
+    return out
+
+
+def with_group(txns: DataFrame, overrides: DataFrame | None = None, from_ladder: bool = False) -> DataFrame:
+    """Adds ``ledger_group``; ``overrides`` (head, group) come first. Heads are matched once each.
+
+    ``from_ladder`` says that all heads are the keyword ladder's, those of a rail without a party, or empty: then their groups are a lookup and the rows are read once. Another head
+    is an error.
+    """
+    if from_ladder:
+        at = F.col("account_head")
+        known = F.create_map(*[F.lit(x) for pair in sorted(ladder_groups().items()) for x in pair])
+        named = sorted({v[0] for v in LADDER} | {"Sundry Debtors", "Sundry Creditors", ""})
+        rows = txns.withColumn("_group", F.when(at.isin(*named), F.try_element_at(known, at)).when(at.isNotNull(), F.raise_error(F.concat(F.lit("not a head of the ladder: "), at))))
+    else:
+        heads = txns.select("account_head").distinct().select(F.col("account_head").alias("_head"), best_group(F.col("account_head")).alias("_group"))
+        rows = txns.join(heads, F.col("account_head").eqNullSafe(F.col("_head")), "left")
     given = F.lit(None).cast("string")
     if overrides is not None:
         rows = rows.join(overrides.select(F.lower("head").alias("_o"), F.col("group").alias("_given")), F.lower(F.trim("account_head")) == F.col("_o"), "left")

@@ -86,6 +86,12 @@ def report(bank: DataFrame, vouchers: DataFrame, cfg: ReconConfig = ReconConfig(
             .unionByName(lone_v.select(none.alias("b"), "v", F.lit(0.0).alias("score"), F.lit("MISSING-IN-BANK").alias("status"))))
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """One row of how many of report()'s rows are in each state."""
+    names = {"matched": "Matched", "likely": "Likely", "possible": "Possible", "unmatched_bank": "UNMATCHED-BANK", "unmatched_vouchers": "MISSING-IN-BANK"}
+    return rows.agg(*[F.count_if(F.col("status") == v).alias(k) for k, v in names.items()])
+
+
 def report_lines(rows: DataFrame) -> DataFrame:
     """report() as quoted CSV lines, score in whole percent."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))

@@ -31,6 +31,26 @@ def new_by_hash(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known, ["client_id", "hash"], "left_anti")
 
 
+def batch_merged(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the rows of a batch of files (client_id, file_ord, hash, is_opening_balance, ...) those whose hash neither ``known`` (client_id, hash) nor an earlier file has.
+
+    Rows of one file that are alike all stay, and so do opening rows, whose hashes count for later files.
+    """
+    first = rows.groupBy("client_id", "hash").agg(F.min("file_ord").alias("_first"))
+    first = first.join(known.select("client_id", "hash", F.lit(True).alias("_known")).distinct(), ["client_id", "hash"], "left")
+    new = (F.col("file_ord") == F.col("_first")) & F.col("_known").isNull()
+    return rows.join(first, ["client_id", "hash"]).where(F.col("is_opening_balance") | new).drop("_first", "_known")
+
+
+def batch_results(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """(client_id, file_ord, found, kept, skipped, bank_name): what became of each file; opening rows don't count, and every row's bank is its client's first file's."""
+    real = lambda df: df.where(~F.col("is_opening_balance")).groupBy("client_id", "file_ord")
+    kept = real(merged).agg(F.count("*").alias("kept"))
+    bank = rows.groupBy("client_id").agg(F.min_by("bank_name", F.when(F.col("bank_name") != "", F.struct("file_ord", "ord"))).alias("bank_name"))
+    each = real(rows).agg(F.count("*").alias("found")).join(kept, ["client_id", "file_ord"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return each.join(bank, "client_id").select("client_id", "file_ord", "found", "kept", (F.col("found") - F.col("kept")).alias("skipped"), "bank_name")
+
+
 def rules_once(rules: DataFrame) -> DataFrame:
     """Of a client's rules with one pattern (case apart) the one with the smallest id."""
     first = rules.groupBy("client_id", F.upper("pattern").alias("_p")).agg(F.min("id").alias("id"))

@@ -48,7 +48,7 @@ def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.with_group(worded(spark, sf_dir))
+    return groups.with_group(worded(spark, sf_dir), from_ladder=True)
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS credits, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS debits FROM orders GROUP BY 1")
@@ -440,7 +440,7 @@ def recon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT client_id, ord, date, journal_no, CAST(1 AS BIGINT) AS leg, 'Bank A/c' AS ledger, 'Bank' AS account_type, CASE WHEN rc THEN amount ELSE 0 END AS dr, CASE WHEN rc THEN 0 ELSE amount END AS cr FROM x UNION ALL SELECT client_id, ord, date, journal_no, 2, post, 'Expense', CASE WHEN rc THEN 0 ELSE amount END, CASE WHEN rc THEN amount ELSE 0 END FROM x""")
 def journal_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7, K8, K9"""
-    return export.journal_legs(worded(spark, sf_dir), BANK)
+    return export.journal_legs(worded(spark, sf_dir), BANK, source=raw(spark, sf_dir))
 
 
 @query(f"""{TXN}, x AS (SELECT *, 'Unknown' AS txn_type FROM txn), y AS (SELECT *, {_TALLY} AS voucher, 'Unclassified' AS post FROM x)
