@@ -115,7 +115,7 @@ def with_offsets(df: DataFrame, group: list[str], order: str, size: str, out: st
     those before it. One row per group and range is all that the second window sees.
     """
     cut = F.floor(F.col(order).cast("double") / F.lit(2.0 ** 64 / buckets) + buckets / 2).cast("int")
-    return _summed(df.withColumn("_range", F.greatest(F.lit(0), F.least(cut, F.lit(buckets - 1)))), group, order, size, out)
+    return running(df.withColumn("_range", F.greatest(F.lit(0), F.least(cut, F.lit(buckets - 1)))), group, order, size, out)
 
 
 def with_numbers(df: DataFrame, group: list[str], out: str) -> DataFrame:
@@ -124,10 +124,11 @@ def with_numbers(df: DataFrame, group: list[str], out: str) -> DataFrame:
     ``_row`` is a stored monotonically_increasing_id; each partition that it names is numbered by itself, so a group of any size
     is spread as the rows are.
     """
-    return _summed(df.withColumn("_range", F.shiftright("_row", 33).cast("int")).withColumn("_one", F.lit(1)), group, "_row", "_one", out).drop("_one")
+    return running(df.withColumn("_range", F.shiftright("_row", 33).cast("int")).withColumn("_one", F.lit(1)), group, "_row", "_one", out).drop("_one")
 
 
-def _summed(df: DataFrame, group: list[str], order: str, size: str, out: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str, size: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``size`` over the rows of ``group`` before this one by ``order``; ``_range`` (dropped) rises with it and says what is summed together."""
     totals = df.groupBy(*group, "_range").agg(F.sum(size).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),

@@ -496,12 +496,29 @@ def test_repeated_ids_and_alike_rows_in_the_mix(spark):
     assert take(docs) == take(docs.repartition(5))
 
 
-def test_mixing_odd_rows(odd, none, monkeypatch):
+def test_mixing_odd_rows(odd, none):
     assert mixing.repeated(odd).columns == odd.columns
     assert mixing.digest(none).count() == 0 and mixing.repeated(none).count() == 0
-    monkeypatch.setattr(mixing, "MANY", 2)
-    with pytest.raises(ValueError):
-        mixing.digest(odd)
+    assert {(r.size, r.target, r.taken) for r in mixing.digest(odd.where("doc_id in (3, 4, 5)")).collect()} == {(0, 0.0, 0)}
+
+
+def test_mixing_of_many_sources(spark):
+    """Thirty thousand sources, most of them capped, against the exact rule."""
+    rng = np.random.default_rng(2)
+    n = 30_000
+    rows = [(i, "w " * int(rng.integers(0, 4) if i % 7 else rng.integers(20, 60)), None if i == 5 else f"s{i * 7919 % n:05d}é{i % 3}") for i in range(n)] + [(n + i, "x y z " * 40, "s00000é0") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mixed(docs).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.source] += r.size
+    want = mixing.targets(dict(sizes))
+    capped = sum(want[s] == 3 * sizes[s] for s in want)
+    assert len(out) == len(rows) and len(want) > 29_000 and 100 < capped < len(want) - 100
+    for r in out:
+        goal, whole = int(want[r.source]), sizes[r.source]
+        times = 0 if not whole else goal // whole * r.size + max(0, min(r.from_word + r.size, goal % whole) - r.from_word)
+        assert (r.taken, r.target) == (times, float(want[r.source]))
 
 
 # Classifier
