@@ -91,9 +91,9 @@ def with_party(txns: DataFrame, text: Column, out: str = "party") -> DataFrame:
 def with_keyword(rows: DataFrame, upper: Column, party: Column, is_credit: Column, bank_ledger: str) -> DataFrame:
     """Adds ``_rung``, the first rung of the ladder that the text meets (null if none), and ``_kw``, its struct(vendor, head, txn_type)."""
     rail = len(LADDER)
-    rungs = [(contains_any(upper, words.split("|")), F.lit(i)) for i, (*_, words, _) in enumerate(LADDER)]
+    rungs = [(contains_any(upper, words), F.lit(i)) for i, (*_, words, _) in enumerate(LADDER)]
     # An array of one, taken apart: the optimizer doesn't copy the ladder into what uses its answer.
-    rows = rows.withColumn("_rung", F.explode(F.array(first_case([*rungs, (contains_any(upper, RAILS.split("|")), F.lit(rail))]))))
+    rows = rows.withColumn("_rung", F.explode(F.array(first_case([*rungs, (contains_any(upper, RAILS), F.lit(rail))]))))
     at = F.col("_rung")
     of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
     special = first_case([((at == i) & F.contains(upper, F.lit(w)), F.lit(v)) for i, (*_, vendors) in enumerate(LADDER) for w, v in vendors])

@@ -17,7 +17,7 @@ def analysed(txns: DataFrame) -> DataFrame:
     rows = txns.withColumn("_text", F.concat_ws(" ", "narration", "reference", "vendor"))
     text, upper = F.col("_text"), F.upper("_text")
     said = first_case([(text.rlike(rf"(?i)\b{rate}\s*%?\s*(gst|tax)\b|gst\s*@?\s*{rate}\b"), F.lit(float(rate))) for rate in GST_RATES])
-    which = first_case([(contains_any(upper, words.split("|")), F.lit(i)) for i, (_, _, _, words) in enumerate(GST_VENDORS)])
+    which = first_case([(contains_any(upper, words), F.lit(i)) for i, (_, _, _, words) in enumerate(GST_VENDORS)])
     rows = rows.withColumns({
         "_said": said, "_which": which, "_gstins": F.array_distinct(F.regexp_extract_all(text, F.lit(GSTIN), F.lit(0))),
         "_component": F.when(text.rlike(r"(?i)\bIGST\b"), "IGST").when(text.rlike(r"(?i)\bCGST\b|\bSGST\b|\bUTGST\b"), "CGST+SGST"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bahikhata.functions import amounts, dates, recognised, text
@@ -205,20 +205,26 @@ AMOUNTS = (("1,23,456.78", 123456.78), ("₹ 500", 500.0), ("Rs. 1,000.5", 1000.
            ("12.345", None), ("5000*", 5000.0), ("77ab", 77.0), ("", None), ("abc", None), ("+12", 12.0), ("3,00,00,00,000.00", None), ("-45.10", -45.1))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql.text(a)}, CAST({'NULL' if b is None else b} AS DOUBLE))" for a, b in AMOUNTS) + ") v(raw, amount)")
+def _case(cases: tuple, n: Column) -> Column:
+    return F.get(F.array(*[F.lit(a) for a, _ in cases]), (n % len(cases)).cast("int"))
+
+
+@query("WITH v(i, raw, amount) AS (VALUES " + ", ".join(f"({i}, {sql.text(a)}, CAST({'NULL' if b is None else b} AS DOUBLE))" for i, (a, b) in enumerate(AMOUNTS)) + f") SELECT p_partkey, raw, amount FROM part JOIN v ON p_partkey % {len(AMOUNTS)} = i")
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N1 on the known cases."""
-    return spark.createDataFrame([(a,) for a, _ in AMOUNTS], "raw string").select("raw", amounts.parse_amount(F.col("raw")).cast("double").alias("amount"))
+    """Parts, each with one of the known cases"""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _case(AMOUNTS, F.col("p_partkey")).alias("raw"))
+    return rows.withColumn("amount", amounts.parse_amount(F.col("raw")).cast("double"))
 
 
 DATES = (("05/01/2024", "2024-01-05"), ("5-1-24", "2024-01-05"), ("05 Jan 2024", "2024-01-05"), ("05JAN2024", "2024-01-05"), ("2024-01-05", "2024-01-05"), ("20240105", "2024-01-05"), ("31/02/2024", None), ("05/01/1999", None), ("O5/O1/2O24", "2024-01-05"),
          ("05/01/2024 10:30:00", "2024-01-05"), ("", None), ("soon", None), ("29/02/2024", "2024-02-29"), ("29/02/2023", None), ("1 December 2023", "2023-12-01"), ("2100-01-01", None))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql.text(a)}, CAST({'NULL' if b is None else sql.text(b)} AS DATE))" for a, b in DATES) + ") v(raw, date)")
+@query("WITH v(i, raw, date) AS (VALUES " + ", ".join(f"({i}, {sql.text(a)}, CAST({'NULL' if b is None else sql.text(b)} AS DATE))" for i, (a, b) in enumerate(DATES)) + f") SELECT p_partkey, raw, date FROM part JOIN v ON p_partkey % {len(DATES)} = i")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 on the known cases."""
-    return spark.createDataFrame([(a,) for a, _ in DATES], "raw string").select("raw", dates.parse_date(F.col("raw")).alias("date"))
+    """Parts, each with one of the known cases"""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _case(DATES, F.col("p_partkey")).alias("raw"))
+    return rows.withColumn("date", dates.parse_date(F.col("raw")))
 
 
 @query("""WITH m AS (SELECT o_orderkey, CAST(o_totalprice * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS DECIMAL(18,2)) AS a, split_part(CAST(abs(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR), '.', 1) AS r, split_part(CAST(abs(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR), '.', 2) AS p FROM orders)
