@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bahikhata.operators.scans import scanned
+
 # Price in minor units and days of each plan (None: no end).
 PLANS = {"trial": (0, 14), "monthly": (49_900, 30), "yearly": (399_900, 365), "lifetime": (999_900, None)}
 LOGIN_PER_MINUTE, DEVICE_PER_MINUTE = 5, 30
@@ -96,9 +98,13 @@ def limited(requests: DataFrame, key: str, at: str, order: str, per_minute: int)
     ``at`` is in seconds (double); ties go by ``order``. A minute of silence refills a key, so stretches between silences are independent and
     spread over tasks; a task reads its rows in order and keeps one number.
     """
-    by_key = Window.partitionBy(key).orderBy(at, order)
-    new = F.coalesce((F.col(at) - F.lag(at).over(by_key) >= 60).cast("int"), F.lit(1))
-    rows = requests.withColumn("_new", new).withColumn("_session", F.concat_ws(":", F.col(key).cast("string"), F.sum("_new").over(by_key).cast("string"))).drop("_new")
+    # A silence lies between two minutes that have requests, so minutes are all that is looked at in the order of time.
+    rows = requests.withColumns({"_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_minute": F.floor(F.col(at) / 60)})
+    minutes = rows.groupBy("_key", "_minute").agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    minutes = scanned(minutes, ["_key"], "_minute", lasts={"_before": F.col("_to")}).withColumn("_new", F.coalesce((F.col("_from") - F.col("_before") >= 60).cast("int"), F.lit(1)))
+    minutes = scanned(minutes, ["_key"], "_minute", sums={"_sessions": F.col("_new")})
+    session = F.concat_ws(":", "_key", (F.col("_sessions") + F.col("_new")).cast("string"))
+    rows = rows.join(minutes.select("_key", "_minute", session.alias("_session")), ["_key", "_minute"]).select(*requests.columns, "_session")
     schema = T.StructType([*[f for f in requests.schema.fields], T.StructField("allowed", T.BooleanType())])
     sorted_ = rows.repartition("_session").sortWithinPartitions("_session", at, order)
     return sorted_.mapInPandas(_limited(key, at, order, per_minute, 60 / per_minute), schema)

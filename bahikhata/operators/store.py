@@ -65,7 +65,10 @@ def latest_edits(table: DataFrame, edits: DataFrame, key: str, order: str) -> Da
 
 
 def publish(rows: DataFrame, path: str, partition: str = "client_id") -> None:
-    """Writes beside ``path`` and swaps the folders when the write is whole; one writer at a time."""
+    """Writes beside ``path`` and swaps the folders when the write is whole; one writer at a time, and between the two renames a reader finds no table.
+
+    ``catalog.commit`` has no such moment, and changes several tables together.
+    """
     spark: SparkSession = rows.sparkSession
     jvm = spark.sparkContext._jvm
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"

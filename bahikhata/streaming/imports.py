@@ -22,12 +22,10 @@ def import_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
     def put(batch: DataFrame, number: int) -> None:
         new = hashed(batch).dropDuplicates(["client_id", "hash"])
-        try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             known = spark.read.parquet(table).where(F.col("batch") != number).select("client_id", "hash")
             new = new.join(known, ["client_id", "hash"], "left_anti")
-        except Exception as missing:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
