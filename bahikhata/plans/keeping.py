@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bahikhata.operators import catalog, edits, journal, legacy, payments
 from bahikhata.operators.stages import fresh_path
 from bahikhata.plans.queries import money, query, table
+from bahikhata.plans.stores import RATE
 from bahikhata.streaming import limits
 
 
@@ -99,9 +100,9 @@ def rules_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.rule_documents(rules)
 
 
-@query()
+@query(RATE)
 def rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3 as a stream in three batches; tested against the batch rule"""
+    """P3 as a stream in three batches"""
     root = fresh_path(spark, "rate")
     at = (F.unix_timestamp(F.col("ts").cast("timestamp")) / 1800).cast("double")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", at.alias("at")).withColumn("time", F.timestamp_seconds("at"))

@@ -336,9 +336,13 @@ def dup_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.flagged(coarse(spark, sf_dir)).select("ord", "dup_hash", "dup_ref")
 
 
-@query()
+@query(f"""{_COARSE.replace('WITH ', 'WITH RECURSIVE ', 1)}, w AS (SELECT ord, account, date, coalesce(debit, credit) AS amount, debit IS NOT NULL AS out, list_distinct(list_filter(regexp_split_to_array(upper(narration), '[^A-Z0-9]+'), lambda t: strlen(t) >= 4)) AS w FROM d3 WHERE NOT dup_hash AND NOT dup_ref AND status <> 'Manual' AND coalesce(debit, credit) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY account, date, amount, out ORDER BY ord) AS k FROM w),
+c AS (SELECT account, date, amount, out, k, ord, false AS dup_like, [w] AS held FROM o WHERE k = 1 UNION ALL SELECT account, date, amount, out, k, ord, hit, CASE WHEN hit THEN held ELSE list_append(held, w) END
+ FROM (SELECT o.*, c.held, len(list_filter(c.held, lambda h: len(h) > 0 AND len(o.w) > 0 AND len(list_intersect(h, o.w)) / greatest(len(h), len(o.w), 1) >= 0.5)) > 0 AS hit FROM c JOIN o ON o.account = c.account AND o.date = c.date AND o.amount = c.amount AND o.out = c.out AND o.k = c.k + 1))
+SELECT d3.ord, dup_hash, dup_ref, coalesce(c.dup_like, false) AS dup_like FROM d3 LEFT JOIN c USING (ord)""")
 def dup_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential, so tested against a loop."""
+    """A row is held against the earlier ones of its bucket that aren't like one themselves"""
     return duplicates.like_narrations(coarse(spark, sf_dir)).select("ord", "dup_hash", "dup_ref", "dup_like")
 
 
@@ -553,9 +557,11 @@ def parts_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select((key % 50).cast("string").alias("file"), (F.floor(key / 5000) + 1).alias("page"), F.col("p_name").alias("text"), (key * 37 % 500).cast("double").alias("x"), (key * 7 % 300).cast("double").alias("y"), F.lit(10.0).alias("w"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS file, p_partkey // 5000 + 1 AS page, p_name AS text, CAST(p_partkey * 37 % 500 AS DOUBLE) AS x, CAST(p_partkey * 7 % 300 AS DOUBLE) AS y FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY file, page ORDER BY y, x, text) AS k FROM i),
+c AS (SELECT file, page, k, y AS anchor, 0 AS row FROM o WHERE k = 1 UNION ALL SELECT o.file, o.page, o.k, CASE WHEN o.y - c.anchor > 5 THEN o.y ELSE c.anchor END, c.row + CASE WHEN o.y - c.anchor > 5 THEN 1 ELSE 0 END FROM c JOIN o ON o.file = c.file AND o.page = c.page AND o.k = c.k + 1)
+SELECT file, page, row, count(*) AS n, string_agg(text, ' ' ORDER BY x, text) AS text FROM c JOIN o USING (file, page, k) GROUP BY file, page, row""")
 def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are anchored at their first item, so a fold; tested on known items."""
+    """Rows are anchored at their first item"""
     return statements.clustered(parts_as_items(spark, sf_dir)).select("file", "page", "row", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["text"]), " ").alias("text"))
 
 
