@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bahikhata.operators import export, groups, layouts
+from bahikhata.operators import groups, layouts
 from bahikhata.plans import sql
 from bahikhata.plans.queries import BANK, query, worded
 from bahikhata.sources import workbooks
