@@ -171,3 +171,13 @@ def test_date_buckets_lose_no_pair(spark):
     near = lambda x, y: (x == y == 0) or (x > 0 and y > 0 and round(abs(x - y) * 100) * 100 <= round(max(x, y) * 100))
     want = {(x[0], y[0]) for x in bank for y in vouchers if abs((x[1] - y[1]).days) <= 6 and near(x[2], y[2])}
     assert {(r.b, r.v) for r in recon.candidates(b, v).collect()} == want
+
+
+def test_recon_candidates_are_shuffled_and_not_broadcast(spark):
+    """Spark's estimates don't see the buckets that a row stands in, so a side that looks small may be too large for the driver."""
+    bank = spark.range(30).selectExpr("1L AS account", "id AS b", "date'2024-01-01' AS date", "CAST(id + 1 AS decimal(18,2)) AS amount", "'RENT' AS narration", "'' AS reference")
+    vouchers = bank.selectExpr("account", "b AS v", "date", "amount", "narration", "'' AS voucher_no")
+    pairs = recon.candidates(bank, vouchers)
+    assert pairs.where("b = v").count() == 30
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
