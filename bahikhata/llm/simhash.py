@@ -98,7 +98,8 @@ def _linked(pairs: DataFrame) -> DataFrame:
 def matched(classes: DataFrame) -> DataFrame:
     """(key, b, a, n): each fingerprint with each key that it looks at and that others stand under, the least of these, and how many stand there. Written."""
     index, probe = _keys(classes)
-    met = probe.join(index.groupBy("key").agg(F.min("a").alias("a"), F.count("*").alias("n")), "key")
+    # Spark's estimates don't see the exploded keys: unhinted, it would broadcast the keys of a table that is small itself, through the driver.
+    met = probe.join(index.groupBy("key").agg(F.min("a").alias("a"), F.count("*").alias("n")).hint("merge"), "key")
     return written(met.where("n > 1 or a <> b").select("key", "b", "a", "n"), "simhash-matched", thin=True)[0]
 
 
@@ -118,7 +119,7 @@ def between(classes: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
     """
     crowded = met.where("n > 1")
     named = roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    stored = _keys(classes)[0].join(crowded.select("key").distinct(), "key").join(named, F.col("a") == F.col("_fp"), "left")
+    stored = _keys(classes)[0].join(crowded.select("key").distinct(), "key", "left_semi").join(named, F.col("a") == F.col("_fp"), "left")
     stored, _ = written(stored.select("key", "a", F.coalesce("_root", "a").alias("root_a")), "simhash-crowded", thin=True)
     sizes = stored.groupBy("key", "root_a").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "root_a"))["root_a"].alias("most"), F.count("*").alias("roots"))
@@ -133,33 +134,30 @@ def between(classes: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that can be reached, by alternating large-star and small-star steps.
 
-    Each step is two shuffles on the remaining links and ends in a checkpoint, so a lost executor costs one
-    step; rounds grow with the logarithm of the longest path.
+    Each step is two shuffles at most on the remaining links and ends in a checkpoint, so a lost executor costs one
+    step, and no plan holds a step twice: the driver's threads and plans grow with the exchanges planned. Rounds grow with
+    the logarithm of the longest path.
     """
     shared_dir(pairs.sparkSession)
     parts = 4 * pairs.sparkSession.sparkContext.defaultParallelism
 
     def star(edges: DataFrame, small: bool) -> DataFrame:
-        both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u")
+        both = edges if small else edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        out = both.join(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
         if small:
-            moved = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(out.select("u", F.col("m").alias("v")))
-        else:
-            moved = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.where(F.col("u") != F.col("v")).distinct()
+            moved = out.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        else:  # of the two directions of a link one stays at most, so rows don't grow; repeats go in the small star
+            moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return moved.coalesce(parts).checkpoint()
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(edges: DataFrame) -> bool:
+        """Whether each node has one smaller neighbour, that has none itself: another round would change nothing."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("of")).where("ups > 1 or ups = 1 and of > 1").isEmpty()
 
     edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(parts).checkpoint()
-    seen = mark(edges)
-    while seen[0]:
-        edges = star(star(edges, small=False), small=True).coalesce(parts).checkpoint()
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
+    while not stars(edges):
+        edges = star(star(edges, small=False), small=True)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -121,6 +121,30 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.root for r in simhash.components(pairs).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """A fingerprint looks at 69 keys, which Spark's estimate of the table doesn't see: broadcast, the driver would hold them all."""
+    classes = spark.range(40).select(F.col("id").alias("fp"))
+    index, probe = simhash._keys(classes)
+    assert probe.count() == 40 * 69
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    met = simhash.matched(classes)
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(before, done.size())]
+    assert met.count() > 0 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_components_run_few_jobs(spark):
+    """The driver's memory grows with plans and their threads: each step is planned once, and stars need no round."""
+    def jobs(group, pairs):
+        spark.sparkContext.setJobGroup(group, group)
+        simhash.components(spark.createDataFrame(pairs, "a long, b long"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert jobs("stars", [(7, i) for i in range(8, 30)]) <= 6
+    assert jobs("chain", [(i, i + 1) for i in range(4)]) <= 30
+
+
 # Pages
 
 PAGE = "<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><a href=/x>Menu</a></nav>{}<footer>&copy; end</footer></body></html>"
