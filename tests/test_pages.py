@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bahikhata.operators import repairs
+from bahikhata.operators import repairs, stages
 from bahikhata.operators.scans import scanned
 from bahikhata.sources import fixed, pages
 
@@ -172,3 +172,15 @@ def test_fixed_width_by_hand(spark):
     assert got == [("a", "SALARY", "", None, 500.0, 1500.0), ("a", "ATM WDL", "", 200.0, None, 1300.0), ("a", "MISPLACED", "", 100.0, None, 1200.0), ("a", "CHQ", "12", 300.0, None, 900.0),
                    ("b", "UPI-CR/123456789/X", "123456789", None, 5.0, 105.0), ("b", "PAID 123456789012.55", "", 7.5, None, 97.5), ("b", "SOMETHING", "", None, 2.5, 100.0)]
     assert [(r.file, money(r.opening), money(r.closing)) for r in stated.collect()] == [("a", 1000.0, 900.0)]
+
+
+def test_a_misread_balance_at_a_stretchs_end_runs_no_wave(spark, monkeypatch):
+    """Behind it a stretch is wrong from its start to its end; the stretches behind that must not run again one by one."""
+    runs = []
+    monkeypatch.setattr(repairs, "kept", lambda df: runs.append(1) or df.checkpoint())
+    stages.shared_dir(spark)
+    seen = [("a", i, None, "10.00", f"{1000 + 10 * (i + 1) + (600_000 if i == 9 else 0)}.00") for i in range(140)]
+    df = spark.createDataFrame(seen, "file string, row long, debit string, credit string, balance string").withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("debit", "credit", "balance")})
+    openings = spark.createDataFrame([("a", "1000.00")], "file string, opening string").withColumn("opening", F.col("opening").cast("decimal(18,2)"))
+    got = {r.row: (int(r.balance), r.repaired) for r in repairs.repaired(df, openings, stretch=10).collect()}
+    assert got == {i: (1000 + 10 * (i + 1), "balance" if i == 9 else "") for i in range(140)} and len(runs) <= 16
