@@ -64,7 +64,7 @@ def digits_before(said: Column) -> Column:
 def transactions(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, row, date, narration, reference, debit, credit, balance), and (file, opening, closing), of files that fit.
 
-    A line begins with a day and ends with a balance and Cr or Dr; what stands between is the narration up to the first amount. With two columns
+    A line begins with a day and ends with a balance (with a minus if overdrawn) and Cr or Dr; what stands between is the narration up to the first amount. With two columns
     an amount left of the middle between their headings is a debit, one before the first of them or of too many digits a reference. With one column the last amount counts and words of the narration
     say the side. Then the balance has the last word: a side is changed if the balance moved the other way by the amount, within 2 %.
     """
@@ -73,9 +73,11 @@ def transactions(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines.withColumn("day", parse_date(F.concat_ws("-", *[F.regexp_extract("line", _DATE, i) for i in (1, 2, 3)]))).where(F.col("line").rlike(_DATE) & F.col("day").isNotNull())
     ended = lines.where(F.lower("line").rlike("(cr|dr)$")).withColumn("base", F.rtrim(F.left("line", F.length("line") - 2)))
     ended = ended.withColumn("stated", F.element_at(F.concat(F.array(F.lit(None).cast("struct<at:int,said:string,amount:decimal(18,2)>")), amounts_in(F.col("base"))), -1)).where("stated is not null")
+    # Amounts have no sign; a balance may be overdrawn: a minus right before it, behind a blank.
+    overdrawn = (F.col("stated.at") > 1) & (F.substring("base", F.col("stated.at") - 1, F.lit(2)) == " -")
     start = F.lit(11)
     inner = F.when(F.col("stated.at") > start, F.substring("line", start + 1, F.col("stated.at") - start)).otherwise(F.substring("line", start + 1, F.length("line")))
-    rows = ended.select("file", "row", "day", "out_at", "middle", F.col("stated.amount").alias("balance"), inner.alias("text")).withColumns({"low": F.lower("text"), "found": amounts_in(F.col("text"))})
+    rows = ended.select("file", "row", "day", "out_at", "middle", F.when(overdrawn, -F.col("stated.amount")).otherwise(F.col("stated.amount")).cast(_MONEY).alias("balance"), inner.alias("text")).withColumns({"low": F.lower("text"), "found": amounts_in(F.col("text"))})
     opening, closing = F.col("low").rlike("opening bal|op bal"), F.col("low").rlike("closing bal|cl bal")
     rows = kept(rows.withColumn("states", F.when(opening, "opening").when(closing, "closing")))
     stated = rows.where("states is not null").groupBy("file").agg(*[F.max_by("balance", F.when(F.col("states") == s, F.col("row"))).alias(s) for s in ("opening", "closing")])

@@ -184,3 +184,10 @@ def test_a_misread_balance_at_a_stretchs_end_runs_no_wave(spark, monkeypatch):
     openings = spark.createDataFrame([("a", "1000.00")], "file string, opening string").withColumn("opening", F.col("opening").cast("decimal(18,2)"))
     got = {r.row: (int(r.balance), r.repaired) for r in repairs.repaired(df, openings, stretch=10).collect()}
     assert got == {i: (1000 + 10 * (i + 1), "balance" if i == 9 else "") for i in range(140)} and len(runs) <= 16
+
+
+def test_fixed_width_balances_below_nothing(spark):
+    texts = ["Date  Particulars   Txn Amount  Balance", "01-01-2024  Opening Balance   10.00Cr"] + [f"{i:02d}-01-2024  ORDER {i}   8.00   {18 - 8 * i}.00Dr" for i in range(2, 7)]
+    items = spark.createDataFrame([("a", 1, 12.0 * i, 10.0, 500.0, t) for i, t in enumerate(texts)], "file string, page int, y double, x double, w double, text string")
+    rows = fixed.transactions(pages.placed(items))[0].orderBy("row").collect()
+    assert [(int(r.debit), int(r.balance), r.narration) for r in rows] == [(8, 18 - 8 * i, f"ORDER {i}") for i in range(2, 7)]
