@@ -1,4 +1,4 @@
-"""Statement dates as Column expressions. Years 2000 to 2099; two-digit years are 20xx."""
+"""Statement dates as Column expressions. Years 2000 to 2099 if nothing else is said; two-digit years are 20xx."""
 
 from __future__ import annotations
 
@@ -15,25 +15,25 @@ _COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
 _TIME = r"(?i)[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?\s*(?:am|pm)?$"
 
 
-def _made(year: Column, month: Column, day: Column) -> Column:
+def _made(year: Column, month: Column, day: Column, last: str) -> Column:
     year = F.when(F.length(year) <= 2, F.concat(F.lit("20"), year)).otherwise(year)
     date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    return F.when(year.between("2000", "2099"), date)
+    return F.when(year.between("2000", last), date)
 
 
-def _direct(s: Column) -> Column:
+def _direct(s: Column, last: str) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(s, pattern, i)
 
     month = ((F.instr(F.lit(_MONTHS), F.lower(part(_NAMED, 2))) + 2) / 3).cast("int").cast("string")
     tries = [(_DAY_FIRST, 3, part(_DAY_FIRST, 2), 1), (_NAMED, 3, month, 1), (_ISO, 1, part(_ISO, 2), 3), (_COMPACT, 1, part(_COMPACT, 2), 3)]
-    return F.coalesce(*[F.when(s.rlike(p), _made(part(p, y), m, part(p, d))) for p, y, m, d in tries])
+    return F.coalesce(*[F.when(s.rlike(p), _made(part(p, y), m, part(p, d), last)) for p, y, m, d in tries])
 
 
-def parse_date(raw: Column) -> Column:
-    """A statement's date text as DATE: as it stands, without a time, then with look-alike letters read as digits."""
+def parse_date(raw: Column, last: str = "2099") -> Column:
+    """A statement's date text as DATE of a year up to ``last``: as it stands, without a time, then with look-alike letters read as digits."""
     tries = let(F.regexp_replace(F.trim(raw), r"\s+", " "), lambda s: F.array(s, F.trim(F.regexp_replace(s, _TIME, "")), F.translate(s, "OoIlSB", "001158")))
-    found = F.transform(tries, _direct)
+    found = F.transform(tries, lambda s: _direct(s, last))
     return F.coalesce(*[F.get(found, F.lit(i)) for i in range(3)])
 
 

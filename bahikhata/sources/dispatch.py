@@ -38,12 +38,12 @@ def chosen(readers: list[tuple[str, DataFrame]]) -> DataFrame:
     return every.join(first, ["file", "_tier"]).select(*COLUMNS, "source")
 
 
-def of_text(lined: DataFrame) -> list[tuple[str, DataFrame]]:
+def of_text(lined: DataFrame, last_year: str = "2099") -> list[tuple[str, DataFrame]]:
     """Readers of text (file, row_idx, line): a transaction a line, else a field a line."""
-    fields = lines.rejoined(lined)
+    fields = lines.rejoined(lined, last_year)
     last = F.element_at("amounts", -1)
     parts = fields.select("file", "row_idx", "date", "narration", F.coalesce("reference", F.lit("")).alias("reference"), F.slice("amounts", F.lit(1), F.size("amounts") - 1).alias("amounts"), last.alias("balance"), F.lit(False).alias("dr"), F.lit(False).alias("cr"))
-    return [("lines", text_lines.transactions(lined)), ("fields", sided(kept(parts)))]
+    return [("lines", text_lines.transactions(lined, last_year)), ("fields", sided(kept(parts)))]
 
 
 def of_items(items: DataFrame) -> list[tuple[str, DataFrame]]:

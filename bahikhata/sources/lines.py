@@ -19,7 +19,7 @@ NOTICES = (
 STARTS = ("page no", "11111", "statement for account", "idbi bank", "our toll")
 
 
-def rejoined(lines: DataFrame) -> DataFrame:
+def rejoined(lines: DataFrame, last_year: str = "2099") -> DataFrame:
     """(file, row_idx, date, narration, reference, amounts) of lines (file, row_idx, line); the balance is the last amount.
 
     A line that is a date begins a transaction, unless nothing but dates and numbers of reference came since the last: then it is its value date.
@@ -40,7 +40,7 @@ def rejoined(lines: DataFrame) -> DataFrame:
     signed = F.when(t.rlike(r"(?i)^[0-9,.]+\s*(cr|dr)$"), fit(number(F.replace(F.regexp_replace(t, r"(?i)\s*(cr|dr)$", ""), F.lit(","), F.lit("")))))
     figures = F.length(F.regexp_replace(solid, "[^0-9,.]", "")) > 0.8 * F.length(solid)
     kind = F.when(F.col("date").isNotNull(), "date").when(F.col("balance").isNotNull(), "balance").when(F.replace(t, F.lit(","), F.lit("")).rlike("^[0-9]{6,}$"), "reference").when(figures, F.when(fit(number(plain)).isNotNull(), "amount").otherwise("none")).otherwise("text")
-    rows = rows.where(F.octet_length("l") > 2).withColumns({"date": parse_date(t), "balance": signed})
+    rows = rows.where(F.octet_length("l") > 2).withColumns({"date": parse_date(t, last_year), "balance": signed})
     # Figures and dates first: an amount of 11111 isn't the channel code that begins so.
     rows = rows.where(F.col("date").isNotNull() | F.col("balance").isNotNull() | figures | ~notice).withColumns({"kind": kind, "amount": fit(number(plain))})
     order = Window.partitionBy("file").orderBy("row_idx")

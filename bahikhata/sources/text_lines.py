@@ -37,8 +37,8 @@ def _tokens(rest: Column) -> Column:
     return F.split(F.regexp_replace(rest, _AMOUNT, "\x01$0\x01"), "\x01")
 
 
-def transactions(lines: DataFrame) -> DataFrame:
-    """(file, row_idx, date, narration, reference, debit, credit, balance) of lines (file, row_idx, line).
+def transactions(lines: DataFrame, last_year: str = "2099") -> DataFrame:
+    """(file, row_idx, date, narration, reference, debit, credit, balance) of lines (file, row_idx, line); days are of years up to ``last_year``.
 
     A line that begins with a day is a transaction: its last amount is the balance, those before it are candidates; longer runs of digits are no amounts. The narration is the rest;
     a UPI narration keeps its id and gives what follows to the reference, others give their longest run of nine digits and more. Lines without a day and without amounts, of
@@ -50,6 +50,10 @@ def transactions(lines: DataFrame) -> DataFrame:
     day = F.regexp_extract("line", _DAY, 1)
     rest = F.trim(F.regexp_replace(F.regexp_replace(F.substring("line", F.length("day") + 1, F.length("line")), r"[|\\{}\[\]]", " "), r"\s+", " "))
     rows = rows.withColumn("day", day).withColumn("rest", F.when(F.col("day") != "", rest).otherwise(F.col("line"))).withColumn("all", amounts_of(F.col("rest")))
+    # A minus before the balance at the end of a line says that it is overdrawn, and is no word of the narration.
+    end = F.try_element_at("all", F.lit(-1))["said"]
+    rows = rows.withColumn("overdrawn", F.coalesce((F.col("day") != "") & F.endswith(F.concat(F.lit(" "), "rest"), F.concat(F.lit(" -"), end)), F.lit(False)))
+    rows = rows.withColumn("rest", F.when(F.col("overdrawn"), F.concat(F.left("rest", F.length("rest") - F.length(end) - 1), end)).otherwise(F.col("rest")))
     digits = lambda a: F.length(F.regexp_replace(F.substring_index(a["said"], ".", 1), "[^0-9]", ""))
     rows = rows.withColumn("found", F.filter("all", lambda a: (digits(a) <= DIGITS) & (a["amount"] <= MOST)))
     begins = (F.col("day") != "") & (F.size("found") > 0)
@@ -75,7 +79,7 @@ def transactions(lines: DataFrame) -> DataFrame:
     amounts = F.transform("found", lambda a: a["amount"].cast(_MONEY))
     # A narration of several lines is cut after each of them, so its first line alone may be longer.
     cut = F.aggregate(F.slice(words, 2, F.size(words)), F.get(words, F.lit(0)), lambda t, w: F.left(F.trim(F.concat_ws(" ", t, w)), F.lit(NARRATION)))
-    txns = rows.groupBy("file", "txn").agg(F.min("row_idx").alias("row_idx"), of(parse_date(F.col("day")), "date"), cut.alias("narration"), of(F.col("reference"), "reference"), of(amounts, "every"),
-                                           of(F.array_contains(marks, "DR"), "dr"), of(F.array_contains(marks, "CR"), "cr"))
-    txns = kept(txns.select("file", "row_idx", "date", "narration", "reference", F.slice("every", F.lit(1), F.size("every") - 1).alias("amounts"), F.element_at("every", -1).alias("balance"), "dr", "cr"))
+    txns = rows.groupBy("file", "txn").agg(F.min("row_idx").alias("row_idx"), of(parse_date(F.col("day"), last_year), "date"), cut.alias("narration"), of(F.col("reference"), "reference"), of(amounts, "every"),
+                                           of(F.col("overdrawn"), "overdrawn"), of(F.array_contains(marks, "DR"), "dr"), of(F.array_contains(marks, "CR"), "cr"))
+    txns = kept(txns.select("file", "row_idx", "date", "narration", "reference", F.slice("every", F.lit(1), F.size("every") - 1).alias("amounts"), F.when(F.col("overdrawn"), -F.element_at("every", -1)).otherwise(F.element_at("every", -1)).cast(_MONEY).alias("balance"), "dr", "cr"))
     return sided(txns).select("file", "row_idx", "date", "narration", "reference", "debit", "credit", "balance")

@@ -179,3 +179,17 @@ def test_stream_keeps_rows_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(land)
         imports.import_stream(imports.landing(spark, land, schema), table, mark).awaitTermination()
     assert sorted(r.client_id for r in spark.read.parquet(table).collect()) == [1, 2]
+
+
+def test_text_lines_overdrawn_and_late_years(spark):
+    said = ["01/01/2251 ORDER N1 10.00 5.00", "02/01/2251 ORDER N2 8.00 -3.00", "03/01/2251 ORDER N3 10.00 -13.00"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(said)], "file string, row_idx long, line string")
+    rows = text_lines.transactions(df, "9999").orderBy("row_idx").collect()
+    assert [(r.date.year, r.narration, int(r.debit or 0), int(r.balance)) for r in rows] == [(2251, "ORDER N1", 0, 5), (2251, "ORDER N2", 8, -3), (2251, "ORDER N3", 10, -13)]
+    assert all(r.date is None for r in text_lines.transactions(df).collect())
+
+
+def test_fields_of_late_years(spark):
+    said = ["01/01/2251", "ORDER N1", "10.00", "5.00", "02/01/2251", "ORDER N2", "8.00", "13.00"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(said)], "file string, row_idx long, line string")
+    assert [len(rows.collect()) for _, rows in dispatch.of_text(df, "9999")] == [0, 2]
