@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bahikhata.functions.amounts import parse_amount
+from bahikhata.functions.amounts import let, parse_amount
 from bahikhata.functions.dates import parse_date
 from bahikhata.functions.text import is_noise_row
 from bahikhata.operators.scans import scanned
@@ -41,14 +41,23 @@ def says(text: Column, patterns: tuple[tuple[str, ...], ...]) -> Column:
     return found
 
 
-def placed(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """(file, page, row, x, w, text): the rows of a file numbered through from 0, page after page."""
-    rows = clustered(items, tolerance)
+def placed_rows(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(file, page, row, items): the rows of a file numbered through from 0, page after page."""
+    rows = kept(clustered(items, tolerance))
     sizes = rows.groupBy("file", "page").agg((F.max("row") + 1).alias("n"))
     before = Window.partitionBy("file").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("file", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    rows = rows.join(base, ["file", "page"]).select("file", "page", (F.col("_base") + F.col("row")).alias("row"), F.explode("items").alias("i"))
-    return rows.select("file", "page", "row", "i.x", "i.w", "i.text")
+    return rows.join(base, ["file", "page"]).select("file", "page", (F.col("_base") + F.col("row")).alias("row"), "items")
+
+
+def each_item(rows: DataFrame) -> DataFrame:
+    """(file, page, row, x, w, text)"""
+    return rows.select("file", "page", "row", F.explode("items").alias("i")).select("file", "page", "row", "i.x", "i.w", "i.text")
+
+
+def placed(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(file, page, row, x, w, text): the items of ``placed_rows``."""
+    return each_item(placed_rows(items, tolerance))
 
 
 def columns_of(items: DataFrame) -> DataFrame:
@@ -60,16 +69,22 @@ def columns_of(items: DataFrame) -> DataFrame:
     return known.join(positions.bounds(known), "file").select("file", "header_row", F.map_contains_key("columns", "credit").alias("two_sided"), "field", "x_min", "x_max")
 
 
-def cells_of(items: DataFrame, columns: DataFrame) -> DataFrame:
-    """(file, row, header_row, two_sided, date, narration, reference, debit, credit, balance, debitcredit) of the rows below the header, as text."""
-    line = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " "))
-    head = columns.select("file", "header_row", "two_sided").distinct()
-    ends = items.groupBy("file", "row").agg(line.alias("line")).where(holds(F.col("line"), ENDINGS) | (F.contains("line", F.lit("additions")) & F.contains("line", F.lit("deductions"))))
-    ends = ends.join(head.select("file", "header_row"), "file").where("row > header_row").groupBy("file").agg(F.min("row").alias("_end"))
-    cells = positions.cell_values(items, columns.select("file", "field", "x_min", "x_max"))
-    rows = cells.groupBy("file", "row").agg(*[F.coalesce(F.max(F.when(F.col("field") == f, F.col("cell"))), F.lit("")).alias(f) for f in _FIELDS])
-    rows = rows.join(head, "file").join(ends, "file", "left").where("row > header_row and (_end is null or row < _end)")
-    return rows.drop("_end")
+def cells_of(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(file, row, header_row, two_sided, date, narration, reference, debit, credit, balance, debitcredit) of the rows (``placed_rows``) below the header, as text.
+
+    A row holds its items, so only the few rows that end a file are grouped.
+    """
+    places = F.collect_list(F.struct("field", F.col("x_min").cast("double").alias("x_min"), F.col("x_max").cast("double").alias("x_max")))
+    head = columns.groupBy("file", "header_row", "two_sided").agg(places.alias("_places"))
+    below = rows.join(head, "file").where("row > header_row")
+    line = F.lower(F.array_join(F.transform("items", lambda i: i["text"]), " "))
+    ends = below.select("file", "row", line.alias("line")).where(holds(F.col("line"), ENDINGS) | (F.contains("line", F.lit("additions")) & F.contains("line", F.lit("deductions"))))
+    ends = ends.groupBy("file").agg(F.min("row").alias("_end"))
+    texts = lambda p: F.transform(F.filter("items", lambda i: (i["x"] >= p["x_min"]) & (i["x"] < p["x_max"])), lambda i: i["text"])
+    cell = lambda p: let(texts(p), lambda t: F.when(F.size(t) > 0, F.struct(p["field"].alias("field"), positions.cell_value(p["field"], t).alias("cell"))))
+    found = below.select("file", "row", "header_row", "two_sided", F.filter(F.transform("_places", cell), lambda c: c.isNotNull()).alias("_cells")).where("size(_cells) > 0")
+    found = found.join(ends, "file", "left").where("_end is null or row < _end").withColumn("_cells", F.map_from_entries("_cells"))
+    return found.select("file", "row", *[F.coalesce(F.try_element_at("_cells", F.lit(f)), F.lit("")).alias(f) for f in _FIELDS], "header_row", "two_sided")
 
 
 def stitched(rows: DataFrame) -> DataFrame:
@@ -86,11 +101,15 @@ def stitched(rows: DataFrame) -> DataFrame:
     bare = day.rlike(r"^[0-9]+\s+[\p{L}]+$")
     cut = day.rlike(r"^[0-9]+[/\-.][\p{L}]+[/\-.][0-9]{1,3}$")
     whole = F.when(bare, F.concat(day, F.lit(" "), more)).when(cut, F.concat(day, more))
-    found = parse_date(whole)
-    fits = found.isNotNull() & ~F.coalesce(found == parse_date(day), F.lit(False))
+    # Only a broken date before a row that could end it is looked at.
+    pairs = pairs.withColumn("_whole", F.when(F.col("b").isNotNull() & (bare | cut), whole))
+    found = F.when(F.col("_whole").isNotNull(), parse_date(F.col("_whole")))
+    pairs = pairs.withColumn("_found", found)
+    pairs = pairs.withColumn("_fits", F.when(F.col("_found").isNotNull(), ~F.coalesce(F.col("_found") == parse_date(day), F.lit(False))))
+    whole, fits = F.col("_whole"), F.coalesce("_fits", F.lit(False))
     one = F.struct(*[F.when(fits, whole).otherwise(F.col("a.date")).alias("date") if c == "date" else F.trim(F.concat_ws(" ", F.nullif(F.trim("a.narration"), F.lit("")), F.nullif(F.trim("b.narration"), F.lit("")))).alias(c) if c == "narration" else F.col(f"a.{c}").alias(c) for c in kept])
     apart = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
-    return pairs.select("file", F.explode(F.when(F.coalesce(fits, F.lit(False)), F.array(one)).otherwise(apart)).alias("z")).select("file", "z.*")
+    return pairs.select("file", F.explode(F.when(fits, F.array(one)).otherwise(apart)).alias("z")).select("file", "z.*")
 
 
 def transactions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,9 +187,10 @@ def guessed_sides(txns: DataFrame, balances: DataFrame) -> DataFrame:
 
 def page_transactions(items: DataFrame, tolerance: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """(file, row, date, narration, reference, debit, credit, balance) of the items' pages, and (file, opening, closing)."""
-    at = kept(placed(items, tolerance))
-    columns = kept(columns_of(at))
-    txns, stated = transactions(typed(stitched(cells_of(at, columns))))
-    above = stated_above(at, columns).select("file", F.col("opening").alias("_o"), F.col("closing").alias("_c"))
+    rows = kept(placed_rows(items, tolerance))
+    top = each_item(rows.where(F.col("row") < 60))
+    columns = kept(columns_of(top))
+    txns, stated = transactions(kept(typed(stitched(cells_of(rows, columns)))))
+    above = stated_above(top, columns).select("file", F.col("opening").alias("_o"), F.col("closing").alias("_c"))
     balances = stated.join(above, "file", "full").select("file", F.coalesce("opening", "_o").alias("opening"), F.coalesce("closing", "_c").alias("closing"))
     return guessed_sides(txns, balances).drop("header_row"), balances

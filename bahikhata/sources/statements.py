@@ -202,15 +202,21 @@ def tally_vouchers(cells: DataFrame) -> DataFrame:
 
 
 def clustered(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """(file, page, row, items): text items grouped to rows; a row starts where y leaves its first item's by more than the tolerance."""
-    page = items.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "x", "w", "text"))).alias("all"))
-    # A page's array grows by one for each row of it, not for each item.
-    new = lambda seen, y: F.coalesce(F.abs(y - F.try_element_at(seen, F.lit(-1))) > tolerance, F.lit(True))
+    """(file, page, row, items): text items grouped to rows; a row starts where y leaves its first item's by more than the tolerance.
+
+    A gap of more than the tolerance always starts one, so rows are only looked for inside the runs between gaps: a page costs as much as its items. Items
+    without a y are row -1.
+    """
+    page = Window.partitionBy("file", "page").orderBy("y")
+    at = items.select("file", "page", F.col("y").cast("double").alias("y"), "x", "w", "text")
+    at = at.withColumn("_run", F.sum(F.coalesce((F.col("y") - F.lag("y").over(page) > tolerance).cast("int"), F.lit(0))).over(page))
+    runs = at.groupBy("file", "page", "_run", F.col("y").isNull().alias("_none")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "w"))).alias("all"))
+    new = lambda seen, y: F.coalesce(F.abs(y - F.try_element_at(seen, F.lit(-1))) > tolerance, F.size(seen) == 0)
     starts = F.aggregate("all", F.array().cast("array<double>"), lambda seen, i: F.when(new(seen, i["y"]), F.concat(seen, F.array(i["y"]))).otherwise(seen))
-    page = page.select("file", "page", "all", starts.alias("starts"))
-    rows = page.select("file", "page", "starts", F.explode("all").alias("item"))
-    rows = rows.withColumn("row", F.size(F.filter("starts", lambda s: s <= F.col("item.y"))) - 1)
-    return rows.groupBy("file", "page", "row").agg(F.array_sort(F.collect_list(F.struct(F.col("item.x").alias("x"), F.col("item.text").alias("text"), F.col("item.w").alias("w")))).alias("items"))
+    rows = runs.withColumn("starts", starts).select("file", "page", "_run", "_none", "all", "starts", F.posexplode("starts").alias("_i", "_start")).withColumn("_next", F.get("starts", F.col("_i") + 1))
+    one = F.filter("all", lambda i: F.col("_none") | ((i["y"] >= F.col("_start")) & F.coalesce(i["y"] < F.col("_next"), F.lit(True))))
+    number = F.row_number().over(Window.partitionBy("file", "page", "_none").orderBy("_run", "_i")) - 1
+    return rows.select("file", "page", F.when(F.col("_none"), F.lit(-1)).otherwise(number).alias("row"), F.array_sort(F.transform(one, lambda i: F.struct(i["x"].alias("x"), i["text"].alias("text"), i["w"].alias("w")))).alias("items"))
 
 
 def assigned(items: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bahikhata.operators import repairs, stages
 from bahikhata.operators.scans import scanned
-from bahikhata.sources import fixed, pages
+from bahikhata.sources import fixed, pages, statements
 
 TYPED = "file string, row long, header_row long, day date, narration string, reference string, balance decimal(18,2), only boolean, debit decimal(18,2), credit decimal(18,2)"
 
@@ -191,3 +191,38 @@ def test_fixed_width_balances_below_nothing(spark):
     items = spark.createDataFrame([("a", 1, 12.0 * i, 10.0, 500.0, t) for i, t in enumerate(texts)], "file string, page int, y double, x double, w double, text string")
     rows = fixed.transactions(pages.placed(items))[0].orderBy("row").collect()
     assert [(int(r.debit), int(r.balance), r.narration) for r in rows] == [(8, 18 - 8 * i, f"ORDER {i}") for i in range(2, 7)]
+
+
+def test_kept_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+    rows = stages.kept(spark.range(100).select(counted("id").alias("id")))
+    assert rows.count() == 100 and rows.agg(F.sum("id")).first()[0] == 4950
+    assert seen.value == 100
+
+
+def test_items_of_a_page_against_a_loop(spark):
+    rng = random.Random(5)
+    for tolerance in (5.0, 12.0):
+        items = [("f", p, f"t{i}", float(rng.randint(0, 9)), float(rng.choice((rng.randint(0, 60), rng.randint(0, 400)))), 1.0) for p in range(3) for i in range(60)]
+        found = {(r.page, r.row): [i.text for i in r["items"]] for r in statements.clustered(spark.createDataFrame(items, ITEM), tolerance).collect()}
+        want = {}
+        for p in range(3):
+            row, start = -1, None
+            for y, x, text in sorted((i[4], i[3], i[2]) for i in items if i[1] == p):
+                if start is None or y - start > tolerance:
+                    row, start = row + 1, y
+                want.setdefault((p, row), []).append((x, text))
+        assert found == {k: [t for _, t in sorted(v)] for k, v in want.items()}
+
+
+def test_cells_need_no_shuffle_of_items(spark):
+    rows = spark.createDataFrame([("a", 0, 5, [(10.0, "01/01/2024", 5.0), (100.0, "x", 5.0)])], "file string, page int, row long, items array<struct<x:double,text:string,w:double>>")
+    columns = spark.createDataFrame([("a", 1, True, "date", 0.0, 50.0), ("a", 1, True, "narration", 50.0, float("inf"))], "file string, header_row long, two_sided boolean, field string, x_min double, x_max double")
+    cells = pages.cells_of(rows, columns)
+    assert [(r.row, r.date, r.narration, r.debit) for r in cells.collect()] == [(5, "01/01/2024", "x", "")]
+    assert not any("items" in line and "Exchange" in line for line in cells._jdf.queryExecution().executedPlan().toString().splitlines())
