@@ -50,6 +50,20 @@ def test_dumps_of_both_shapes(spark):
     assert found == {("p", "clients", "repeated id", "c1", 1), ("p", "clients", "repeated name", "a", 1), ("p", "import_history", "unknown client", "", 1), ("p", "transactions", "no date", "7", 1), ("p", "settings", "no object", "", 1)}
 
 
+def test_issues_of_a_dump_in_one_pass(spark):
+    text = ('{"bsp_clients": [{"id": "c1", "name": "A"}, {"name": "B"}, null], "bsp_rules": [{"clientId": "global"}, {"clientId": "x"}, {}, {"clientId": "c1"}], "bsp_ledgers": [{"clientId": "y"}],'
+            ' "bsp_history": [{"id": "7", "clientId": "c1", "txnCount": 3}, {"id": "7", "clientId": "c1", "txnCount": 3}, {"id": "8", "clientId": "z", "txnCount": 1}, {"clientId": "c1", "txnCount": 0}],'
+            ' "bsp_imp_7": [{"date": "1"}, {"debit": 1.0}, {"date": "1", "isOpeningBalance": true}, null], "bsp_imp_9": [{}]}')
+    entries = clients.dump_entries(spark.createDataFrame([("p", text), ("q", '{"bsp_config": "[]"}')], "file string, text string"))
+    issues = clients.dump_issues(entries)
+    seven = [("transactions", "count differs", "7", 4), ("transactions", "no date", "7", 2), ("transactions", "no amount", "7", 2)]
+    want = [("clients", "repeated id", None, 1), ("classification_rules", "unknown client", "", 2), ("ledgers", "unknown client", "", 1), ("import_history", "unknown client", "", 1), ("transactions", "count differs", "8", 0), *seven, *seven]
+    assert sorted(map(str, [tuple(r)[1:] for r in issues.where("file = 'p'").collect()])) == sorted(map(str, want))
+    assert [tuple(r) for r in issues.where("file = 'q'").collect()] == [("q", "settings", "no object", "", 1)]
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan  # a union of all questions once came to one task that read the dumps ten times
+
+
 def test_lost_rows(spark):
     report = spark.createDataFrame([("clients", 3), ("ledgers", 2), ("rules", 0), ("history", 1)], "entity string, imported long")
     stored = spark.createDataFrame([("clients", 3), ("ledgers", 1)], "entity string, n long")
