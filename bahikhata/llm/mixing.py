@@ -132,7 +132,8 @@ def schedule(spark: SparkSession, sources: Sources, block: int = BLOCK) -> DataF
     slots = spark.range(n).select(F.col("id").alias("slot"), F.floor(F.col("id") / chunk).alias("chunk"), place.alias("place")).withColumn("bin", F.floor(F.col("place") / width))
     stands = live.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + F.col("words") - 1) / width))))
     slots = slots.join(stands, "bin").where("place >= low and place < low + words").select("slot", "chunk", "k", "source_size", "words")
-    sums = slots.groupBy("k", "chunk").agg(F.count("*").alias("n"))
+    # Written, so that no plan holds the lookup of slots more than once: the driver's memory grows with the exchanges of a plan.
+    sums, _ = written(slots.groupBy("k", "chunk").agg(F.count("*").alias("n")), "mixing-slot-counts", thin=True)
     before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("k").alias("_k"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("k", "chunk").orderBy("slot")

@@ -520,6 +520,11 @@ def test_repeated_ids_and_alike_rows_in_the_mix(spark):
     assert take(docs) == take(docs.repartition(5))
 
 
+def test_no_plan_of_the_mix_holds_the_schedule_twice(spark, small):
+    _, sources = mixing.placed(table(spark, small, "documents"))
+    assert mixing.schedule(spark, sources)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.repeated(odd).columns == odd.columns
     assert mixing.digest(none).count() == 0 and mixing.repeated(none).count() == 0
