@@ -6,6 +6,7 @@ Everything is column expressions but the party's name, which is worked out once
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData
@@ -88,12 +89,29 @@ def with_party(txns: DataFrame, text: Column, out: str = "party") -> DataFrame:
     return txns.join(names, F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
 
 
+def least_rung(text: Column, rungs: list[Iterable[str]]) -> Column:
+    """The number of the first of ``rungs`` that has a word which the text holds, else null: one pass over the text, whatever the number of words.
+
+    Words that begin at one place share their first letter, so the pattern branches by letters, and of the words of a letter those of earlier rungs come
+    first. Each place then gives its earliest rung.
+    """
+    first: dict[str, int] = {}
+    for i, words in enumerate(rungs):
+        for w in words:
+            first.setdefault(w, i)
+    letters: dict[str, list[str]] = {}
+    for w in first:
+        letters.setdefault(w[0], []).append(re.escape(w[1:]))
+    pattern = "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in letters.items()) + "))"
+    known = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    return F.array_min(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.try_element_at(known, w)))
+
+
 def with_keyword(rows: DataFrame, upper: Column, party: Column, is_credit: Column, bank_ledger: str) -> DataFrame:
     """Adds ``_rung``, the first rung of the ladder that the text meets (null if none), and ``_kw``, its struct(vendor, head, txn_type)."""
     rail = len(LADDER)
-    rungs = [(contains_any(upper, words), F.lit(i)) for i, (*_, words, _) in enumerate(LADDER)]
     # An array of one, taken apart: the optimizer doesn't copy the ladder into what uses its answer.
-    rows = rows.withColumn("_rung", F.explode(F.array(first_case([*rungs, (contains_any(upper, RAILS), F.lit(rail))]))))
+    rows = rows.withColumn("_rung", F.explode(F.array(least_rung(upper, [*[words for *_, words, _ in LADDER], RAILS]))))
     at = F.col("_rung")
     of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
     special = first_case([((at == i) & F.contains(upper, F.lit(w)), F.lit(v)) for i, (*_, vendors) in enumerate(LADDER) for w, v in vendors])

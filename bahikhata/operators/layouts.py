@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,7 +204,7 @@ _TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 def _bound(rows: pd.DataFrame) -> pd.DataFrame:
     """One workbook of the row elements of its sheets."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_TYPES}.worksheet+xml"/>' for i in range(1, len(SHEETS) + 1))
         z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_TYPES}.sheet.main+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_RELS}"><Relationship Id="r0" Type="{_LINK}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -216,11 +217,21 @@ def _bound(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _row(cells: list[Column], numbers: tuple[int, ...] = ()) -> Column:
-    """A row element; characters that XML forbids become spaces."""
-    clean = lambda c: escaped(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", " "))
-    said = lambda c: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), clean(c), F.lit("</t></is></c>"))
-    made = [F.when(c.isNull(), "<c/>").otherwise(F.concat(F.lit("<c><v>"), c.cast("string"), F.lit("</v></c>"))) if i in numbers else said(c) for i, c in enumerate(cells)]
-    return F.concat(F.lit("<row>"), *made, F.lit("</row>"))
+    """A row element; characters that XML forbids become spaces. Only rows with a sign that needs it are taken apart, and empty texts are cells without content."""
+    forbidden = "\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF"
+    clean = lambda c: escaped(F.regexp_replace(c, f"[{forbidden}]", " "))
+    as_text = [F.coalesce(c.cast("string"), F.lit("")) for c in cells]
+
+    def row(written: Callable[[Column], Column]) -> Column:
+        parts = [F.lit("<row>")]
+        for i, (c, text) in enumerate(zip(cells, as_text)):
+            if i in numbers:
+                parts.append(F.when(c.isNull(), "<c/>").otherwise(F.concat(F.lit("<c><v>"), c.cast("string"), F.lit("</v></c>"))))
+            else:
+                parts.append(F.when(text == "", "<c/>").otherwise(F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), written(text), F.lit("</t></is></c>"))))
+        return F.concat(*parts, F.lit("</row>"))
+    plain = ~F.concat(*[t for i, t in enumerate(as_text) if i not in numbers]).rlike(f"[&<>\"'{forbidden}]")
+    return F.when(plain, row(lambda c: c)).otherwise(row(clean))
 
 
 def workbooks(txns: DataFrame, balances: DataFrame, bank_ledger: str, most: int = 100_000) -> DataFrame:

@@ -10,9 +10,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from bahikhata.functions.dates import parse_date
 from bahikhata.sources.statements import statement_rows
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ROW, _CELL, _V, _T = (_MAIN + n for n in ("row", "c", "v", "t"))
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _SCHEMA = "file string, sheet int, sheet_name string, row_idx int, cells array<string>"
 _BATCH = 2000
@@ -30,7 +32,7 @@ def _tree(book: zipfile.ZipFile, name: str):
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    return "".join([t.text or "" for t in node.iter(_T)])
 
 
 def _date_styles(book: zipfile.ZipFile) -> set[int]:
@@ -42,9 +44,10 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 
 
 def _value(cell, strings: list[str], dates: set[int]) -> str:
-    kind, raw = cell.get("t"), cell.findtext(f"{_MAIN}v") or ""
+    kind = cell.get("t")
     if kind == "inlineStr":
         return _text(cell)
+    raw = cell.findtext(_V) or ""
     if kind == "s":
         return strings[int(raw)]
     if kind in ("str", "b", "e", "d") or not raw:
@@ -67,10 +70,11 @@ def _column(ref: str) -> int:
 def _rows(book: zipfile.ZipFile, name: str, strings: list[str], dates: set[int]) -> Iterator[tuple[int, list[str]]]:
     with book.open(name) as f:
         for _, row in ElementTree.iterparse(f):
-            if row.tag == f"{_MAIN}row":
+            if row.tag == _ROW:
                 cells: list[str] = []
-                for i, c in enumerate(row.iter(f"{_MAIN}c")):
-                    at = _column(c.get("r")) if c.get("r") else i
+                for i, c in enumerate(row.iter(_CELL)):
+                    ref = c.get("r")
+                    at = _column(ref) if ref else i
                     cells += [""] * (at + 1 - len(cells))
                     cells[at] = _value(c, strings, dates)
                 yield int(row.get("r", 0)) - 1, cells
@@ -95,18 +99,13 @@ def _sheets(file: str, content: bytes) -> Iterator[tuple]:
             continue
 
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["file", "sheet", "sheet_name", "row_idx", "cells"]
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("file", pa.string()), ("sheet", pa.int32()), ("sheet_name", pa.string()), ("row_idx", pa.int32()), ("cells", pa.list_(pa.string()))])
     for batch in batches:
-        for file, content in zip(batch["path"], batch["content"]):
-            held: list[tuple] = []
-            for row in _sheets(file, content):
-                held.append(row)
-                if len(held) == _BATCH:
-                    yield pd.DataFrame(held, columns=names)
-                    held = []
-            if held:
-                yield pd.DataFrame(held, columns=names)
+        for file, content in zip(batch.column("path"), batch.column("content")):
+            rows = _sheets(file.as_py(), content.as_py())
+            while held := list(islice(rows, _BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +118,7 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def cells_of(files: DataFrame) -> DataFrame:
     """The cells of workbooks given as rows of (path, content)."""
-    return files.select("path", "content").mapInPandas(_unpacked, _SCHEMA)
+    return files.select("path", "content").mapInArrow(_unpacked, _SCHEMA)
 
 
 def workbook_rows(cells: DataFrame) -> DataFrame:
@@ -137,13 +136,17 @@ def reimported(cells: DataFrame) -> DataFrame:
     What the sheet leaves open: a row with a vendor or head is classified by its user, with full confidence.
     """
     rows = cells.where("sheet_name = 'Transactions'").select("file", "row_idx", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
-    heads = rows.groupBy("file").agg(F.min(F.struct("row_idx", "cells")).alias("_h")).select("file", F.col("_h.row_idx").alias("_at"), F.transform("_h.cells", lambda c: F.lower(c)).alias("_head"))
-    needed = F.forall(F.array(*[F.lit(n) for n in ("date", "narration", "vendor", "account head")]), lambda n: F.array_contains("_head", n))
-    rows = rows.join(heads.where(needed), "file").where("row_idx > _at")
+    # The first row's places of the columns go along with the rows behind it: files are unpacked once.
+    names = ("date", "narration", "reference", "debit", "credit", "balance", "vendor", "account head", "type", "status", "confidence", "tags", "bank name", "account no")
+    low = F.transform("cells", lambda c: F.lower(c))
+    in_order = Window.partitionBy("file").orderBy("row_idx")
+    places = F.when(F.col("_row") == 1, F.struct(F.col("row_idx").alias("row"), *[F.array_position(low, n).cast("int").alias(n) for n in names]))
+    rows = rows.withColumn("_row", F.row_number().over(in_order)).withColumn("_at", F.first(places, True).over(in_order))
+    place = lambda name: F.col(f"_at.`{name}`")
+    rows = rows.where((F.col("row_idx") > F.col("_at.row")) & (F.least(*[place(n) for n in ("date", "narration", "vendor", "account head")]) > 0))
 
     def cell(name: str) -> Column:
-        at = F.array_position("_head", name)
-        return F.when(at > 0, F.coalesce(F.get("cells", at.cast("int") - 1), F.lit(""))).otherwise("")
+        return F.coalesce(F.get("cells", place(name) - 1), F.lit(""))
 
     def amount(name: str) -> Column:
         return F.nullif(F.regexp_replace(cell(name), "[^0-9.-]", "").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
@@ -152,7 +155,7 @@ def reimported(cells: DataFrame) -> DataFrame:
     kind = F.initcap(F.lower(cell("type")))
     rows = rows.where((cell("date") != "") | (cell("narration") != "")).withColumn("status", status)
     done = F.col("status") == "Classified"
-    n = F.row_number().over(Window.partitionBy("file").orderBy("row_idx")) - 1
+    n = F.row_number().over(in_order) - 1
     return rows.select(
         "file", F.concat(F.lit("ri_"), n.cast("string")).alias("id"), parse_date(cell("date")).alias("date"), cell("narration").alias("narration"), cell("reference").alias("reference"), amount("debit").alias("debit"), amount("credit").alias("credit"),
         amount("balance").alias("balance"), cell("vendor").alias("vendor"), cell("account head").alias("account_head"), F.when(kind.isin("Payment", "Receipt", "Contra", "Journal"), kind).otherwise("Payment").alias("txn_type"), "status",

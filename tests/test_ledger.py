@@ -181,3 +181,11 @@ def test_recon_candidates_are_shuffled_and_not_broadcast(spark):
     assert pairs.where("b = v").count() == 30
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_least_rung_is_the_first_that_holds_a_word(spark):
+    rungs = [["OLA/", "XYZ"], ["RENT", "OLA"], ["RENTAL", "A.B"], ["LA/R"]]
+    texts = ["RENTAL", "PAY OLA/RENT", "OLAX A.B", "A-B", "", "LA/R", "A.B XYZ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [next((i for i, ws in enumerate(rungs) if any(w in t for w in ws)), None) if t else None for t in texts]
+    assert [r[0] for r in rows.select(classify.least_rung(F.col("t"), rungs)).collect()] == want

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bahikhata.operators import clients, layouts, payments
@@ -78,6 +79,18 @@ def test_reimport_defaults(spark):
     assert got == [("ri_0", "x", "1000.50", "Classified", 1.0, "user", ["A", "B"], "Receipt"), ("ri_1", "y", "None", "Unreviewed", 0.4, "", [], "Payment"), ("ri_2", "z", "None", "Unreviewed", 0.0, "", [], "Payment")]
 
 
+def test_reimport_unpacks_once(spark):
+    cells = workbooks.cells_of(spark.createDataFrame([("f", b"")], "path string, content binary"))
+    plan = workbooks.reimported(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1 and "Join" not in plan  # the first rows were once told by unpacking all files again
+
+
+def test_empty_texts_are_cells_without_content(spark):
+    row = spark.createDataFrame([("a", "", None, "<&>")], "a string, b string, c string, d string").select(layouts._row([F.col(c) for c in "abcd"]).alias("row")).first().row
+    content = layouts._bound(pd.DataFrame({"client_id": [1], "book": [0], "sheet": [1], "ord": [0], "row": [row]}))["content"][0]
+    assert row.count("<c/>") == 2 and next(workbooks._sheets("f", content))[-1] == ["a", "", "", "<&>"]
+
+
 def test_targets():
     assert layouts.target(1)[0] == "Zoho Books" and layouts.target(99) == layouts.target(5) and layouts.target(-1)[1] == "xml"
 
