@@ -22,15 +22,18 @@ def parse_amount(raw: Column) -> Column:
     two decimals, zero, and beyond MAX_AMOUNT. Dr/Cr marks, currency marks, blanks and grouping are dropped, brackets
     and (-) mean minus, and up to two stray characters at the end are forgiven.
     """
+    fair = lambda value: F.when((value != 0) & (F.abs(value) <= MAX_AMOUNT), value)
     number = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
     marks = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)\s*\(?(?:cr|dr)\.?\)?$", ""), r"[₹\s]", "")
     plain = F.replace(F.regexp_replace(marks, r"(?i)^(?:rs\.?|inr)", ""), F.lit(","), F.lit(""))
     signed = F.regexp_replace(F.regexp_replace(plain, r"^\(-\)", "-"), r"^\(([0-9.]+)\)$", "-$1")
     # A number with at most two stray characters after it; what is left of the text isn't one.
     digits = F.regexp_extract(signed, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))[^0-9]{0,2}$", 1)
-    return let(digits, lambda s: let(F.when(
-        s.rlike(number) & ~F.trim(raw).rlike(r"^[0-9]{10,}$") & (F.length(F.regexp_replace(s, "[^0-9]", "")) <= 10) & ~s.rlike(r"\.[0-9]{3,}$"), s).try_cast("decimal(18,2)"),
-        lambda value: F.when((value != 0) & (F.abs(value) <= MAX_AMOUNT), value)))
+    dressed = let(digits, lambda s: let(F.when(
+        s.rlike(number) & ~F.trim(raw).rlike(r"^[0-9]{10,}$") & (F.length(F.regexp_replace(s, "[^0-9]", "")) <= 10) & ~s.rlike(r"\.[0-9]{3,}$"), s).try_cast("decimal(18,2)"), fair))
+    # A bare number needs none of that, and a text without digits has no amount.
+    bare = F.when(raw.rlike(r"^[0-9]{1,8}\.[0-9]{2}$"), raw).try_cast("decimal(18,2)")
+    return F.when(raw.rlike(r"^[0-9]{1,8}\.[0-9]{2}$"), F.when(bare != 0, bare)).when(raw.rlike("[0-9]"), dressed)
 
 
 def format_indian(amount: Column) -> Column:

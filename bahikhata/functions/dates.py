@@ -17,7 +17,7 @@ _TIME = r"(?i)[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?\s*(?:am|pm)?$"
 
 def _made(year: Column, month: Column, day: Column, last: str) -> Column:
     year = F.when(F.length(year) <= 2, F.concat(F.lit("20"), year)).otherwise(year)
-    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    date = F.concat_ws("-", year, month, day).try_cast("date")
     return F.when(year.between("2000", last), date)
 
 
@@ -33,8 +33,9 @@ def _direct(s: Column, last: str) -> Column:
 def parse_date(raw: Column, last: str = "2099") -> Column:
     """A statement's date text as DATE of a year up to ``last``: as it stands, without a time, then with look-alike letters read as digits."""
     tries = let(F.regexp_replace(F.trim(raw), r"\s+", " "), lambda s: F.array(s, F.trim(F.regexp_replace(s, _TIME, "")), F.translate(s, "OoIlSB", "001158")))
-    found = F.transform(tries, lambda s: _direct(s, last))
-    return F.coalesce(*[F.get(found, F.lit(i)) for i in range(3)])
+    # A later reading is only tried where the ones before gave nothing; every form begins with a digit.
+    found = F.aggregate(tries, F.lit(None).cast("date"), lambda date, s: F.when(date.isNotNull(), date).otherwise(_direct(s, last)))
+    return F.when(raw.rlike(r"^\s*[0-9OoIlSB]"), found)
 
 
 def excel_date(serial: Column) -> Column:
