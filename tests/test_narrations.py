@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from bahikhata.functions import recognised
 from bahikhata.operators import filters, narrations
+from bahikhata.operators.narration_words import BANK_TERMS
 
 
 def column(spark, rows, f):
@@ -73,3 +76,39 @@ def test_filters_let_unknown_names_through(spark):
     df = spark.createDataFrame([("Import batch of rules", True), ("edited", None)], "e string, is_opening_balance boolean")
     assert df.where(filters.audit_filter(F.col("e"), "none", "")).count() == 2 and df.where(filters.audit_filter(F.col("e"), "import", "rule")).count() == 1
     assert filters.real_rows(df).count() == 1
+
+
+def test_bank_term_is_the_nearest(spark):
+    """Terms that parts rule out are none of the nearest: random edits of terms against all distances."""
+    rng = random.Random(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def edited(word):
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(word) + 1)
+            word = word[:at] + rng.choice(["", "E", "Q", "A"]) + word[at + rng.randrange(2):]
+        return word
+    words = sorted({edited(rng.choice(BANK_TERMS)) for _ in range(1500)} - {""})
+    want = {}
+    for w in words:
+        most = 1 if len(w) <= 5 else 2 if len(w) <= 8 else 3
+        near = [(d, i) for i, t in enumerate(BANK_TERMS) if (d := distance(w, t)) <= most]
+        want[w] = BANK_TERMS[min(near)[1]] if near and 4 <= len(w) <= 15 else None
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", recognised.bank_term(F.col("w")).alias("term"))
+    assert dict(map(tuple, rows.collect())) == want and len(set(want.values())) > 30
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein") <= 2  # once each term's distance to each word was worked out
+
+
+def test_repaired_digits(spark):
+    texts = ["O1S/ABC", "12345", "A", "OIL lO,Z|", "O1x O1", "", "\tO\n", "B" * 21]
+    want = ["015/ABC", "12345", "4", "OIL 10,2|", "O1x 01", "", "\t0\n", "B" * 21]
+    rows = spark.createDataFrame([(t, w) for t, w in zip(texts, want)], "t string, w string").select(recognised.repaired_digits(F.col("t")).alias("t"), "w")
+    assert all(r.t == r.w for r in rows.collect())
