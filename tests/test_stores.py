@@ -100,3 +100,8 @@ def test_documents_are_written_in_order(spark, tmp_path):
     layouts.written(rows, str(tmp_path / "d"))
     parts = sorted((tmp_path / "d" / "client_id=1").glob("part-*"))
     assert "".join(p.read_text() for p in parts).split() == [f"{s}-{o}" for s in (0, 3, 9) for o in (1, 2, 10)]
+
+
+def test_report_reads_kept_rows(spark, tiny):
+    files = QUERIES["csv_report"](spark, tiny).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)  # each part of the report once classified all rows again
