@@ -142,7 +142,8 @@ def sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = cells.join(columns, "file")
     of = lambda c: F.when(F.col(c) >= 0, F.coalesce(F.get("cells", F.col(c)), F.lit(""))).otherwise("").alias(c)
     below = at.where(F.col("row_idx") > F.col("header_row"))
-    rows = kept(typed(below.select("file", F.col("row_idx").cast("long").alias("row"), "header_row", (F.col("credit") >= 0).alias("two_sided"), *[of(c) for c in HEADER_WORDS])))
+    rows = typed(below.select("file", F.col("row_idx").cast("long").alias("row"), "header_row", (F.col("credit") >= 0).alias("two_sided"), *[of(c) for c in HEADER_WORDS]))
+    rows = kept(rows.withColumn("noise", is_noise_row(F.col("narration"))))
     text, low = F.col("narration"), F.lower("narration")
     bare = F.col("only") & F.col("balance").isNotNull()
     closing = bare & holds(low, CLOSING_WORDS)
@@ -152,7 +153,7 @@ def sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = stating.where("starts").join(end, "file", "left").where("end is null or row <> end.row").groupBy("file").agg(F.min(F.struct("row", "balance")).alias("start"))
     stated = end.join(start, "file", "full")
     rows = rows.join(stated.select("file", F.col("end.row").alias("_end"), F.col("start.row").alias("_start")), "file", "left").where("not (row <=> _end) and not (row <=> _start)")
-    rows = rows.where(~is_noise_row(text)).withColumn("begins", F.col("day").isNotNull() & F.coalesce("debit", "credit").isNotNull())
+    rows = rows.where(~F.col("noise")).withColumn("begins", F.col("day").isNotNull() & F.coalesce("debit", "credit").isNotNull())
     rows = rows.where(F.col("begins") | (F.col("day").isNull() & F.col("only") & (text != "")))
     rows = scanned(rows, ["file"], "row", sums={"txn": F.col("begins").cast("int")}).withColumn("txn", F.col("txn") + F.col("begins").cast("int")).where("txn > 0")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "narration"))), lambda x: x["narration"]), " ")
