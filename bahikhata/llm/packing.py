@@ -174,7 +174,7 @@ def sequences(parts: DataFrame, places: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """(pieces with their ids, placements)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     parts, _ = written(pieces(docs, vocabulary), "pieces")
     return parts, placed(parts)
 

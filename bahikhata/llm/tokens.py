@@ -30,7 +30,9 @@ _BEFORE_SIGN = r"([\pL\pN])([^\pL\pN\s\x01])"
 #: Outside these, lower-casing before composing characters might not equal composing first.
 _NOT_PLAIN = r"[^\x00-\x{12f}\x{131}-\x{24f}]"
 #: Bytes of text that are cut at once.
-_STRETCH = 4 << 20
+_STRETCH = 1 << 20
+#: Pieces that the tokenizer is given at once: while it works it takes some hundreds of bytes for each.
+_AT_ONCE = 8192
 #: Pieces that a worker caches, and how many of the oldest, so mostly the commonest, it keeps when it is full.
 _CACHED, _KEPT = 400_000, 300_000
 
@@ -71,7 +73,7 @@ class Encoder:
         self.cache.update(zip(pieces, (data[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist()))))
         return []
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: tuple[str, ...]) -> None:
         """Caches the ids of pieces: those of letters alone told apart by their edges, the others by the mark."""
         lead = " " if self.keeps_space else ""
         plain, marked, alone = [], [], []
@@ -124,7 +126,8 @@ class Encoder:
         if len(self.cache) + len(unknown) > _CACHED:
             self.cache = dict(itertools.islice(self.cache.items(), _KEPT))
             unknown = set(itertools.filterfalse(self.cache.__contains__, words))
-        self.learn(unknown)
+        for some in itertools.batched(unknown, _AT_ONCE):
+            self.learn(some)
         each = [self.cache[w] for w in words]
         flat = np.frombuffer(b"".join(each), self.kind)
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // flat.itemsize

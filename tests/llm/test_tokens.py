@@ -34,6 +34,17 @@ def test_ids_are_the_tokenizers(name):
     assert MAKERS[name](public(name))(pa.array([text]))[0].tolist() == whole(name, text)
 
 
+@pytest.mark.parametrize("name", MAKERS)
+def test_a_worker_gives_the_tokenizer_few_pieces_at_once(name, monkeypatch):
+    encode = type(MAKERS[name](public(name)))(public(name))
+    given, split = [], encode.split
+    monkeypatch.setattr(encode, "split", lambda pieces, *rest: given.append(len(pieces)) or split(pieces, *rest))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "xyz")
+    assert encode(pa.array([text]))[0].tolist() == whole(name, text)
+    assert sum(given) > 50_000 and max(given) <= 10_000
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=200))
 def test_coding_round_trip(values):
     ranks = np.array(values, np.uint32)
